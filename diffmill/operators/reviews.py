@@ -84,9 +84,8 @@ def assign_ids(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
 
 def id_collisions(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
     """Ids given to more than one natural key, with the number of keys (K1)."""
-    return (
-        df.groupBy(name, *keys).agg().groupBy(name).agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") > 1)
-    )
+    pairs = df.select(name, *keys).distinct()
+    return pairs.groupBy(name).agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") > 1)
 
 
 def first_per_job(requests: DataFrame, order: list[str], key: str = "job_id") -> DataFrame:
