@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffmill.fixed import DEFAULT_SCORE
@@ -12,17 +12,41 @@ INTEGER_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 LINE_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*(\.0+)?\s*$"
 
 
+def framed_json(raw: Column) -> Column:
+    """Variant of ``[raw, 0]``, NULL if that is no JSON.
+
+    ``try_parse_json`` stops after the first value and would accept ``{} x``. Inside an
+    array with a closing element, anything left over shows.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(",0]")))
+
+
+def framed_value(framed: Column) -> Column:
+    """The value inside the frame, NULL unless it is exactly one."""
+    one = F.try_variant_get(framed, "$[1]", "int").eqNullSafe(0)
+    more = F.try_variant_get(framed, "$[2]", "variant").isNotNull()
+    return F.when(one & ~more, F.try_variant_get(framed, "$[0]", "variant"))
+
+
 def strict_json(raw: Column) -> Column:
-    """Variant of a text that is exactly one JSON value, else NULL.
+    """Variant of a text that is exactly one JSON value, else NULL."""
+    return framed_value(framed_json(raw))
+
+
+def with_json(df: DataFrame, name: str, raw: Column) -> DataFrame:
+    """Add ``strict_json(raw)``, parsed once per row however often it is used later."""
+    return once(df.withColumn("_framed", framed_json(raw)), **{name: framed_value(F.col("_framed"))}).drop("_framed")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that later filters must not compute again.
 
-    ``try_parse_json`` stops after the first value and would accept ``{} x``.
-    Inside an array with a closing element, anything left over shows.
+    A filter on a plain column is moved below it and repeats its whole expression for
+    every mention. Expressions are not copied through a generator, so the columns come
+    out of one over a single-element array.
     """
-    framed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(",0]")))
-    whole = F.try_variant_get(framed, "$[1]", "int").eqNullSafe(0) & F.try_variant_get(
-        framed, "$[2]", "variant"
-    ).isNull()
-    return F.when(whole, F.try_variant_get(framed, "$[0]", "variant"))
+    entry = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(entry)))
 
 
 def field(doc: Column, name: str, as_type: str = "variant") -> Column:
@@ -35,11 +59,12 @@ def kind_of(doc: Column, name: str | None = None) -> Column:
 
 
 def is_object(doc: Column) -> Column:
-    return F.coalesce(kind_of(doc).startswith("OBJECT"), F.lit(False))
+    """Whether the value is an object. Reading it as one is cheaper than its schema."""
+    return F.try_variant_get(doc, "$", "struct<_:variant>").isNotNull()
 
 
-def is_array(doc: Column, name: str) -> Column:
-    return F.coalesce(kind_of(doc, name).startswith("ARRAY"), F.lit(False))
+def is_array(doc: Column) -> Column:
+    return F.try_variant_get(doc, "$", "array<variant>").isNotNull()
 
 
 def text_field(doc: Column, name: str) -> Column:

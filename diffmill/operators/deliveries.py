@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diffmill.functions.json import field, is_object, kind_of, strict_json, text_field
+from diffmill.functions.json import field, is_array, is_object, once, text_field, with_json
 from diffmill.functions.normalize import is_missing
 from diffmill.functions.signature import signature_state
 
@@ -26,14 +26,14 @@ def extract_pr(df: DataFrame) -> DataFrame:
     """
     doc = F.col("_doc")
     return (
-        df.withColumn("_doc", strict_json(F.col("raw_body")))
+        with_json(df, "_doc", F.col("raw_body"))
         .withColumns({
             "repo": field(doc, "repository.full_name", "string"),
             "pr_number": field(doc, "pull_request.number", "int"),
             "head_sha": field(doc, "pull_request.head.sha", "string"),
             "base_sha": field(doc, "pull_request.base.sha", "string"),
             "inline_diff": F.nullif(text_field(doc, "diff"), F.lit("")),
-            "readable": F.coalesce(kind_of(doc).rlike("^(OBJECT|ARRAY)"), F.lit(False)),
+            "readable": is_object(doc) | is_array(doc),
         })
         .drop("_doc")
     )
@@ -70,14 +70,22 @@ def classify_delivery(df: DataFrame, secret: str) -> DataFrame:
         .when(F.col("outcome").isin("missing_fields", "unreadable_body"), 400)
         .otherwise(202)
     )
+    checked = signature_state(F.col("raw_body"), F.col("signature"), secret)
     return (
-        fields.withColumn("signature_state", signature_state(F.col("raw_body"), F.col("signature"), secret))
+        once(fields, signature_state=checked)
         .withColumn("outcome", outcome)
         .withColumn("http_status", status)
         .drop("readable")
     )
 
 
+def accepted_deliveries(df: DataFrame, secret: str) -> DataFrame:
+    """Accepted deliveries only. What the scan can tell apart is dropped there, before
+    any body is parsed or hashed."""
+    likely = pull_requests(df).where(F.col("signature").startswith("sha256="))
+    return classify_delivery(likely, secret).where(F.col("outcome") == "accepted")
+
+
 def resolve_diff(inline: Column, rebuilt: Column, original: Column) -> Column:
     """Inline diff, else the rebuilt one, else the original."""
     return F.coalesce(F.nullif(inline, F.lit("")), F.nullif(rebuilt, F.lit("")), original)
@@ -116,7 +124,7 @@ def tag_messages(df: DataFrame, schema: T.StructType, value: str = "value") -> D
     parts = [field(doc, f.name, f.dataType.simpleString()).alias(f.name) for f in schema.fields]
     reason = F.when(text.isNull() | (text == ""), "blank").when(~is_object(doc), "malformed")
     return (
-        df.withColumn("_doc", strict_json(text))
+        with_json(df, "_doc", text)
         .withColumn("reason", reason)
         .withColumn("_msg", F.struct(*parts))
         .drop("_doc")

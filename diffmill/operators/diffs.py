@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from diffmill.fixed import EMPTY_BLOB, NEW_FILE_MODE
 from diffmill.functions.text import added_lines, diff_paths, header_path, short_sha, utf16_length
-from diffmill.plans.paging import attach_by_key, paged
+from diffmill.plans.paging import attach_by_key, number_pages, split_by_size
 
 PR = ["repo", "pr_number"]
 
@@ -151,13 +151,28 @@ def rebuild_diff(
     """Rebuilt diff of every pull request (R3): keys, ``page``, ``diff``, ``rebuilt``.
 
     Parts stand in file order, joined by newlines; a pull request without any keeps
-    its original diff. One of more than ``page_files`` parts comes in ordered pages.
+    its original diff. One of more than ``page_files`` files comes in ordered pages.
     """
-    parts = paged(diff_parts(prs, files, contents, match), PR, [F.col("seq")], page_files)
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "part")))
-    texts = F.transform(ordered, lambda p: p["part"])
-    rebuilt = parts.groupBy(*PR, "page").agg(F.array_join(texts, "\n").alias("diff"))
-    untouched = attach_by_key(prs, rebuilt.select(*PR).distinct(), PR, "left_anti")
-    return rebuilt.withColumn("rebuilt", F.lit(True)).unionByName(
-        untouched.select(*PR, F.lit(0).cast("bigint").alias("page"), "diff", F.lit(False).alias("rebuilt"))
+    groups = split_by_size(
+        diff_parts(prs, files, contents, match), PR, page_files, sized_by=reviewable_files(files).select(*PR)
     )
+    first = F.lit(0).cast("bigint").alias("page")
+    whole = _joined(groups.small.withColumn("page", first).repartition(*PR)).select(*PR, F.col("diff").alias("_rebuilt"))
+    small = prs if groups.large is None else attach_by_key(prs, groups.large_keys, PR, "left_anti")
+    result = small.join(whole, PR, "left").select(
+        *PR, first, F.coalesce("_rebuilt", "diff").alias("diff"), F.col("_rebuilt").isNotNull().alias("rebuilt")
+    )
+    if groups.large is None:
+        return result
+    numbered = number_pages(groups.large, PR, [F.col("seq")], page_files)
+    pages = _joined(numbered.repartition(*PR, "page"))
+    large = attach_by_key(prs, groups.large_keys, PR, "left_semi")
+    untouched = attach_by_key(large, groups.large.select(*PR).distinct(), PR, "left_anti")
+    return result.unionByName(pages.withColumn("rebuilt", F.lit(True))).unionByName(
+        untouched.select(*PR, first, "diff", F.lit(False).alias("rebuilt"))
+    )
+
+
+def _joined(paged_parts: DataFrame) -> DataFrame:
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda p: p["part"])
+    return paged_parts.groupBy(*PR, "page").agg(F.array_join(texts, "\n").alias("diff"))

@@ -88,19 +88,23 @@ def metrics_counts(metrics: DataFrame, by: list[str] | tuple[str, ...] = (), gro
     return groups.select(*by).join(counts, list(by), "left").fillna(0, [*COUNTS, "files_analyzed"])
 
 
-def metrics_document(metrics: DataFrame, by: list[str], page_files: int = 10_000) -> DataFrame:
+def metrics_document(
+    metrics: DataFrame, by: list[str], page_files: int = 10_000, sized_by: DataFrame | None = None
+) -> DataFrame:
     """One metrics document per group: files by path, and the group's counts (A2).
 
     A group of more than ``page_files`` files comes in pages in path order; every
-    page carries the counts of the whole group.
+    page carries the counts of the whole group. ``sized_by`` may name the list of all
+    files, which is cheaper to count than their metrics.
     """
     fields = ["file_path", "language", "issues", "cyclomatic_complexity", "line_count", "errors", "warnings"]
     rows, order = metrics.select(*by, *fields), [F.col("file_path")]
-    groups = split_by_size(rows, by, page_files)
-    whole = _documents(groups.small.withColumn("page", F.lit(0).cast("bigint")), by, fields)
+    groups = split_by_size(rows, by, page_files, sized_by)
+    whole = _documents(groups.small.withColumn("page", F.lit(0).cast("bigint")).repartition(*by), by, fields)
     if groups.large is None:
         return whole
-    pages = _documents(number_pages(groups.large, by, order, page_files), by, fields).drop("counts")
+    numbered = number_pages(groups.large, by, order, page_files).repartition(*by, "page")
+    pages = _documents(numbered, by, fields).drop("counts")
     totals = metrics_counts(groups.large, by)
     counted = totals.select(*by, F.struct(*_NUMBERS).alias("counts"))
     return whole.unionByName(pages.join(checked_broadcast(counted), by, "inner"))

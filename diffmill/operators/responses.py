@@ -11,12 +11,12 @@ from diffmill.fixed import CANNED_RESPONSE, DEFAULT_DIAGRAM, DEFAULT_SCORE, EMPT
 from diffmill.functions.json import (
     LINE_TEXT,
     field,
-    is_array,
     is_object,
     kind_of,
+    once,
     score_clamp,
     score_strict,
-    strict_json,
+    with_json,
 )
 from diffmill.functions.normalize import null_if_falsy, normalize_severity, normalize_type
 from diffmill.operators.reviews import assign_ids
@@ -30,18 +30,19 @@ FALSY_JSON = ("null", '""', "0", "0.0", "false", "[]", "{}")
 MODES = ("fenced", "plain")
 
 
-def parse_response(raw: Column, mode: str = "fenced") -> Column:
-    """Variant of a raw response (G10). Nothing at all reads as an empty object; what
-    cannot be read does too in ``fenced`` mode and is NULL in ``plain`` mode."""
+def parse_response(df: DataFrame, raw: str = "raw", mode: str = "fenced", name: str = "doc") -> DataFrame:
+    """Add the variant of a raw response (G10). Nothing at all reads as an empty object;
+    what cannot be read does too in ``fenced`` mode and is NULL in ``plain`` mode."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    nothing = F.parse_json(F.lit("{}"))
-    blank = raw.isNull() | (raw == "")
-    doc = strict_json(raw)
+    text = F.coalesce(F.nullif(F.col(raw), F.lit("")), F.lit("{}"))
+    parsed = with_json(df, "_first", text)
     if mode == "plain":
-        return F.when(blank, nothing).otherwise(doc)
+        return parsed.withColumnRenamed("_first", name)
     inside = F.trim(F.regexp_extract(raw, "(?s)```json(.*?)```", 1))
-    return F.coalesce(doc, strict_json(inside), nothing)
+    again = with_json(parsed, "_second", F.when(F.col("_first").isNull(), inside))
+    doc = F.coalesce("_first", "_second", F.parse_json(F.lit("{}")))
+    return again.withColumn(name, doc).drop("_first", "_second")
 
 
 def canned(response: dict) -> Column:
@@ -64,59 +65,78 @@ def _findings_type() -> str:
     return f"array<{FINDING.simpleString()}>"
 
 
-def _text_or_null(item: Column, name: str) -> Column:
-    kind = kind_of(item, name)
+# Fields of a finding as they came, NULL where missing.
+_RAW_FINDING = "struct<" + ",".join(f"{f.name}:variant" for f in FINDING.fields[1:]) + ">"
+
+
+def _fields(item: Column) -> Column:
+    """The raw fields of an element; NULL for one that is no object."""
+    return F.try_variant_get(item, "$", _RAW_FINDING)
+
+
+def _read(given: Column) -> Column:
+    """Kind, text and raw value of every field."""
+    parts = []
+    for f in FINDING.fields[1:]:
+        raw = given[f.name]
+        parts += [
+            F.schema_of_variant(raw).alias(f"{f.name}_kind"),
+            F.try_variant_get(raw, "$", "string").alias(f.name),
+            raw.alias(f"{f.name}_raw"),
+        ]
+    return F.when(given.isNotNull(), F.struct(*parts))
+
+
+def _is_text(read: Column, name: str) -> Column:
+    kind = read[f"{name}_kind"]
     return kind.isNull() | kind.isin("VOID", "STRING")
 
 
-def _line_fits(item: Column) -> Column:
-    kind, number = kind_of(item, "line_number"), field(item, "line_number", "double")
+def _is_label(read: Column, name: str) -> Column:
+    """Text, or a value that counts as not given."""
+    return _is_text(read, name) | F.to_json(read[f"{name}_raw"]).isin(*FALSY_JSON)
+
+
+def _is_line(read: Column) -> Column:
+    kind, number = read["line_number_kind"], F.try_variant_get(read["line_number_raw"], "$", "double")
     return (
         kind.isNull()
         | kind.isin("VOID", "BIGINT", "BOOLEAN")
-        | ((kind == "STRING") & field(item, "line_number", "string").rlike(LINE_TEXT))
+        | ((kind == "STRING") & read["line_number"].rlike(LINE_TEXT))
         | ((kind.startswith("DECIMAL") | (kind == "DOUBLE")) & (number == F.floor(number)))
     )
 
 
-def _line_number(item: Column) -> Column:
-    text = field(item, "line_number", "string")
-    as_text = F.regexp_replace(F.trim(F.regexp_replace(text, r"\.0+\s*$", "")), "_", "").try_cast("int")
-    return F.when(kind_of(item, "line_number") == "STRING", as_text).otherwise(
-        field(item, "line_number", "int")
+def _line_number(read: Column) -> Column:
+    digits = F.regexp_replace(F.trim(F.regexp_replace(read["line_number"], r"\.0+\s*$", "")), "_", "")
+    return F.when(read["line_number_kind"] == "STRING", digits.try_cast("int")).otherwise(
+        F.try_variant_get(read["line_number_raw"], "$", "int")
     )
 
 
-def _label_fits(item: Column, name: str) -> Column:
-    return _text_or_null(item, name) | F.to_json(field(item, name)).isin(*FALSY_JSON)
-
-
-def is_bad_finding(item: Column) -> Column:
-    """Whether an element of the findings array breaks the schema."""
-    message = kind_of(item, "message")
+def _typed(read: Column, ordinal: Column) -> Column:
+    """A finding with typed fields, its type and severity normalized once; NULL if any
+    field breaks the schema (G12)."""
+    message = read["message_kind"]
     fits = (
-        is_object(item)
-        & _label_fits(item, "type")
-        & _label_fits(item, "severity")
-        & _text_or_null(item, "file_path")
-        & _text_or_null(item, "suggestion")
+        read.isNotNull()
         & (message.isNull() | (message == "STRING"))
-        & _line_fits(item)
+        & _is_text(read, "file_path")
+        & _is_text(read, "suggestion")
+        & _is_label(read, "type")
+        & _is_label(read, "severity")
+        & _is_line(read)
     )
-    return ~F.coalesce(fits, F.lit(False))
-
-
-def typed_finding(item: Column, ordinal: Column) -> Column:
-    """A finding with typed fields, its type and severity normalized once."""
-    return F.struct(
+    finding = F.struct(
         ordinal.cast("int").alias("ordinal"),
-        normalize_type(field(item, "type", "string")).alias("type"),
-        normalize_severity(field(item, "severity", "string")).alias("severity"),
-        field(item, "file_path", "string").alias("file_path"),
-        _line_number(item).alias("line_number"),
-        F.coalesce(field(item, "message", "string"), F.lit("")).alias("message"),
-        field(item, "suggestion", "string").alias("suggestion"),
+        normalize_type(read["type"]).alias("type"),
+        normalize_severity(read["severity"]).alias("severity"),
+        read["file_path"].alias("file_path"),
+        _line_number(read).alias("line_number"),
+        F.coalesce(read["message"], F.lit("")).alias("message"),
+        read["suggestion"].alias("suggestion"),
     )
+    return F.when(fits, finding)
 
 
 def review_responses(df: DataFrame, raw: str = "raw", mode: str = "fenced", bad: str = "strict") -> DataFrame:
@@ -129,45 +149,38 @@ def review_responses(df: DataFrame, raw: str = "raw", mode: str = "fenced", bad:
     """
     if bad not in ("strict", "lenient"):
         raise ValueError("bad is 'strict' or 'lenient'")
-    doc = F.col("_doc")
-    listed = is_array(doc, "findings")
-    kind = kind_of(doc, "findings")
-    unusable = ~is_object(doc)
-    odd_list = F.lit(False)
+    doc, listed = F.col("_doc"), F.col("_elements").isNotNull()
+    unusable, odd_list = ~is_object(doc), F.lit(False)
     if mode == "plain":
-        unusable = unusable | (F.coalesce(kind, F.lit("ARRAY")).rlike("^(VOID|BIGINT|DOUBLE|DECIMAL|BOOLEAN)"))
+        kind = kind_of(doc, "findings")
         filled = ~F.to_json(field(doc, "findings")).isin('""', "{}")
+        unusable = unusable | (~listed & kind.isNotNull() & ~kind.startswith("OBJECT") & (kind != "STRING"))
         odd_list = ~listed & kind.isNotNull() & filled
-    elements = F.coalesce(
-        F.when(listed, F.try_variant_get(doc, "$.findings", "array<variant>")), F.array().cast("array<variant>")
-    )
-    diagram = kind_of(doc, "plantuml")
-    broken = F.exists("_items", is_bad_finding) if bad == "strict" else F.lit(False)
-    void = F.coalesce(odd_list, F.lit(False)) | broken | F.coalesce(diagram != "STRING", F.lit(False))
-    typed = F.transform("_items", lambda item, i: F.when(~is_bad_finding(item), typed_finding(item, i)))
+    broken = F.exists("_items", lambda f: f.isNull()) if bad == "strict" else F.lit(False)
+    odd_diagram = kind_of(doc, "plantuml") != "STRING"
+    void = F.coalesce(odd_list | broken | F.coalesce(odd_diagram, F.lit(False)), F.lit(False))
     score = score_clamp(doc) if mode == "fenced" else score_strict(doc)
+    none = F.array().cast(_findings_type())
     answer = F.struct(
         score.alias("quality_score"),
-        F.filter(typed, lambda f: f.isNotNull()).cast(_findings_type()).alias("findings"),
+        F.coalesce(F.filter("_items", lambda f: f.isNotNull()).cast(_findings_type()), none).alias("findings"),
         F.coalesce(field(doc, "plantuml", "string"), F.lit(DEFAULT_DIAGRAM)).alias("plantuml"),
     )
     safe = F.struct(
-        F.lit(DEFAULT_SCORE).alias("quality_score"),
-        F.array().cast(_findings_type()).alias("findings"),
-        F.lit(EMPTY_DIAGRAM).alias("plantuml"),
+        F.lit(DEFAULT_SCORE).alias("quality_score"), none.alias("findings"), F.lit(EMPTY_DIAGRAM).alias("plantuml")
     )
     chosen = (
         F.when(F.col("source") == "canned", canned(CANNED_RESPONSE))
         .when(F.col("source") == "void", safe)
         .otherwise(answer)
     )
-    return (
-        df.withColumn("_doc", parse_response(F.col(raw), mode))
-        .withColumn("_items", elements)
+    read = (
+        parse_response(df, raw, mode, "_doc")
+        .withColumn("_elements", F.try_variant_get(doc, "$.findings", "array<variant>"))
+        .withColumn("_items", F.transform(F.transform(F.transform("_elements", _fields), _read), _typed))
         .withColumn("source", F.when(F.coalesce(unusable, F.lit(True)), "canned").when(void, "void").otherwise("model"))
-        .withColumn("_answer", chosen)
-        .select(*df.columns, "_answer.*", "source")
     )
+    return once(read, _answer=chosen).select(*df.columns, "_answer.*", "source")
 
 
 def with_fallback(df: DataFrame, default: dict = UNREACHABLE_RESPONSE, source: str = "fallback") -> DataFrame:

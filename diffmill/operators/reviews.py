@@ -49,7 +49,7 @@ def by_job(df: DataFrame, job_id: str) -> DataFrame:
 def by_ids(df: DataFrame, wanted: DataFrame, text: str, column: str = "id") -> DataFrame:
     """Bulk form of ``by_id``: rows of every id in a column of texts."""
     keys = wanted.select(leading_int(F.col(text)).alias(column)).where(F.col(column).isNotNull())
-    return df.join(keys, column, "left_semi")
+    return df.join(keys.distinct(), column, "left_semi")
 
 
 def new_reviews(requests: DataFrame, status: str, at: Column) -> DataFrame:
@@ -145,7 +145,8 @@ def review_detail(
     heads = reviews.withColumn("uml_s3_url", uml_url(F.col("static_metrics"))).drop("static_metrics")
     fields = [c for c in ("id", *_DETAIL) if c in findings.columns]
     groups = split_by_size(findings, ["review_id"], page_findings)
-    whole = _nested(groups.small.withColumn("page", F.lit(0).cast("bigint")), fields, ordinal)
+    first = groups.small.withColumn("page", F.lit(0).cast("bigint")).repartition("review_id")
+    whole = _nested(first, fields, ordinal)
     small_heads = heads
     if groups.large is not None:
         keys = groups.large_keys.withColumnRenamed("review_id", "id")
@@ -159,12 +160,15 @@ def review_detail(
     )
     if groups.large is None:
         return detail
-    pages = _nested(number_pages(groups.large, ["review_id"], detail_order(ordinal), page_findings), fields, ordinal)
+    numbered = number_pages(groups.large, ["review_id"], detail_order(ordinal), page_findings)
+    pages = _nested(numbered.repartition("review_id", "page"), fields, ordinal)
     large_heads = attach_by_key(heads, keys, ["id"], "left_semi")
     return detail.unionByName(pages.join(large_heads, pages["review_id"] == large_heads["id"], "inner").drop("review_id"))
 
 
 def _nested(paged_findings: DataFrame, fields: list[str], ordinal: tuple[str, ...]) -> DataFrame:
+    """Pages as arrays. The rows come partitioned already: gathering them before the
+    shuffle would save nothing."""
     newest = -F.unix_micros(F.col("created_at").cast("timestamp"))
     sort_key = F.struct((-severity_rank(F.col("severity"))).alias("r"), newest.alias("t"), *ordinal)
     entry = F.struct(sort_key.alias("k"), F.struct(*fields).alias("v"))
@@ -197,7 +201,7 @@ def apply_static(reviews: DataFrame, results: DataFrame, order: str = "offset_no
 
 def delete_jobs(reviews: DataFrame, findings: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is left of reviews and findings without the given jobs."""
-    gone = jobs.select("job_id")
+    gone = jobs.select("job_id").distinct()
     doomed = reviews.join(gone, "job_id", "left_semi").select(F.col("id").alias("review_id"))
     return reviews.join(gone, "job_id", "left_anti"), findings.join(doomed, "review_id", "left_anti")
 
@@ -205,8 +209,9 @@ def delete_jobs(reviews: DataFrame, findings: DataFrame, jobs: DataFrame) -> tup
 def reconcile(requests: DataFrame, reviews: DataFrame, findings: DataFrame) -> DataFrame:
     """How far each published job got: published, review, static_metrics, findings,
     done or failed (J7)."""
-    counted = findings_count(findings)
-    rows = reviews.select("job_id", F.col("id").alias("review_id"), "status", "static_metrics")
+    rows = reviews.select("job_id", F.col("id").alias("review_id"), "status", "static_metrics").join(
+        findings_count(findings), "review_id", "left"
+    )
     stage = (
         F.when(F.col("review_id").isNull(), "published")
         .when(F.col("status").isin("done", "failed"), F.col("status"))
@@ -217,7 +222,6 @@ def reconcile(requests: DataFrame, reviews: DataFrame, findings: DataFrame) -> D
     return (
         requests.select("job_id")
         .join(rows, "job_id", "left")
-        .join(counted, "review_id", "left")
         .fillna(0, ["findings"])
         .select("job_id", stage.alias("stage"), F.col("static_metrics").isNotNull().alias("has_static"), "findings")
     )

@@ -30,7 +30,8 @@ class Groups:
     large_keys: DataFrame | None
 
 
-def _matching(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+def attach_by_key(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join that also matches NULL keys."""
     renamed = keys.select([F.col(k).alias(f"_{k}") for k in on])
     same = [rows[k].eqNullSafe(renamed[f"_{k}"]) for k in on]
     return rows.join(renamed, same, how)
@@ -41,17 +42,29 @@ def checked_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
-def split_by_size(rows: DataFrame, keys: list[str], page_rows: int) -> Groups:
-    """Set oversized groups apart. The count reads the key columns only and is
-    combined before its shuffle, so a hot key costs one row per task."""
-    large = rows.groupBy(*keys).count().where(F.col("count") > page_rows).select(*keys)
+def large_keys(sized_by: DataFrame, keys: list[str], page_rows: int) -> DataFrame | None:
+    """Keys with more than ``page_rows`` rows, None if there are none.
+
+    The count reads the key columns only and is combined before its shuffle, so a hot
+    key costs one row per task.
+    """
+    large = sized_by.groupBy(*keys).count().where(F.col("count") > page_rows).select(*keys)
     found = large.limit(BROADCAST_KEYS + 1).count()
     if found == 0:
+        return None
+    return F.broadcast(large) if found <= BROADCAST_KEYS else large
+
+
+def split_by_size(
+    rows: DataFrame, keys: list[str], page_rows: int, sized_by: DataFrame | None = None
+) -> Groups:
+    """Set oversized groups apart. ``sized_by`` names a cheaper table to count, with at
+    least as many rows per key."""
+    large = large_keys(rows if sized_by is None else sized_by, keys, page_rows)
+    if large is None:
         return Groups(rows, None, None)
-    if found <= BROADCAST_KEYS:
-        large = F.broadcast(large)
     return Groups(
-        _matching(rows, large, keys, "left_anti"), _matching(rows, large, keys, "left_semi"), large
+        attach_by_key(rows, large, keys, "left_anti"), attach_by_key(rows, large, keys, "left_semi"), large
     )
 
 
@@ -63,17 +76,3 @@ def number_pages(rows: DataFrame, keys: list[str], order: list[Column], page_row
     block = F.floor((F.row_number().over(within) - 1) / page_rows)
     page = F.col("_slice").cast("bigint") * _SLICE + block
     return sliced.withColumn("page", page).drop("_slice")
-
-
-def paged(rows: DataFrame, keys: list[str], order: list[Column], page_rows: int) -> DataFrame:
-    """Rows with ``page``; concatenating a group's pages in order gives the whole group."""
-    groups = split_by_size(rows, keys, page_rows)
-    first = groups.small.withColumn("page", F.lit(0).cast("bigint"))
-    if groups.large is None:
-        return first
-    return first.unionByName(number_pages(groups.large, keys, order, page_rows))
-
-
-def attach_by_key(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Semi or anti join that also matches NULL keys."""
-    return _matching(rows, keys, on, how)

@@ -329,10 +329,10 @@ def extract_pr(spark, sf_dir):
 
 @query
 def review_requests(spark, sf_dir):
-    sent = deliveries.classify_delivery(V.deliveries(V.table(spark, sf_dir, "events")), V.SECRET)
+    sent = deliveries.accepted_deliveries(V.deliveries(V.table(spark, sf_dir, "events")), V.SECRET)
     fetched = F.concat(F.lit("fetched "), F.col("head_sha"))
     diff = deliveries.resolve_diff(F.col("inline_diff"), F.lit(None).cast("string"), fetched)
-    return topics.to_topic(deliveries.review_requests(sent.where("outcome = 'accepted'"), diff))
+    return topics.to_topic(deliveries.review_requests(sent, diff))
 
 
 @query
@@ -357,21 +357,19 @@ def parse_messages(spark, sf_dir):
 
 @query
 def score_strict(spark, sf_dir):
-    doc = responses.parse_response(F.col("raw"))
-    parsed = V.raw_scores(spark, sf_dir).withColumn("doc", doc)
+    parsed = responses.parse_response(V.raw_scores(spark, sf_dir))
     return parsed.select("event_id", J.score_strict(F.col("doc")).alias("score"))
 
 
 @query
 def score_clamp(spark, sf_dir):
-    doc = responses.parse_response(F.col("raw"))
-    parsed = V.raw_scores(spark, sf_dir).withColumn("doc", doc)
+    parsed = responses.parse_response(V.raw_scores(spark, sf_dir))
     return parsed.select("event_id", J.score_clamp(F.col("doc")).alias("score"))
 
 
 @query
 def parse_response(spark, sf_dir):
-    parsed = V.raw_responses(spark, sf_dir).withColumn("doc", responses.parse_response(F.col("raw"), "plain"))
+    parsed = responses.parse_response(V.raw_responses(spark, sf_dir), mode="plain")
     return parsed.select(
         "event_id", F.col("doc").isNotNull().alias("readable"), J.is_object(F.col("doc")).alias("is_object")
     )
@@ -466,7 +464,8 @@ def metrics_rollup(spark, sf_dir):
 
 @query
 def metrics_document(spark, sf_dir):
-    documents = metrics.metrics_document(_metrics(spark, sf_dir), ["repo"])
+    listed = V.code(spark, sf_dir).select("repo")
+    documents = metrics.metrics_document(_metrics(spark, sf_dir), ["repo"], sized_by=listed)
     return metrics.metrics_message(documents, "repo")
 
 

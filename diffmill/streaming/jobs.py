@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from diffmill.operators.deliveries import classify_delivery, parse_messages, review_requests, tag_messages
+from diffmill.operators.deliveries import accepted_deliveries, parse_messages, review_requests, tag_messages
 from diffmill.operators.telemetry import bucket_aggregates, long_buckets
 from diffmill.sources.topics import to_topic
 
 
 def stream_requests(deliveries: DataFrame, secret: str) -> DataFrame:
     """Accepted deliveries with an inline diff as request messages (ST1). Stateless."""
-    accepted = classify_delivery(deliveries, secret).where(F.col("outcome") == "accepted")
+    accepted = accepted_deliveries(deliveries, secret)
     return to_topic(review_requests(accepted.where(F.col("inline_diff").isNotNull())))
 
 
