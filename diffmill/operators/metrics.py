@@ -89,7 +89,7 @@ def metrics_counts(metrics: DataFrame, by: list[str] | tuple[str, ...] = (), gro
 
 
 def metrics_document(
-    metrics: DataFrame, by: list[str], page_files: int = 10_000, sized_by: DataFrame | None = None
+    metrics: DataFrame, by: list[str], page_files: int = 50_000, sized_by: DataFrame | None = None
 ) -> DataFrame:
     """One metrics document per group: files by path, and the group's counts (A2).
 

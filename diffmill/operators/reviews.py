@@ -135,7 +135,7 @@ _DETAIL = ("type", "severity", "file_path", "line_number", "message", "suggestio
 
 
 def review_detail(
-    reviews: DataFrame, findings: DataFrame, ordinal: tuple[str, ...] = ORDINAL, page_findings: int = 10_000
+    reviews: DataFrame, findings: DataFrame, ordinal: tuple[str, ...] = ORDINAL, page_findings: int = 50_000
 ) -> DataFrame:
     """Reviews with their findings nested in display order.
 

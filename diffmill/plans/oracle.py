@@ -135,11 +135,13 @@ _SQL["order_findings"] = _with(FINDINGS) + (
     f"ORDER BY review_id, {RANK} DESC, findings.created_at DESC, {ORDER}"
 )
 _SQL["review_detail"] = _with(REVIEWS, FINDINGS) + f""",
-nested AS (SELECT review_id, count(*) AS n, string_agg(concat_ws('|', type, severity, coalesce(file_path, '-'),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY review_id ORDER BY {RANK} DESC, created_at DESC, {ORDER}) - 1)
+    // 50000 AS page FROM findings),
+nested AS (SELECT review_id, page, count(*) AS n, string_agg(concat_ws('|', type, severity, coalesce(file_path, '-'),
     coalesce(CAST(line_number AS VARCHAR), '-'), message, coalesce(suggestion, '-')), ';'
-    ORDER BY {RANK} DESC, created_at DESC, {ORDER}) AS listed FROM findings GROUP BY review_id)
+    ORDER BY {RANK} DESC, created_at DESC, {ORDER}) AS listed FROM numbered GROUP BY review_id, page)
 SELECT id, job_id, repo, pr_number, commit_sha, status, quality_score, {_uml('static_metrics')} AS uml_s3_url,
-  github_comment_id, strftime(created_at, {DAY}) AS created_at, CAST(0 AS BIGINT) AS page,
+  github_comment_id, strftime(created_at, {DAY}) AS created_at, coalesce(page, 0) AS page,
   coalesce(n, 0) AS n_findings, coalesce(listed, '') AS findings
 FROM reviews LEFT JOIN nested ON id = review_id"""
 _SQL["findings_count"] = _with(FINDINGS) + "SELECT review_id, count(*) AS findings FROM findings GROUP BY review_id"
@@ -409,11 +411,14 @@ _SUMS = (
 )
 _SQL["metrics_rollup"] = _with(_METRICS) + f"SELECT repo, {_SUMS} FROM file_metrics GROUP BY repo"
 _SQL["metrics_document"] = _with(_METRICS) + f""",
-grouped AS (SELECT repo, list({{'file_path': file_path, 'language': language, 'issues': issues,
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY repo ORDER BY file_path) - 1) // 50000 AS page
+  FROM file_metrics),
+totals AS (SELECT repo, {_SUMS} FROM file_metrics GROUP BY repo),
+grouped AS (SELECT repo, page, list({{'file_path': file_path, 'language': language, 'issues': issues,
   'cyclomatic_complexity': cyclomatic_complexity, 'line_count': line_count, 'errors': errors, 'warnings': warnings}}
-  ORDER BY file_path) AS files, {_SUMS} FROM file_metrics GROUP BY repo)
-SELECT repo AS job_id, CAST(0 AS BIGINT) AS page, CAST(to_json({{'file_metrics': files, 'counts': {{'issues': issues,
-  'errors': errors, 'warnings': warnings, 'files_analyzed': files_analyzed}}}}) AS VARCHAR) AS static_metrics FROM grouped"""
+  ORDER BY file_path) AS files FROM numbered GROUP BY repo, page)
+SELECT repo AS job_id, page, CAST(to_json({{'file_metrics': files, 'counts': {{'issues': issues,
+  'errors': errors, 'warnings': warnings, 'files_analyzed': files_analyzed}}}}) AS VARCHAR) AS static_metrics FROM grouped JOIN totals USING (repo)"""
 _SQL["lint_rollup"] = _with(_CODE, _LINT) + (
     "SELECT doc_id, coalesce(issues, 0) AS issues, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings "
     "FROM code LEFT JOIN linted USING (doc_id)"
@@ -445,9 +450,11 @@ parts AS (SELECT repo, pr_number, seq, CASE
       '+' || replace(content, chr(10), chr(10) || '+'))
     WHEN status = 'modified' THEN {_OPEN} || chr(10) || content END AS part
   FROM files WHERE status <> 'removed' AND NOT is_binary),
-rebuilt AS (SELECT repo, pr_number, string_agg(part, chr(10) ORDER BY seq) AS diff FROM parts
-  WHERE part IS NOT NULL GROUP BY repo, pr_number)
-SELECT p.repo, p.pr_number, CAST(0 AS BIGINT) AS page, coalesce(r.diff, p.diff) AS diff, r.diff IS NOT NULL AS rebuilt
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY repo, pr_number ORDER BY seq) - 1) // 2000 AS page
+  FROM parts WHERE part IS NOT NULL),
+rebuilt AS (SELECT repo, pr_number, page, string_agg(part, chr(10) ORDER BY seq) AS diff FROM numbered
+  GROUP BY repo, pr_number, page)
+SELECT p.repo, p.pr_number, coalesce(r.page, 0) AS page, coalesce(r.diff, p.diff) AS diff, r.diff IS NOT NULL AS rebuilt
 FROM prs p LEFT JOIN rebuilt r USING (repo, pr_number)"""
 _SQL["rebuild_diff"] = _REBUILT
 _SQL["rebuild_diff_contains"] = _REBUILT

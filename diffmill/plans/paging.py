@@ -13,12 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from diffmill.session import stored
+
 # Most keys (of a few bytes each) sent to every executor; more are joined by shuffle.
 BROADCAST_KEYS = 100_000
 
-# Room for the pages of one slice, so that slice * this + page stays ordered.
-_SLICE = 1 << 32
-
 
 @dataclass(frozen=True)
 class Groups:
@@ -69,10 +68,23 @@ def split_by_size(
 
 
 def number_pages(rows: DataFrame, keys: list[str], order: list[Column], page_rows: int) -> DataFrame:
-    """Add ``page`` to oversized groups: a range shuffle on key and order spreads each
-    of them over many slices, and rows are numbered within a slice."""
+    """Add ``page`` to oversized groups: position in the group, divided by ``page_rows``.
+
+    A range shuffle on key and order cuts a group into slices over many tasks, rows are
+    numbered within their slice, and the rows of earlier slices are added. The slices
+    are drawn from a sample, so they are written down once and read twice.
+    """
     sliced = rows.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    block = F.floor((F.row_number().over(within) - 1) / page_rows)
-    page = F.col("_slice").cast("bigint") * _SLICE + block
-    return sliced.withColumn("page", page).drop("_slice")
+    ranked = stored(sliced.withColumn("_rank", F.row_number().over(within)), "slices")
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranked.groupBy(*keys, "_slice")
+        .agg(F.max("_rank").alias("_n"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select([F.col(k).alias(f"_{k}") for k in keys] + [F.col("_slice").alias("_s"), "_start"])
+    )
+    same = [ranked[k].eqNullSafe(F.col(f"_{k}")) for k in keys] + [ranked["_slice"] == F.col("_s")]
+    position = F.col("_start") + F.col("_rank") - 1
+    numbered = ranked.join(checked_broadcast(starts), same, "inner")
+    return numbered.withColumn("page", F.floor(position / page_rows).cast("bigint")).select(*rows.columns, "page")

@@ -1,0 +1,210 @@
+"""Column functions on hand-made edge values."""
+
+import hashlib
+import hmac
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from diffmill import fixed
+from diffmill.functions import json as J
+from diffmill.functions import naming, normalize, signature, text
+
+def v():
+    return F.col("v")
+
+
+def test_ext_of(column):
+    got = column([".js", "a.d.ts", "x/y.JSX", "dir.js/file", "a.", "noext", ".a.py", "d/.js"], text.ext_of(v()))
+    assert got == ["", ".ts", ".jsx", "", ".", "", ".py", ""]
+
+
+def test_language_of(column):
+    got = column(["a.js", "a.jsx", "a.ts", "a.tsx", "A.JAVA", "a.py", "a.go", ".js"], text.language_of(v()))
+    assert got == ["javascript", "javascript", "typescript", "typescript", "java", "python", "unknown", "unknown"]
+
+
+def test_line_count(column):
+    assert column(["", "a", "a\n", "a\nb\n\n", None], text.line_count(v())) == [1, 1, 2, 4, None]
+
+
+COMPLEXITY = [
+    ("", 1),
+    ("if (a) {} else if(b) {}", 3),
+    ("if(if(", 3),
+    ("notif (", 1),
+    ("\xe9if (", 2),  # an accented letter is no word character in the original dialect
+    ("_if (x)", 1),
+    ("if\xa0(x)", 2),  # so is a no-break space white space
+    ("if\n\t (x)", 2),
+    ("a?.b ?? c", 4),
+    ("a &&& b ||| c", 3),
+    ("for(;;) while (x) switch(y) catch (e) do", 5),
+    ("elseif(x) iff (y) form(z)", 1),
+]
+
+
+def test_cyclomatic(column):
+    assert column([c for c, _ in COMPLEXITY], text.cyclomatic(v())) == [n for _, n in COMPLEXITY]
+
+
+def test_cyclomatic_equals_separate_patterns(spark):
+    """One alternation counts what eight separate passes do."""
+    space = "[\\s\xa0﻿  -     　]*"
+    keywords = [rf"(?<![A-Za-z0-9_]){k}{space}\(" for k in fixed.DECISION_KEYWORDS]
+    patterns = keywords + [re.escape(o) for o in fixed.DECISION_OPERATORS]
+    pieces = st.sampled_from(["if", "for", "while", "switch", "catch", "(", " ", "\n", "&", "|", "?", "x", "_", "\xe9", "\xa0"])
+
+    @settings(max_examples=1, deadline=None)
+    @given(st.lists(st.lists(pieces, max_size=40).map("".join), min_size=300, max_size=300))
+    def run(texts):
+        rows = [(i, t) for i, t in enumerate(texts)]
+        got = dict(spark.createDataFrame(rows, "i int, v string").select("i", text.cyclomatic(v())).collect())
+        for i, t in rows:
+            assert got[i] == 1 + sum(len(re.findall(p, t, re.ASCII)) for p in patterns), repr(t)
+
+    run()
+
+
+def test_is_code_path(column):
+    kept = ["a.js", "src/b.TSX", "x/y/z.py"]
+    dropped = [".a.js", "node_modules/a.js", "x/node_modules/a.js", ".git/a.js", "x/.y/a.js", "a.md", "a"]
+    got = column(kept + dropped, text.is_code_path(v()))
+    assert got == [True] * len(kept) + [False] * len(dropped)
+
+
+def test_diff_functions(column):
+    diff = "junk\ndiff --git a/x.js b/x.js\n+++ b/x.js\n+a\n++b\n-c\ndiff --git a/o.js b/n b/n.js\n+d"
+    assert column([diff], text.diff_paths(v())) == [["x.js", "n.js"]]
+    assert column([diff, "+", "+++ x", "a\r+b", None], text.added_lines(v())) == [3, 1, 0, 0, None]
+    assert column(["a\U0001f600b", ""], text.utf16_length(v())) == [4, 0]
+    got = column(["Binary files a and b differ", "Binary files a\nand b differ", "", None], text.has_binary_marker(v()))
+    assert got == [True, False, False, False]
+
+
+def test_prompt(column):
+    assert column(["+x"], text.prompt(v())) == [fixed.PROMPT_BEFORE + "+x" + fixed.PROMPT_AFTER]
+    assert column(["+x"], text.prompt(v(), True))[0].startswith(fixed.SYSTEM_PROMPT + "\n\n" + fixed.PROMPT_BEFORE)
+
+
+TYPES = [
+    ("security_issue", "code_smell", "code_smell"),
+    ("Security", "security_issue", "code_smell"),
+    ("VULNERABILITY", "security_issue", "code_smell"),
+    ("Bug risk", "code_smell", "code_smell"),
+    ("type error", "code_smell", "code_smell"),
+    ("Design Pattern", "best_practice", "best_practice"),
+    ("suggestion", "suggestion", "suggestion"),
+    ("weird", "suggestion", "suggestion"),
+    ("", "suggestion", "suggestion"),
+    (None, "suggestion", "suggestion"),
+]
+
+
+def test_normalize_type(column):
+    raw = [t[0] for t in TYPES]
+    assert column(raw, normalize.normalize_type(v())) == [t[1] for t in TYPES]
+    assert column(raw, normalize.normalize_type(v(), persisted=True)) == [t[2] for t in TYPES]
+    assert column([None, "x"], normalize.normalize_type(v(), null_mode="fail")) == [None, "suggestion"]
+    persisted = normalize.normalize_type(normalize.normalize_type(v(), persisted=True))
+    assert column(raw, persisted) == [t[2] for t in TYPES]
+    with pytest.raises(ValueError):
+        normalize.normalize_type(v(), null_mode="other")
+
+
+def test_severity(column):
+    raw = ["CRITICAL", "High", "medium", "low", "blocker", "", None]
+    assert column(raw, normalize.normalize_severity(v())) == ["critical", "high", "medium", "low", "low", "low", "low"]
+    assert column(["critical", "high", "medium", "low", "x", None], normalize.severity_rank(v())) == [4, 3, 2, 1, 0, 0]
+
+
+def test_labels(column):
+    kinds = ["security_issue", "a_b_c", "plain"]
+    assert column(kinds, normalize.type_label(v())) == ["SECURITY ISSUE", "A B_C", "PLAIN"]
+    assert column(kinds, normalize.type_label(v(), upper=False)) == ["Security Issue", "A B_c", "Plain"]
+    places = [("a.js", 3), ("a.js", 0), ("a.js", None), ("", 3), (None, 3)]
+    got = column(places, normalize.location(F.col("p"), F.col("n")), "p string, n int")
+    assert got == ["a.js:3", "a.js", "a.js", "", ""]
+
+
+def test_score_band(column):
+    got = column([100, 80, 79, 60, 59, 0, None], normalize.score_band(v()), "v int")
+    assert got == ["good", "good", "fair", "fair", "poor", "poor", "none"]
+
+
+def test_null_if_falsy(column):
+    assert column(["", "a", None], normalize.null_if_falsy(v())) == [None, "a", None]
+    assert column([0, 1, None], normalize.null_if_falsy(v(), numeric=True), "v int") == [None, 1, None]
+
+
+BODIES = ["{}", '{"a": "\xe9\U0001f600"}', "x" * 1000]
+
+
+@pytest.mark.parametrize("secret", ["default-secret", "k" * 64, "k" * 65, "\xfc\xdf"])
+def test_hmac(column, secret):
+    want = [hmac.new(secret.encode(), b.encode(), hashlib.sha256).hexdigest() for b in BODIES]
+    assert column(BODIES, signature.hmac_sha256(v(), secret)) == want
+
+
+def test_signature_state(column):
+    good = "sha256=" + hmac.new(b"s", b"{}", hashlib.sha256).hexdigest()
+    rows = [
+        ("{}", good), ("", good), (None, good), ("{} ", good), ("{}", good.upper()),
+        ("{}", None), ("{}", ""), ("{}", "sha256=00"), ("{}", "sha256=" + "0" * 64),
+    ]
+    got = column(rows, signature.signature_state(F.col("b"), F.col("s"), "s"), "b string, s string")
+    assert got == ["valid", "valid", "valid", "wrong", "wrong", "missing", "missing", "wrong_length", "wrong"]
+
+
+def test_naming(column):
+    got = column(["o/r", "http://x/y", "https://x/y", "git@x:y", "ftp://x"], naming.repo_url(v()))
+    assert got == ["https://github.com/o/r.git", "http://x/y", "https://x/y", "git@x:y", "https://github.com/ftp://x.git"]
+    key = naming.artifact_key(F.col("j"), F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit("abcdefghij"))
+    assert column(["j1", "", None], key, "j string") == [
+        "uml/j1.puml", "uml/20240102_030405_abcdefgh.puml", "uml/20240102_030405_abcdefgh.puml"
+    ]
+    assert column(["k"], naming.artifact_url(v(), "http://localhost:1", "b")) == ["http://localhost:1/b/k"]
+    assert column(["k"], naming.artifact_url(v(), "https://store", "b")) == ["s3://b/k"]
+
+
+def test_strict_json(column):
+    good = ['{"a":1}', " [1] ", "5", "null", '"x"']
+    bad = ["", " ", "{} x", '{"a":1} {"b":2}', "{'a':1}", "{", '{"a":1,}', "1,2", "1,0", "not json", None]
+    got = column(good + bad, J.strict_json(v()).isNotNull())
+    assert got == [True] * len(good) + [False] * len(bad)
+
+
+SCORES = [
+    ("85", 85, 85),
+    ('"85"', 80, 85),
+    ("85.7", 80, 85),
+    ("85.0", 80, 85),
+    ('"85.7"', 80, 80),
+    ('" +8_5 "', 80, 85),
+    ('""', 80, 80),
+    ("null", 80, 80),
+    ("true", 1, 1),
+    ("false", 0, 0),
+    ("150", 80, 100),
+    ("-5", 80, 0),
+    ("-0.5", 80, 0),
+    ("1e2", 80, 100),
+    ("1e30", 80, 100),
+    ("123456789012345678901234567890", 80, 100),
+    ("[1]", 80, 80),
+    ("{}", 80, 80),
+]
+
+
+def test_scores(column):
+    docs = [f'{{"quality_score": {raw}}}' for raw, _, _ in SCORES] + ["{}"]
+    assert column(docs, J.score_strict(J.strict_json(v()))) == [s for _, s, _ in SCORES] + [80]
+    assert column(docs, J.score_clamp(J.strict_json(v()))) == [c for _, _, c in SCORES] + [80]
+
+
+def test_uml_url(column):
+    got = column(['{"uml_s3_url": "s3://x"}', '{"uml_s3_url": ""}', '{"uml_s3_url": null}', "{bad", "{}", None], J.uml_url(v()))
+    assert got == ["s3://x", None, None, None, None, None]
