@@ -48,7 +48,7 @@ def render_comment(
     """
     top = top_findings(findings, k, ordinal=ordinal)
     lines = top.groupBy("review_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", finding_text(F.col("position")).alias("text")))).alias("_lines")
+        F.sort_array(F.collect_list(F.struct("position", finding_text(F.col("position")).alias("text")))).alias("_lines")
     )
     listed = F.array_join(F.transform("_lines", lambda x: x["text"]), "")
     before, after = COMMENT_SCORE

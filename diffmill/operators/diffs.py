@@ -174,5 +174,5 @@ def rebuild_diff(
 
 
 def _joined(paged_parts: DataFrame) -> DataFrame:
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda p: p["part"])
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "part"))), lambda p: p["part"])
     return paged_parts.groupBy(*PR, "page").agg(F.array_join(texts, "\n").alias("diff"))

@@ -118,7 +118,7 @@ def _documents(paged_rows: DataFrame, by: list[str], fields: list[str]) -> DataF
     return (
         paged_rows.groupBy(*by, "page")
         .agg(
-            F.array_sort(F.collect_list(F.struct(*fields))).alias("file_metrics"),
+            F.sort_array(F.collect_list(F.struct(*fields))).alias("file_metrics"),
             *sums,
             F.count(F.lit(1)).alias("files_analyzed"),
         )

@@ -111,7 +111,7 @@ def detail_order(ordinal: tuple[str, ...] = ORDINAL) -> list[Column]:
     """Most severe first, then newest, then in the order of the model. The rank
     decides, never the text of the severity."""
     first, *rest = severity_order(ordinal)
-    return [first, F.col("created_at").desc(), *rest]
+    return [first, F.col("created_at").desc_nulls_last(), *rest]
 
 
 def order_findings(findings: DataFrame, ordinal: tuple[str, ...] = ORDINAL) -> DataFrame:
@@ -169,10 +169,10 @@ def review_detail(
 def _nested(paged_findings: DataFrame, fields: list[str], ordinal: tuple[str, ...]) -> DataFrame:
     """Pages as arrays. The rows come partitioned already: gathering them before the
     shuffle would save nothing."""
-    newest = -F.unix_micros(F.col("created_at").cast("timestamp"))
+    newest = F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(2**63 - 1))
     sort_key = F.struct((-severity_rank(F.col("severity"))).alias("r"), newest.alias("t"), *ordinal)
     entry = F.struct(sort_key.alias("k"), F.struct(*fields).alias("v"))
-    ordered = F.array_sort(F.collect_list(entry))
+    ordered = F.sort_array(F.collect_list(entry))
     return paged_findings.groupBy("review_id", "page").agg(F.transform(ordered, lambda e: e["v"]).alias("findings"))
 
 
@@ -266,6 +266,12 @@ def quality_trend(reviews: DataFrame, grain: str = "day") -> DataFrame:
     )
 
 
+def out_of_domain(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
+    """Values of a column outside its domain, with their number; NULL is one too."""
+    strange = ~F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+    return df.where(strange).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Maintenance
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:

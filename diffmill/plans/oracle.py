@@ -130,6 +130,10 @@ _SQL["normalize_severity"] = _with(RAW_FINDINGS) + (
     f"SELECT severity AS raw_severity, {_severity('severity')} AS severity, count(*) AS n "
     "FROM raw_findings GROUP BY ALL"
 )
+_SQL["out_of_domain"] = _with(RAW_FINDINGS) + (
+    "SELECT severity, count(*) AS n FROM raw_findings "
+    "WHERE coalesce(severity NOT IN ('low', 'medium', 'high', 'critical'), true) GROUP BY severity"
+)
 _SQL["order_findings"] = _with(FINDINGS) + (
     f"SELECT review_id, severity, strftime(created_at, {DAY}) AS created_at, message, l_extendedprice FROM findings "
     f"ORDER BY review_id, {RANK} DESC, findings.created_at DESC, {ORDER}"

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diffmill.fixed import SEVERITIES
 from diffmill.functions import json as J
 from diffmill.functions import naming, normalize, signature, text
 from diffmill.operators import artifacts as A
@@ -106,6 +107,11 @@ def normalize_severity(spark, sf_dir):
     )
 
 
+@query
+def out_of_domain(spark, sf_dir):
+    return reviews.out_of_domain(V.raw_findings(spark, sf_dir), "severity", SEVERITIES)
+
+
 @query
 def order_findings(spark, sf_dir):
     ordered = reviews.order_findings(findings(spark, sf_dir), V.ORDINAL)
@@ -609,15 +615,14 @@ def score_diffs(spark, sf_dir):
     )
 
 
-def by_length(prompt: str) -> str:
-    """A stand-in scorer: the score follows the length of the prompt; every 13th length fails."""
-    if len(prompt) % 13 == 0:
-        raise ValueError("no answer")
-    return json.dumps({"quality_score": len(prompt) % 101, "findings": []})
-
-
 @query
 def score_diffs_custom(spark, sf_dir):
+    def by_length(prompt: str) -> str:
+        """A stand-in: the score follows the length of the prompt; every 13th fails."""
+        if len(prompt) % 13 == 0:
+            raise ValueError("no answer")
+        return json.dumps({"quality_score": len(prompt) % 101, "findings": []})
+
     documents = V.table(spark, sf_dir, "documents").withColumnRenamed("text", "diff")
     return scoring.score_diffs(documents, ["doc_id"], by_length).select("doc_id", "raw", "outcome")
 

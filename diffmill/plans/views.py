@@ -210,7 +210,7 @@ def prs(spark, sf_dir) -> DataFrame:
     name = F.col("filename")
     section = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n"), F.col("content"))
     rows = pr_files(spark, sf_dir).select("repo", "pr_number", F.struct("seq", section.alias("s")).alias("e"))
-    texts = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["s"])
+    texts = F.transform(F.sort_array(F.collect_list("e")), lambda e: e["s"])
     return rows.groupBy("repo", "pr_number").agg(F.array_join(texts, "\n").alias("diff"))
 
 

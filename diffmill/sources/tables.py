@@ -32,6 +32,11 @@ def write_findings(df: DataFrame, path: str, mode: str = "append") -> None:
     sorted_rows.write.mode(mode).partitionBy("created_on").parquet(path)
 
 
+def write_artifacts(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Diagrams with their keys and addresses."""
+    df.write.mode(mode).parquet(path)
+
+
 def _spread(dated: DataFrame) -> DataFrame:
     """A day's rows together, in files of even size: a rebalance splits a large day
     over several tasks and merges small ones."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from diffmill.fixed import REQUEST_TOPIC, STATIC_TOPIC
 from diffmill.schemas import MESSAGE
@@ -51,3 +52,10 @@ def to_topic(df: DataFrame, key_col: str = "job_id") -> DataFrame:
 def publish(messages: DataFrame, topic: str, servers: str) -> None:
     """Send a batch of messages to a broker (S3)."""
     messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
+def publish_stream(messages: DataFrame, topic: str, servers: str, checkpoint: str) -> StreamingQuery:
+    """Send a stream of messages to a broker (S3). The checkpoint makes it resume where
+    it stopped; a message may be sent again, which the job id as key tells apart."""
+    writer = messages.writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
+    return writer.option("topic", topic).option("checkpointLocation", checkpoint).start()
