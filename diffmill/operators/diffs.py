@@ -79,8 +79,8 @@ def diff_parts(prs: DataFrame, files: DataFrame, contents: DataFrame, match: str
 
     ``match='exact'`` finds that section by its path, on both sides spread by (pull
     request, path). ``match='contains'`` also accepts a longer path that contains the
-    name, and sections that follow directly and match too; it carries the original
-    diff to every such file, so use it only where names of that kind matter.
+    name, and sections that follow directly and match too; the header lines of a diff
+    meet every such file, so use it only where names of that kind matter.
     """
     if match not in ("exact", "contains"):
         raise ValueError("match is 'exact' or 'contains'")
@@ -122,26 +122,35 @@ def _sections_by_path(files: DataFrame, prs: DataFrame) -> DataFrame:
 
 
 def _sections_by_name(files: DataFrame, prs: DataFrame) -> DataFrame:
-    names = files.select(*PR, "seq", "filename")
-    joined = names.join(prs.select(*PR, "diff"), PR, "inner")
-    lines = F.split(F.col("diff"), "\n", -1)
-    mark = F.transform(
-        F.col("_lines"),
-        lambda line: F.when(line.contains("diff --git") & line.contains(F.col("filename")), 1)
-        .when(line.startswith("diff --git"), 2)
+    """The first run of sections whose header line holds the file's name. Only the
+    header lines of a diff meet its files; texts are fetched by section afterwards."""
+    cut = prs.select(*PR, F.split("diff", "\n(?=[^\n]*diff --git)", -1).alias("_pieces"))
+    heads = cut.select(*PR, F.transform("_pieces", lambda p: F.substring_index(p, "\n", 1)).alias("_heads"))
+    names, other = 1, 2
+    marks = F.transform(
+        "_heads",
+        lambda h: F.when(h.contains("diff --git") & h.contains(F.col("filename")), names)
+        .when(h.startswith("diff --git"), other)
         .otherwise(0),
     )
-    start = F.array_position("_marks", 1)
-    rest = F.slice("_marks", F.col("_start").cast("int"), F.size("_marks"))
-    stop = F.array_position(rest, 2)
-    length = F.when(stop > 0, stop - 1).otherwise(F.size("_marks"))
+    rest = F.slice("_marks", F.col("_from").cast("int"), F.size("_marks"))
+    length = F.coalesce(F.nullif(F.array_position(rest, other), F.lit(0)) - 1, F.size(rest))
+    wanted = (
+        files.select(*PR, "seq", "filename")
+        .join(heads, PR, "inner")
+        .withColumn("_marks", marks)
+        .withColumn("_from", F.array_position("_marks", names))
+        .where(F.col("_from") > 0)
+        .select(*PR, "seq", F.explode(F.sequence(F.col("_from"), F.col("_from") + length - 1)).alias("_piece"))
+    )
+    pieces = cut.select(*PR, F.posexplode("_pieces").alias("_pos", "text")).select(
+        *PR, (F.col("_pos") + 1).cast("bigint").alias("_piece"), "text"
+    )
+    run = F.sort_array(F.collect_list(F.struct("_piece", "text")))
     return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_marks", mark)
-        .withColumn("_start", start)
-        .where(F.col("_start") > 0)
-        .withColumn("part", F.array_join(F.slice("_lines", F.col("_start").cast("int"), length.cast("int")), "\n"))
-        .select(*PR, "seq", "part")
+        wanted.join(pieces, [*PR, "_piece"], "inner")
+        .groupBy(*PR, "seq")
+        .agg(F.array_join(F.transform(run, lambda p: p["text"]), "\n").alias("part"))
     )
 
 

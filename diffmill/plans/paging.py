@@ -51,6 +51,7 @@ def large_keys(sized_by: DataFrame, keys: list[str], page_rows: int) -> DataFram
     found = large.limit(BROADCAST_KEYS + 1).count()
     if found == 0:
         return None
+    large = stored(large, "large-keys")
     return F.broadcast(large) if found <= BROADCAST_KEYS else large
 
 

@@ -40,12 +40,13 @@ def write_artifacts(df: DataFrame, path: str, mode: str = "append") -> None:
 def _spread(dated: DataFrame) -> DataFrame:
     """A day's rows together, in files of even size: a rebalance splits a large day
     over several tasks and merges small ones."""
-    return dated.hint("rebalance", "created_on")
+    return dated.hint("rebalance", F.col("created_on"))
 
 
 def overwrite_partitions(df: DataFrame, path: str, by: str = "created_on") -> None:
     """Replace only the partitions that ``df`` has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    even = df.hint("rebalance", F.col(by))
+    even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def upsert_table(spark: SparkSession, path: str, changes: DataFrame, key: str, cols: list[str]) -> None:

@@ -143,6 +143,42 @@ def test_rebuild_diff_contains_takes_longer_names(spark):
     assert got == {1: HEAD + run + TAIL, 2: "as it was"}
 
 
+def test_contains_against_brute_force(spark):
+    """Names that hold one another, headers in mid-line, repeated and missing files."""
+    rng = random.Random(7)
+    pool = ["a.js", "data.js", "src/a.js", "b.js", "lib/b.js"]
+    lines = ["+x", "-y", "", " @@", "+ diff --git a/a.js b/a.js", "text a.js"]
+    prs, files = [], []
+    for pr in range(60):
+        text = [rng.choice(lines) for _ in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(0, 6)):
+            name = rng.choice(pool)
+            text += [f"diff --git a/{name} b/{name}", *(rng.choice(lines) for _ in range(rng.randint(0, 3)))]
+        prs.append(("r", pr, "\n".join(text)))
+        files += [("r", pr, i, n, "modified", False, None, "s") for i, n in enumerate(rng.sample(pool, 3))]
+
+    def section(diff, name):
+        split = diff.split("\n")
+        opens = [("diff --git" in x and name in x) for x in split]
+        ends = [x.startswith("diff --git") and not o for x, o in zip(split, opens)]
+        if True not in opens:
+            return None
+        start = opens.index(True)
+        stop = next((i for i in range(start, len(split)) if ends[i]), len(split))
+        return "\n".join(split[start:stop])
+
+    want = {}
+    for _, pr, diff in prs:
+        parts = [section(diff, f[3]) for f in files if f[1] == pr]
+        found = [p for p in parts if p is not None]
+        want[pr] = "\n".join(found) if found else diff
+    none = spark.createDataFrame([], "repo string, sha string, path string, content string")
+    got = diffs.rebuild_diff(
+        spark.createDataFrame(prs, "repo string, pr_number int, diff string"), spark.createDataFrame(files, FILES), none, "contains"
+    )
+    assert {r.pr_number: r.diff for r in got.collect()} == want
+
+
 def test_rebuild_diff_in_pages(spark):
     prs, files, contents = V.prs(spark, SF), V.pr_files(spark, SF), V.pr_contents(spark, SF)
     whole = {(r.repo, r.pr_number): (r.diff, r.rebuilt) for r in diffs.rebuild_diff(prs, files, contents).collect()}
