@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffmill.fixed import EMPTY_BLOB, NEW_FILE_MODE
-from diffmill.functions.text import added_lines, diff_paths, header_path, short_sha, utf16_length
+from diffmill.functions.text import added_lines, diff_paths, has_binary_marker, header_path, short_sha, utf16_length
 from diffmill.plans.paging import attach_by_key, number_pages, split_by_size
 
 PR = ["repo", "pr_number"]
@@ -182,6 +182,18 @@ def rebuild_diff(
     )
 
 
+def resolved_diffs(prs: DataFrame, files: DataFrame, contents: DataFrame, **rebuilding) -> DataFrame:
+    """The diff to review (P7, P8): the original, or the rebuilt one where the original
+    holds a binary marker. Only files of those pull requests are looked at."""
+    marked = has_binary_marker(F.col("diff"))
+    doubtful = prs.where(marked)
+    theirs = attach_by_key(files, doubtful.select(*PR).distinct(), PR, "left_semi")
+    plain = prs.where(~marked).select(
+        *PR, F.lit(0).cast("bigint").alias("page"), "diff", F.lit(False).alias("rebuilt")
+    )
+    return plain.unionByName(rebuild_diff(doubtful, theirs, contents, **rebuilding))
+
+
 def _joined(paged_parts: DataFrame) -> DataFrame:
     texts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "part"))), lambda p: p["part"])
     return paged_parts.groupBy(*PR, "page").agg(F.array_join(texts, "\n").alias("diff"))

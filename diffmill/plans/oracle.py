@@ -462,6 +462,11 @@ SELECT p.repo, p.pr_number, coalesce(r.page, 0) AS page, coalesce(r.diff, p.diff
 FROM prs p LEFT JOIN rebuilt r USING (repo, pr_number)"""
 _SQL["rebuild_diff"] = _REBUILT
 _SQL["rebuild_diff_contains"] = _REBUILT
+_SQL["resolved_diffs"] = _REBUILT.replace(
+    "coalesce(r.diff, p.diff) AS diff",
+    "CASE WHEN p.pr_number % 3 = 0 THEN coalesce(r.diff, 'Binary files a/x and b/x differ' || chr(10) || p.diff) "
+    "ELSE p.diff END AS diff",
+).replace("r.diff IS NOT NULL AS rebuilt", "r.diff IS NOT NULL AND p.pr_number % 3 = 0 AS rebuilt")
 _SQL["split_diff"] = _with(_FILES) + (
     "SELECT repo, pr_number, CAST(row_number() OVER (PARTITION BY repo, pr_number ORDER BY seq) AS INTEGER) AS segment, "
     f"filename AS path, {_OPEN} || chr(10) || content AS text FROM files"

@@ -509,6 +509,14 @@ def rebuild_diff_contains(spark, sf_dir):
     )
 
 
+@query
+def resolved_diffs(spark, sf_dir):
+    """Every third pull request shows a binary change."""
+    marker = F.when(F.col("pr_number") % 3 == 0, F.lit("Binary files a/x and b/x differ\n")).otherwise("")
+    prs = V.prs(spark, sf_dir).withColumn("diff", F.concat(marker, "diff"))
+    return diffs.resolved_diffs(prs, V.pr_files(spark, sf_dir), V.pr_contents(spark, sf_dir))
+
+
 @query
 def split_diff(spark, sf_dir):
     return diffs.split_diff(V.prs(spark, sf_dir), ["repo", "pr_number"])

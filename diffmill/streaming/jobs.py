@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from diffmill.operators.deliveries import accepted_deliveries, parse_messages, review_requests, tag_messages
+from diffmill.operators.deliveries import accepted_deliveries, parse_messages, resolve_diff, review_requests, tag_messages
 from diffmill.operators.telemetry import bucket_aggregates, long_buckets
 from diffmill.sources.topics import to_topic
 
 
-def stream_requests(deliveries: DataFrame, secret: str) -> DataFrame:
-    """Accepted deliveries with an inline diff as request messages (ST1). Stateless."""
-    accepted = accepted_deliveries(deliveries, secret)
-    return to_topic(review_requests(accepted.where(F.col("inline_diff").isNotNull())))
+def stream_requests(deliveries: DataFrame, secret: str, landed: DataFrame | None = None) -> DataFrame:
+    """Accepted deliveries as request messages (ST1). Stateless.
+
+    The diff is the inline one, else that of ``landed``, a table with one row per repo,
+    pr_number and head_sha. A delivery is published only with a diff.
+    """
+    accepted, diff = accepted_deliveries(deliveries, secret), F.col("inline_diff")
+    if landed is not None:
+        keys = ["repo", "pr_number", "head_sha"]
+        accepted = accepted.join(landed.select(*keys, F.col("diff").alias("_landed")), keys, "left")
+        diff = resolve_diff(diff, F.lit(None).cast("string"), F.col("_landed"))
+    return to_topic(review_requests(accepted.where(diff.isNotNull()), diff))
 
 
 def request_rows(messages: DataFrame, schema: T.StructType) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from diffmill.operators import reviews
+from diffmill.operators.deliveries import accepted_deliveries, extract_pr
 from diffmill.plans import views as V
 from diffmill.schemas import DELIVERY, REQUEST
 from diffmill.session import work_dir
@@ -127,6 +128,24 @@ def test_requests_from_landed_deliveries(spark, folder):
     assert typed.where("pr_number is null or ts is null").count() == 0
 
 
+def test_requests_take_landed_diffs(spark, folder):
+    source = f"{folder}/in"
+    sent = V.deliveries(V.table(spark, "/root/testdata/sf0.001", "events")).select(DELIVERY.fieldNames())
+    sent.write.json(source)
+    wanted = extract_pr(accepted_deliveries(sent, V.SECRET).select(DELIVERY.fieldNames()))
+    keys = wanted.select("repo", "pr_number", "head_sha").distinct()
+    landed = keys.where("pr_number % 2 = 0").withColumn("diff", F.lit("landed"))
+    got = run(jobs.stream_requests(read_deliveries(spark, source, stream=True), V.SECRET, landed), folder)
+    counts = {}
+    for r in got.collect():
+        diff = json.loads(r.value)["diff"]
+        counts[diff] = counts.get(diff, 0) + 1
+    inline = F.col("inline_diff").isNotNull()
+    assert counts == {
+        "+x": wanted.where(inline).count(), "landed": wanted.where(~inline & (F.col("pr_number") % 2 == 0)).count()
+    }
+
+
 def test_a_repeated_batch_leaves_one_copy(spark, folder):
     source, table = f"{folder}/in", f"{folder}/table"
     land(spark, source, [("a", 1, at(0))], SEEN)
