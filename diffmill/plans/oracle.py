@@ -165,6 +165,9 @@ _LIST = f"SELECT id, repo, pr_number, status, quality_score, strftime(created_at
 _SQL["review_list"] = _with(REVIEWS) + _LIST
 _SQL["latest_reviews"] = _with(REVIEWS) + _LIST + " ORDER BY reviews.created_at DESC, id LIMIT 10"
 _SQL["review_by_id"] = _with(REVIEWS) + _LIST + " WHERE id = 42"
+_SQL["findings_by_review"] = _with(FINDINGS) + (
+    "SELECT review_id, type, severity, message FROM findings WHERE review_id = 77"
+)
 _SQL["review_by_job"] = _with(REVIEWS) + _LIST + " WHERE job_id = 'a1d0c6e83f027327d8461063f4ac58a6'"
 _SQL["reviews_by_ids"] = _with(REVIEWS) + (
     "SELECT id, job_id FROM reviews WHERE id IN (SELECT event_id * 3 FROM events WHERE event_id % 3 <> 0)"
@@ -427,11 +430,14 @@ _SQL["lint_rollup"] = _with(_CODE, _LINT) + (
     "SELECT doc_id, coalesce(issues, 0) AS issues, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings "
     "FROM code LEFT JOIN linted USING (doc_id)"
 )
-_SQL["changed_files"] = _with(_CODE) + (
-    "SELECT repo, file_path, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'deleted' "
-    "ELSE 'modified' END AS change FROM code WHERE (doc_id % 10 = 0) <> (doc_id % 11 = 0) "
-    "OR (doc_id % 10 <> 0 AND doc_id % 11 <> 0 AND doc_id % 3 = 0)"
-)
+_SQL["changed_files"] = _with(_CODE) + """,
+base AS (SELECT repo, CASE WHEN doc_id % 10 = 0 THEN file_path || '.old' ELSE file_path END AS file_path, content
+  FROM code),
+head AS (SELECT repo, CASE WHEN doc_id % 11 = 0 THEN file_path || '.new' ELSE file_path END AS file_path,
+  CASE WHEN doc_id % 3 = 0 THEN content || chr(10) ELSE content END AS content FROM code)
+SELECT repo, file_path, CASE WHEN b.content IS NULL THEN 'added' WHEN h.content IS NULL THEN 'deleted'
+  ELSE 'modified' END AS change FROM base b FULL JOIN head h USING (repo, file_path)
+WHERE b.content IS DISTINCT FROM h.content"""
 _SQL["code_files"] = _with(_view("tree", {"doc_id": "doc_id", "file_path": V.TREE_PATH}, "documents")) + (
     "SELECT doc_id, file_path FROM tree WHERE NOT regexp_matches(file_path, '(^|/)(\\.[^/]*|node_modules)(/|$)') "
     f"AND {_EXT.format(p='file_path')} IN ('.js', '.jsx', '.ts', '.tsx', '.java', '.py')"

@@ -172,6 +172,11 @@ def review_by_id(spark, sf_dir):
     return reviews.review_list(found).withColumn("created_at", _time("created_at"))
 
 
+@query
+def findings_by_review(spark, sf_dir):
+    return reviews.by_id(findings(spark, sf_dir), "77", "review_id").select("review_id", "type", "severity", "message")
+
+
 @query
 def review_by_job(spark, sf_dir):
     found = reviews.by_job(V.reviews(spark, sf_dir), "a1d0c6e83f027327d8461063f4ac58a6")
@@ -482,12 +487,14 @@ def lint_rollup(spark, sf_dir):
 
 @query
 def changed_files(spark, sf_dir):
-    """The base lacks every tenth file, the head every eleventh; every third was edited."""
+    """Two snapshots of all files: some paths exist in one only, and every third file
+    was edited."""
     files = V.code(spark, sf_dir)
-    edited = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("\n"))).otherwise(F.col("content"))
-    base = files.where("doc_id % 10 <> 0")
-    head = files.where("doc_id % 11 <> 0").withColumn("content", edited)
-    return metrics.changed_files(base, head)
+    number, path = F.col("doc_id"), F.col("file_path")
+    edited = F.when(number % 3 == 0, F.concat("content", F.lit("\n"))).otherwise(F.col("content"))
+    base = files.withColumn("file_path", F.when(number % 10 == 0, F.concat(path, F.lit(".old"))).otherwise(path))
+    head = files.withColumn("file_path", F.when(number % 11 == 0, F.concat(path, F.lit(".new"))).otherwise(path))
+    return metrics.changed_files(base, head.withColumn("content", edited))
 
 
 @query
@@ -680,10 +687,10 @@ def stream_histogram(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    """Every twentieth event is delivered twice."""
+    """Every event is delivered twice."""
     columns = {"job_id": "md5(cast(event_id as varchar(20)))", "event_id": "event_id", "ts": "cast(ts as timestamp)"}
     first = V.view(V.table_stream(spark, sf_dir, "events"), columns)
-    again = V.view(V.table_stream(spark, sf_dir, "events").where("event_id % 20 = 0"), columns)
+    again = V.view(V.table_stream(spark, sf_dir, "events"), columns)
     path = _streamed(spark, jobs.dedup_jobs(first.union(again), "1 day"), "dedup")
     return spark.read.parquet(path).select("job_id", "event_id")
 
