@@ -184,12 +184,13 @@ def attach_review_id(findings: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def latest_static(results: DataFrame, order: str = "offset_no") -> DataFrame:
     """Last static result of every job; combined before the shuffle."""
-    return results.groupBy("job_id").agg(F.max_by("static_metrics", order).alias("static_metrics"))
+    last = F.max_by("static_metrics", order).alias("static_metrics")
+    return results.groupBy("job_id").agg(last, F.max(order).alias(order))
 
 
 def apply_static(reviews: DataFrame, results: DataFrame, order: str = "offset_no") -> tuple[DataFrame, DataFrame]:
     """Reviews with their last static metrics, and results without a review."""
-    last = latest_static(results, order).withColumnRenamed("static_metrics", "_new")
+    last = latest_static(results, order).select("job_id", F.col("static_metrics").alias("_new"))
     updated = (
         reviews.join(last, "job_id", "left")
         .withColumn("static_metrics", F.coalesce("_new", "static_metrics"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from diffmill.operators.deliveries import accepted_deliveries, parse_messages, resolve_diff, review_requests, tag_messages
+from diffmill.operators.reviews import latest_static
 from diffmill.operators.telemetry import bucket_aggregates, long_buckets
 from diffmill.sources.topics import to_topic
 
@@ -54,6 +55,22 @@ def stream_apply_static(reviews: DataFrame, results: DataFrame, bound: str) -> D
     return left.join(right, (F.col("job_id") == F.col("_job")) & near, "left_outer").drop("_job")
 
 
+def stream_static_log(
+    results: DataFrame, path: str, checkpoint: str, order: str = "offset", trigger: dict | None = None
+) -> StreamingQuery:
+    """Log of static results with one row per job and micro-batch (ST3, ST8).
+
+    The other way to bring results to reviews: ``apply_static`` folds the log when it is
+    read. A job that repeats without end is reduced in every task before the shuffle,
+    which a join of streams cannot do.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        latest_static(batch, order).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _start(results, write, checkpoint, "append", trigger)
+
+
 def stream_counters(events: DataFrame, window: str, delay: str) -> DataFrame:
     """Outcomes per window and status (ST5)."""
     return (

@@ -70,6 +70,18 @@ def test_static_join_reports_what_never_came(spark, folder):
     assert sorted(map(tuple, got.collect())) == [("a", "m"), ("b", None), ("c", None)]
 
 
+def test_static_log_folds_to_the_last_result(spark, folder):
+    source, schema = f"{folder}/in", "job_id string, static_metrics string, offset long"
+    log, opened = f"{folder}/log", spark.createDataFrame([(1, "a", None), (2, "b", "old")], "id long, job_id string, static_metrics string")
+    for part in ([("a", "m1", 1), ("a", "m3", 3), ("x", "m2", 2)], [("a", "m0", 0), ("b", "m4", 4)]):
+        land(spark, source, part, schema)
+        jobs.stream_static_log(spark.readStream.schema(schema).parquet(source), log, f"{folder}/checkpoint").awaitTermination()
+    assert spark.read.parquet(log).count() == 4
+    updated, unmatched = reviews.apply_static(opened, spark.read.parquet(log), "offset")
+    assert sorted(map(tuple, updated.select("id", "static_metrics").collect())) == [(1, "m3"), (2, "m4")]
+    assert [r.job_id for r in unmatched.collect()] == ["x"]
+
+
 def test_counters_update_over_batches(spark, folder):
     source, schema = f"{folder}/in", "status string, ts timestamp"
     for hours in ([1, 2, 26], [3, 27]):
