@@ -207,7 +207,9 @@ _STATE = f"""SELECT md5(CAST(user_id AS VARCHAR(20))) AS job_id, arg_max(status,
 FROM (SELECT user_id, ts, {{'t': ts, 's': event_id}} AS k, CASE event_type WHEN 'error' THEN 'failed'
   WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' ELSE 'done' END AS status FROM events) GROUP BY user_id"""
 _SQL["review_state"] = _STATE
-_SQL["sha_matches"] = "SELECT o_orderkey AS id, o_orderkey % 7 <> 0 AS matches FROM orders"
+_SQL["sha_matches"] = _with(_view("checkouts", V.CHECKOUTS, "orders")) + (
+    "SELECT id, regexp_replace(head, '^\\s+|\\s+$', '', 'g') = sha AS matches FROM checkouts"
+)
 _SQL["apply_static"] = _with(REVIEWS, STATIC, LAST_STATIC) + (
     ", updated AS (SELECT id, coalesce(new, static_metrics) AS static_metrics "
     "FROM reviews LEFT JOIN last_static USING (job_id)) "
@@ -494,7 +496,9 @@ _SQL["with_contents"] = _with(_FILES) + (
     "SELECT repo, pr_number, seq, md5(content) AS content_md5 FROM files "
     "WHERE status IN ('added', 'renamed') AND coalesce(patch, '') = ''"
 )
-_SQL["binary_markers"] = "SELECT doc_id, doc_id % 4 = 0 OR (doc_id % 4 <> 1 AND false) AS binary FROM documents"
+_SQL["binary_markers"] = _with(_view("marked", V.MARKED, "documents")) + (
+    "SELECT doc_id, regexp_matches(diff, 'Binary files .* differ') AS binary FROM marked"
+)
 _SQL["prompts"] = (
     f"SELECT doc_id, md5({_text(PROMPT_BEFORE)} || text || {_text(PROMPT_AFTER)}) AS prompt_md5, "
     "substring(text, 1, 200) AS preview FROM documents"

@@ -264,12 +264,7 @@ def _state_events(events):
 
 @query
 def sha_matches(spark, sf_dir):
-    checkouts = V.view(V.table(spark, sf_dir, "orders"), {
-        "id": "o_orderkey",
-        "head": "concat(case when o_orderkey % 2 = 0 then ' ' else '' end, "
-        "md5(cast(o_orderkey as varchar(20))), chr(10))",
-        "sha": "case when o_orderkey % 7 = 0 then md5('x') else md5(cast(o_orderkey as varchar(20))) end",
-    })
+    checkouts = V.view(V.table(spark, sf_dir, "orders"), V.CHECKOUTS)
     return checkouts.select("id", reviews.sha_matches(F.col("head"), F.col("sha")).alias("matches"))
 
 
@@ -349,7 +344,8 @@ def review_requests(spark, sf_dir):
 @query
 def quarantine(spark, sf_dir):
     messages = V.raw_scores(spark, sf_dir).withColumnRenamed("raw", "value")
-    return deliveries.tag_messages(messages, REQUEST).select("event_id", F.coalesce("reason", F.lit("good")).alias("reason"))
+    tagged = deliveries.tag_messages(messages, REQUEST)
+    return tagged.select("event_id", F.coalesce("reason", F.lit("good")).alias("reason"))
 
 
 @query
@@ -425,7 +421,7 @@ def run_reviews(spark, sf_dir):
 @query
 def run_findings(spark, sf_dir):
     run = _run(spark, sf_dir)
-    stored = run.findings.select("review_id", "ordinal", "type", "severity", "file_path", "line_number", "message", "suggestion")
+    stored = run.findings.drop("id", "created_at")
     jobs_by_id = run.reviews.select(F.col("id").alias("review_id"), "job_id")
     return stored.join(jobs_by_id, "review_id").drop("review_id")
 
@@ -554,11 +550,7 @@ def with_contents(spark, sf_dir):
 
 @query
 def binary_markers(spark, sf_dir):
-    marked = V.view(V.table(spark, sf_dir, "documents"), {
-        "doc_id": "doc_id",
-        "diff": "case doc_id % 4 when 0 then concat(text, chr(10), 'Binary files a/x and b/x differ') "
-        "when 1 then concat('Binary files', chr(10), text, ' differ') else text end",
-    })
+    marked = V.view(V.table(spark, sf_dir, "documents"), V.MARKED)
     return marked.select("doc_id", text.has_binary_marker(F.col("diff")).alias("binary"))
 
 

@@ -136,6 +136,20 @@ PR_FILES = {
     "head_sha": "md5(cast(conv_id as varchar(20)))",
 }
 
+# Texts with a marker line, with its words on different lines, and as they are.
+MARKED = {
+    "doc_id": "doc_id",
+    "diff": "case doc_id % 4 when 0 then concat(text, chr(10), 'Binary files a/x and b/x differ') "
+    "when 1 then concat('Binary files', chr(10), text, ' differ') else text end",
+}
+
+CHECKOUTS = {
+    "id": "o_orderkey",
+    "head": "concat(case when o_orderkey % 2 = 0 then ' ' else '' end, "
+    "md5(cast(o_orderkey as varchar(20))), chr(10))",
+    "sha": "case when o_orderkey % 7 = 0 then md5('x') else md5(cast(o_orderkey as varchar(20))) end",
+}
+
 LATENCY = {
     "status": "event_type",
     "latency_ms": "cast(value as decimal(12,2)) * 100",
