@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.llm import decontaminate, license_scan
+from diffmill.llm import decontaminate, license_scan, quality
 from diffmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,15 +56,15 @@ ORACLES["op2_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
 item_windows AS (
-  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS window
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
   FROM (SELECT *, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
 ),
 places AS (
-  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS window
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
         FROM d, (SELECT DISTINCT size FROM item_windows) WHERE len(w) >= size)
 ),
-found AS (SELECT doc_id, size, i, item_id FROM places JOIN item_windows USING (size, window)),
+found AS (SELECT doc_id, size, i, item_id FROM places JOIN item_windows USING (size, win)),
 hit AS (
   SELECT doc_id, count(DISTINCT word) AS n_hit
   FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM found) GROUP BY 1
@@ -78,3 +78,11 @@ SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS big
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op3_quality_outliers(spark, sf_dir):
+    judged = quality.judge_quality(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
