@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.llm import decontaminate, license_scan, quality
+from diffmill.llm import decontaminate, license_scan, mixing, quality, sharding
 from diffmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,60 @@ def op3_quality_outliers(spark, sf_dir):
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
+
+
+@query
+def op4_mix_sources(spark, sf_dir):
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select("row.doc_id", "size", "source_size", "target", taken)
+
+
+ORACLES["op4_mix_sources"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0) AS symbols,
+         (cast('0x' || substr(md5('mix-' || coalesce(cast(doc_id AS varchar), '')), 1, 12) AS bigint) + 0.5::double)
+           / 281474976710656::double AS u
+  FROM documents
+),
+k AS (SELECT *, -ln(u) * (1 + 20::double * symbols / greatest(size, 1)) AS key FROM d),
+s AS (SELECT source, cast(sum(size) AS bigint) AS source_size FROM d GROUP BY 1),
+w AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+         source_size * 2 AS cap, sum(source_size) OVER () * 1.5::double AS total
+  FROM s
+),
+l AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double)
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::double AS level
+  FROM w
+),
+t AS (
+  SELECT source, source_size,
+         least(cap::double, max(CASE WHEN level <= cap / weight THEN level END) OVER () * weight) AS target
+  FROM l
+),
+g AS (
+  SELECT *, CASE WHEN source_size > 0 THEN cast(floor(target / source_size) AS bigint) ELSE 0 END AS epochs FROM t
+),
+r AS (
+  SELECT k.doc_id, k.size, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size AS rest,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double AS ahead
+  FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, cast(size AS bigint) AS size, source_size, target,
+       cast(size * (epochs + CASE WHEN rest > 0 AND ahead + size / 2 <= rest THEN 1 ELSE 0 END) AS bigint) AS taken
+FROM r
+"""
+
+
+@query
+def op9_hilbert_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    kept = docs.select("doc_id", "lang", "source", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), "text")
+    placed = sharding.shard(kept, columns=["doc_id", "crc"])
+    return placed.select(
+        "row.doc_id", "size", F.col("row.crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "index",
+    )
