@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.llm import decontaminate, license_scan, mixing, neardup, quality, sharding
+from diffmill.llm import decontaminate, license_scan, mixing, neardup, personal, quality, sharding, url_filter
 from diffmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,37 @@ reach(doc_id, other) AS (
 SELECT r.doc_id, cast(coalesce(any_value(s.n), 0) AS bigint) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
 FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+ORACLES["op8_url_filter"] = f"""
+WITH rules(verdict, host, path) AS (VALUES {_RULES}),
+p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+),
+fit AS (
+  SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+  FROM u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN fit USING (page_id)
+"""
+
+
+@query
+def op10_personal_data(spark, sf_dir):
+    found = personal.find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(k) for k in personal.KINDS],
+        F.sha2(personal.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        personal.listed(F.concat("base", "discovered")).alias("spans"),
+    )
