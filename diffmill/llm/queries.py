@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.llm import decontaminate, license_scan, mixing, neardup, personal, quality, sharding, url_filter
+from diffmill.llm import (
+    decontaminate, license_scan, lm_score, mixing, neardup, personal, quality, sharding, url_filter, wrappers,
+)
 from diffmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +216,14 @@ def op10_personal_data(spark, sf_dir):
         F.sha2(personal.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         personal.listed(F.concat("base", "discovered")).alias("spans"),
     )
+
+
+@query
+def op6_lm_score(spark, sf_dir):
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_html_articles(spark, sf_dir):
+    found = wrappers.extract_articles(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
