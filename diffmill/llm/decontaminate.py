@@ -158,3 +158,10 @@ def contaminated(n_hit, n_words):
 
 def hit_words():
     return F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, h: n + h["end"] - h["start"])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    whole = docs.select(F.struct("*").alias("_row"), docs[text_col].alias(text_col))
+    found = find_contamination(whole, benchmark, ["_row"], text_col)
+    return found.where(~contaminated(hit_words(), F.col("n_words"))).select("_row.*")
