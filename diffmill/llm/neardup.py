@@ -1,17 +1,18 @@
 """MinHash near duplicates, candidates verified by odd sketches and then on full shingle sets.
 
 A text's set holds its distinct five-word shingles. Texts of one set are one class, and classes are the
-nodes of the graph. Each class has 250 MinHash values in 50 bands of five: two classes of similarity
-0.75 share no band with a chance of 1.3e-6, more similar ones with less. The MinHash values are also
+nodes of the graph. Each class has 1,024 MinHash values, the first 250 of them in 50 bands of five: two classes
+of similarity 0.75 share no band with a chance of 1.3e-6, more similar ones with less. All values are
 folded into an odd sketch, a bitmap in which each value flips one bit. The bits in which two sketches differ
-tell how many values differ, so the similarity is estimated by XOR and population counts in the JVM;
-a candidate estimated under 0.5, more than six standard deviations below 0.75, is dropped. What remains
-is confirmed on the full sets.
+tell how many values differ, so the similarity is estimated by XOR and population counts in the JVM, with a
+standard deviation of 0.016 at 0.75; a candidate estimated under 0.67 is dropped (chance 5e-7), and so is one whose
+set sizes alone rule a link out. What remains is confirmed on the full sets.
 
-No group emits all its pairs. First every class of a bucket meets the bucket's first class only, which
+No group emits all its pairs. First every class of a bucket meets one class of it only, its hub: the class that
+shares buckets with most others, so that near copies of one original all meet the copy nearest to it. That
 joins near copies by the thousand through as many links. Then only buckets whose classes are still apart
 are looked at again: classes outside the bucket's largest component meet the bucket, and the sketch
-is compared inside the join, so that nothing but likely links leaves it. A pair inside one component
+is compared inside the join, so that nothing but likely links leaves it, each from one bucket. A pair inside one component
 needs no link of its own, so no component is lost. Counts and least ids are combined before their shuffle,
 and joins may be split by Spark where a bucket is hot.
 
@@ -37,11 +38,11 @@ from pyspark.sql import functions as F
 from diffmill.llm.common import as_bytes, judged, mix, shingle_set
 from diffmill.session import stored
 
-#: MinHash bands and values in each, bits of the odd sketch.
-BANDS, ROWS, SKETCH_BITS = 50, 5, 1024
+#: MinHash bands and values in each, values folded into the odd sketch, and its bits.
+BANDS, ROWS, SAMPLES, SKETCH_BITS = 50, 5, 1024, 2048
 #: A link needs 100 * common >= SIMILAR * all shingles; candidates are estimated at LIKELY or more.
-SIMILAR, LIKELY = 75, 0.5
-_STEP = 512  # shingles hashed at a time
+SIMILAR, LIKELY = 75, 0.67
+_STEP = 128  # shingles hashed at a time
 
 SIGNATURE = "n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>"
 
@@ -49,9 +50,8 @@ SIGNATURE = "n_shingles bigint, set_key binary, bands array<bigint>, sketch arra
 class Signer:
     """Signatures of texts; every task derives the same hash functions from the fixed seed."""
 
-    def __init__(self, bands: int, rows: int, bits: int):
+    def __init__(self, bands: int, rows: int, n: int, bits: int):
         draw = np.random.default_rng(20240229)
-        n = bands * rows
         self.bands, self.rows, self.bits = bands, rows, bits
         self.turn = draw.integers(0, 1 << 32, (n, 1), np.uint32)
         self.times = draw.integers(0, 1 << 32, (n, 1), np.uint32) | np.uint32(1)
@@ -73,7 +73,8 @@ class Signer:
         if not len(shingles):
             return {"n_shingles": 0, "set_key": None, "bands": None, "sketch": None}
         least = self.min_hashes(shingles).astype(np.uint64)
-        bands = mix((least.reshape(self.bands, self.rows) * self.weights).sum(1) + self.band)
+        banded = least[: self.bands * self.rows].reshape(self.bands, self.rows)
+        bands = mix((banded * self.weights).sum(1) + self.band)
         flipped = np.bincount((mix(least + self.place) % np.uint64(self.bits)).astype(np.int64), minlength=self.bits) & 1
         return {
             "n_shingles": len(shingles),
@@ -83,7 +84,7 @@ class Signer:
         }
 
 
-def most_flips(likely: float = LIKELY, n: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
+def most_flips(likely: float = LIKELY, n: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
     """Differing bits expected at similarity ``likely``: each differing value flips a bit in both sketches."""
     return int(bits / 2 * (1 - np.exp(-4 * n * (1 - likely) / bits)))
 
@@ -93,6 +94,11 @@ def flips(a: Column, b: Column) -> Column:
     return sum(F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_BITS // 64))
 
 
+def _sizes_allow(a: Column, b: Column, similar: int) -> Column:
+    """Whether sets of these sizes could link at all."""
+    return 100 * F.least(a, b) >= similar * F.greatest(a, b)
+
+
 def _similar(similar: int):
     """Whether two texts' full shingle sets link."""
 
@@ -138,24 +144,25 @@ def components(links: DataFrame) -> DataFrame:
 def _sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Signature of every row, stored: id, text_key, n_shingles, set_key, bands, sketch."""
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
-    return stored(judged(rows, ["id", "text_key"], "text", lambda: Signer(BANDS, ROWS, SKETCH_BITS), SIGNATURE), "signatures")
+    return stored(judged(rows, ["id", "text_key"], "text", lambda: Signer(BANDS, ROWS, SAMPLES, SKETCH_BITS), SIGNATURE), "signatures")
 
 
 def _classes(signed: DataFrame) -> DataFrame:
     """One row per shingle set, with a number: node, set_key, first_id, id and text_key of one of its rows."""
     any_row = F.min(F.struct("id", "text_key")).alias("row")
     same = signed.where("set_key is not null").groupBy("set_key").agg(
-        F.min("id").alias("first_id"), any_row, F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("id").alias("first_id"), any_row, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        F.first("n_shingles").alias("n"),
     )
     return stored(same.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) whose sketches differ in few enough bits."""
-    sketch = classes.select("node", "sketch")
-    a = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    b = sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").where(flips(F.col("sa"), F.col("sb")) <= most).select("a", "b")
+def _likely(pairs: DataFrame, classes: DataFrame, most: int, similar: int) -> DataFrame:
+    """Pairs (a, b) whose sizes allow a link and whose sketches differ in few enough bits."""
+    a = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    b = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    near = _sizes_allow(F.col("na"), F.col("nb"), similar) & (flips(F.col("sa"), F.col("sb")) <= most)
+    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
@@ -165,23 +172,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     return joined.where("linked").select("a", "b")
 
 
-def _apart(members: DataFrame, buckets: DataFrame, roots: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """The rows of buckets (key, node, n) with the bucket's hub: its class whose buckets hold most classes."""
+    scores = members.groupBy("node").agg(F.sum("n").alias("score"))
+    best = F.max_by("node", F.struct("score", "node")).alias("hub")
+    hubs = members.join(scores, "node").groupBy("key").agg(best).withColumnRenamed("key", "_key")
+    return members.join(hubs, F.col("key") == F.col("_key")).select("key", "node", "hub")
+
+
+def _apart(members: DataFrame, roots: DataFrame, classes: DataFrame, most: int, similar: int = SIMILAR) -> DataFrame:
     """Likely pairs within a bucket whose classes are in different components."""
     placed = members.join(roots, members["node"] == roots["_node"], "left")
-    placed = stored(placed.select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    placed = stored(placed.select("key", "node", "hub", F.coalesce("root", "node").alias("root")), "placed")
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(
         F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")
-    ).where("roots > 1").join(buckets.select("key", "lo"), "key")
-    here = placed.join(mixed, "key").where("node <> lo").join(classes.select("node", "sketch"), "node")
-    here = stored(here.select("key", "node", "root", "largest", "sketch"), "apart")
-    left = here.where("root <> largest").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    ).where("roots > 1")
+    here = placed.join(mixed, "key").where("node <> hub").join(classes.select("node", "sketch", "bands", "n"), "node")
+    here = stored(here.select("key", "node", "root", "largest", "sketch", "bands", "n"), "apart")
+    left = here.where("root <> largest").select(
+        "key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"),
+        F.col("n").alias("na"),
+    )
     right = here.select(
-        F.col("key").alias("_key"), F.col("node").alias("b"), F.col("root").alias("rb"), "largest", F.col("sketch").alias("sb")
+        F.col("key").alias("_key"), F.col("node").alias("b"), F.col("root").alias("rb"), "largest", F.col("sketch").alias("sb"),
+        F.col("bands").alias("bb"), F.col("n").alias("nb"),
     )
     once = (F.col("rb") == F.col("largest")) | (F.col("a") < F.col("b"))
-    near = flips(F.col("sa"), F.col("sb")) <= most
-    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb")) & once & near)
+    near = _sizes_allow(F.col("na"), F.col("nb"), similar) & (flips(F.col("sa"), F.col("sb")) <= most)
+    first = F.array_min(F.array_intersect("ba", "bb")) == F.col("key")
+    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb")) & once & near & first)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -196,11 +216,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"),
         "buckets",
     )
-    large = buckets.where("n > 2").select(F.col("key").alias("_key"), "lo")
-    members = stored(banded.join(large, F.col("key") == F.col("_key")).select("key", "node", "lo"), "members")
+    large = buckets.where("n > 2").select(F.col("key").alias("_key"), "n")
+    members = stored(banded.join(large, F.col("key") == F.col("_key")).select("key", "node", "n"), "members")
+    members = stored(_with_hubs(members), "members-with-hubs")
     twos = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    firsts = members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
-    pairs = stored(_likely(twos.unionByName(firsts).distinct(), classes, most), "pairs")
+    firsts = members.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    pairs = stored(_likely(twos.unionByName(firsts).distinct(), classes, most, similar), "pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     wanted = wanted.unionByName(members.select("node")).distinct().join(classes.select("node", "row"), "node")
@@ -210,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = stored(_confirmed(pairs, texts, similar), "confirmed")
     roots = components(links).withColumnRenamed("node", "_node")
-    more = stored(_confirmed(_apart(members, buckets, roots, classes, most), texts, similar), "confirmed-apart")
+    more = stored(_confirmed(_apart(members, roots, classes, most, similar), texts, similar), "confirmed-apart")
     roots = components(links.unionByName(more)).withColumnRenamed("node", "_node") if more.head(1) else roots
 
     nodes = classes.select("node", "set_key", "first_id")

@@ -1,0 +1,63 @@
+import random
+
+from pyspark.sql import functions as F
+
+from diffmill.llm import personal as P
+from diffmill.llm.queries import QUERIES
+from tests.llm.plain import empty, messy, messy_rows, personal, sha
+
+
+def texts():
+    rng = random.Random(6)
+    parts = [
+        "a@b.c", "x.y%+-_@d-e.f.g", "@", ".", "1.2.3.4", "256.1.1.1", "001.02.3.0255", "1.2.3.4.5.6.7.8", "4387 5130-3523 7269",
+        "4337166598464399", "4944339490429605", " 12", "--", " - ", "+1 (456) 555-2186", "+49", "(0)", "+", " ", "\n", "é", "a", "_d@e.f", "..", "7",
+        "0000 0000 0000 0000", "\u00a0", "𝄞",
+    ]
+    out = ["".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    return out + [x for n in (1500,) for x in long_runs(n)]
+
+
+def long_runs(n):
+    return ["a" * n, "1" * n, "a@" + "b." * n + "c", "1." * n, "1 " * n, "+1" * n, "+" + "1 " * n + "x"]
+
+
+def test_base_spans_agree_with_the_plain_patterns(spark):
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame(rows, "i int, text string").repartition(8)
+    spans = F.concat(*[P.base_spans(F.col("text"), k) for k in P.KINDS])
+    got = {r.i: r.s for r in df.select("i", P.listed(spans).alias("s")).collect()}
+    for i, t in rows:
+        assert got[i] == ",".join(personal(t)), t[:200]
+
+
+def test_very_long_runs(spark):
+    n = 20_000
+    df = spark.createDataFrame(list(enumerate(long_runs(n))), "doc_id int, text string").repartition(8)
+    got = {r.id: r.base for r in P.find_personal_data(df).collect()}
+    assert [len(got[i]) for i in range(7)] == [0, 0, 1, n // 4, 0, 0, 0]
+    assert (got[2][0].start, got[2][0].end) == (0, 2 * n + 3)
+
+
+def test_contexts_are_learned_and_carried_on(spark):
+    rng = random.Random(3)
+    rows = [(i, f"word {i} please write to user{i}@mail.example, thanks for nothing number {rng.randrange(10**6)}") for i in range(30)]
+    rows += [(100 + i, f"you can please write to agent_{i}_at_home9 or not, number {rng.randrange(10**6)}") for i in range(4)]
+    rows += [(200 + i, f"login=me{i}@mail.example") for i in range(20)] + [(300, "login=root77"), (301, "other=root77")]
+    got = {r.id: r for r in P.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        found = [t[s.start : s.end] for s in got[i].discovered]
+        want = [f"agent_{i - 100}_at_home9"] if 100 <= i < 200 else ["root77"] if i == 300 else []
+        assert found == want
+        assert P.SPAN and [f"{s.kind}:{s.start}:{s.end}" for s in got[i].base] == personal(t)
+
+
+def test_awkward_rows_and_query(spark, tmp_path):
+    rows = messy_rows() + [(50, "mail a@b.cd now", None, None, None)] * 2
+    messy(spark).select("doc_id", "text").unionByName(spark.createDataFrame([r[:2] for r in rows[-2:]], "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_personal_data"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.base_sha256, r.n_email) for r in got) == sorted(
+        (str(i), sha(personal(t)), sum(s.startswith("email") for s in personal(t))) for i, t, *_ in rows
+    )
+    assert P.find_personal_data(empty(spark)).collect() == []
+    assert P.find_personal_data(messy(spark)).count() == len(messy_rows())

@@ -1,0 +1,95 @@
+import importlib.util
+import random
+
+import pytest
+
+import corpus_pipeline
+from diffmill.llm import mixing, quality
+from tests.llm.plain import SCHEMA, contamination, messy, near_groups, prose, white_words
+
+
+def corpus():
+    rng = random.Random(21)
+    items = [(i, prose(rng, 30)) for i in range(5)]
+    rows = []
+    for i in range(400):
+        words = prose(rng, rng.randrange(15, 120)).split()
+        if i % 19 == 0:
+            words = [f"{w}***" for w in words]
+        if i % 13 == 0:
+            words[3:3] = items[i % 5][1].split()
+        text = " ".join(words)
+        rows.append((i, text, "en", "hot" if i % 3 else f"s{i % 4}", 0))
+        if i % 10 == 0:
+            rows.append((1000 + i, text + " end", "en", "hot", 0))
+        if i % 25 == 0:
+            rows.append((2000 + i, text, "fr", "other", 0))
+    return rows, items
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("pipeline")
+    rows, items = corpus()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_each_stage_against_a_plain_version_of_its_input(spark, folder):
+    rows, items = corpus()
+    texts = {r[0]: r[1] for r in rows}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "near_dedup", "decontamination", "source_mix", "shards"]
+
+    docs = stages["quality_rules"](spark, docs, folder).cache()
+    kept = ids(docs)
+    want = ids(quality.judge_quality(spark.read.parquet(f"{folder}/documents.parquet")).where("kept"))
+    assert kept == want and all(i % 1000 % 19 for i in kept) and len(kept) > 350
+
+    docs = stages["near_dedup"](spark, docs, folder).cache()
+    assert ids(docs) == sorted({c for _, _, c in near_groups([(i, texts[i]) for i in kept])})
+
+    kept = ids(docs)
+    docs = stages["decontamination"](spark, docs, folder).cache()
+    hit = {i: contamination(texts[i], items) for i in kept}
+    assert ids(docs) == [i for i in kept if not (hit[i][1] and 20 * hit[i][1] >= hit[i][0])]
+
+    before = docs
+    docs = stages["source_mix"](spark, docs, folder).cache()
+    mixed = mixing.mix_sources(before).selectExpr("row.doc_id", "copies").collect()
+    assert ids(docs) == sorted(r.doc_id for r in mixed for _ in range(r.copies))
+    assert docs.columns == before.columns
+
+    out = stages["shards"](spark, docs, folder).collect()
+    counts = [sum(r.shard == s for r in out) for s in range(8)]
+    assert sum(counts) == docs.count() and max(counts) - min(counts) <= 1
+    assert sorted(r["rank"] for r in out) == list(range(len(out)))
+
+
+def test_run_gives_the_rows_of_the_stages(spark, folder):
+    out = corpus_pipeline.run(spark, folder).collect()
+    words = sum(len(white_words(r.text)) for r in out)
+    once = {r.doc_id: len(white_words(r.text)) for r in out}
+    assert words > sum(once.values()) and all(1 <= sum(r.doc_id == i for r in out) <= 2 for i in once)
+
+
+def test_stages_take_clashing_columns_and_empty_tables(spark, folder):
+    docs = messy(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
+        assert stage(spark, docs.limit(0), folder).collect() == [], name
+    assert set(corpus_pipeline.STAGES[-1][1](spark, docs, folder).columns) == set(docs.columns)
+
+
+def test_registered():
+    from __spark_entry__ import oracle_sql, queries
+
+    names = queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert set(oracle_sql()) <= set(names) and importlib.util.find_spec("diffmill.llm")

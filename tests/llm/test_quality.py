@@ -1,0 +1,107 @@
+import math
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from diffmill.llm import quality as Q
+from tests.llm.plain import SCHEMA, base_counts, base_failed, empty, messy, messy_rows, prose
+
+
+def corpus():
+    rng = random.Random(11)
+    rows = []
+    for i in range(700):
+        source = "hot" if i % 3 else f"s{i % 9}"
+        text = prose(rng, rng.randrange(30, 200))
+        if i % 17 == 0:  # symbols after most words
+            text = text.replace("x ", "x*** ")
+        if i % 23 == 0:  # every word twice
+            text = " ".join(w for w in text.split() for _ in range(2))
+        rows.append((i, text, "en" if i % 5 else "fr", source, 0))
+    return rows
+
+
+def vector(text):
+    s = Q.text_statistics(text.encode())
+    words = text.split()
+    stutter = sum(a == b for a, b in zip(words, words[1:]))
+    lines = [x for x in text.split("\n") if x.split()]
+    dup = len(lines) - len(set(lines))
+    assert s["n_stutter"] == stutter and s["n_lines"] == len(lines)
+    v = (
+        math.log2(s["word_chars"] / s["n_words"]), math.log2(1 + 64 * s["n_symbols"] / s["word_chars"]),
+        math.sqrt(dup / len(lines)), math.sqrt(stutter / len(words)),
+    )
+    return np.rint(np.array(v) * 1024) / 1024
+
+
+def plain_mcd(x):
+    """Concentration steps over sorted distances, from medians and from all rows."""
+    floor = np.diag(np.square(Q.FLOORS))
+    middle = np.median(x, axis=0)
+    spread = 1.4826 * np.median(np.abs(x - middle), axis=0)
+    starts = [(middle, np.diag(spread**2) + floor), (x.mean(0), np.cov(x.T, bias=True) * Q.WIDEN + floor)]
+    found = []
+    for mean, cov in starts:
+        for _ in range(Q.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            core = x[np.argsort(d, kind="stable")[: math.ceil(Q.CORE * len(x))]]
+            mean, cov = core.mean(0), np.cov(core.T, bias=True) * Q.WIDEN + floor
+        found.append((np.linalg.slogdet(cov)[1], mean, cov))
+    return min(found, key=lambda f: f[0])[1:]
+
+
+def test_statistics_agree_with_a_plain_reading():
+    rng = random.Random(4)
+    for t in [t for _, t, *_ in messy_rows()] + [prose(rng, rng.randrange(80), words=6, lines=4) + "# é|" for _ in range(200)]:
+        got = Q.text_statistics(None if t is None else t.encode())
+        if len(t or "") < 10_000:
+            assert {k: got[k] for k in base_counts(t)} == base_counts(t)
+
+
+def test_chi_squared():
+    assert abs(Q.chi2_quantile(0.05, 4) - 9.4877) < 1e-3
+    assert abs(Q.chi2_quantile(0.5, 2) - 2 * math.log(2)) < 1e-6
+
+
+def test_verdicts_agree_with_a_plain_estimate(spark):
+    rows = corpus()
+    got = {r.doc_id: r for r in Q.judge_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    groups = {}
+    for i, _, lang, source, _ in rows:
+        groups.setdefault((lang, source), []).append(i)
+    pools = {}
+    for (lang, source), ids in groups.items():
+        pools.setdefault((lang, source) if len(ids) >= Q.MIN_GROUP else (lang,), []).extend(ids)
+    texts = {r[0]: r[1] for r in rows}
+    for ids in pools.values():
+        x = np.array([vector(texts[i]) for i in ids])
+        mean, cov = plain_mcd(x)
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        for i, far in zip(ids, d):
+            failed = base_failed(base_counts(texts[i]))
+            assert got[i].base_failed == failed
+            # bins take in a few rows more than the plain core
+            assert abs(got[i].distance - far) < 0.15 * max(1, far)
+            assert got[i].kept == (not failed and far <= Q.CUTOFF)
+    rejected = {i for i, r in got.items() if not r.kept and not r.base_failed}
+    assert {i for i in texts if i % 17 == 0} <= {i for i, r in got.items() if not r.kept}
+    assert rejected <= {i for i in texts if i % 17 == 0 or i % 23 == 0}
+
+
+def test_awkward_rows(spark):
+    got = Q.judge_quality(messy(spark)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in messy_rows())
+    assert not any(r.kept for r in got if r.n_words == 0)
+    assert all(r.kept == (not r.base_failed) for r in got if r.distance is None)
+    assert Q.judge_quality(empty(spark)).collect() == []
+
+
+def test_filter_keeps_whole_rows(spark):
+    rows = spark.createDataFrame(corpus(), SCHEMA).withColumns({c: F.lit(1) for c in ("n_words", "kept", "_row", "gid")})
+    kept = Q.keep_good(rows)
+    judged = Q.judge_quality(rows).where("kept")
+    assert kept.columns == rows.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in judged.collect())
+    assert Q.keep_good(empty(spark)).collect() == []
