@@ -144,8 +144,9 @@ def review_responses(df: DataFrame, raw: str = "raw", mode: str = "fenced", bad:
 
     ``source`` tells how it came about: ``model``; ``canned`` for an answer that is no
     usable object; ``void`` where an element broke the schema and took the whole
-    response with it (score 80, no findings). With ``bad='lenient'`` a broken element
-    drops out alone. The array is checked in place; nothing is shuffled.
+    response with it (score 80, no findings); NULL for a call that failed (NULL raw),
+    which has no answer at all (see ``with_fallback``). With ``bad='lenient'`` a broken
+    element drops out alone. The array is checked in place; nothing is shuffled.
     """
     if bad not in ("strict", "lenient"):
         raise ValueError("bad is 'strict' or 'lenient'")
@@ -170,15 +171,18 @@ def review_responses(df: DataFrame, raw: str = "raw", mode: str = "fenced", bad:
         F.lit(DEFAULT_SCORE).alias("quality_score"), none.alias("findings"), F.lit(EMPTY_DIAGRAM).alias("plantuml")
     )
     chosen = (
-        F.when(F.col("source") == "canned", canned(CANNED_RESPONSE))
+        F.when(F.col("source").isNull(), F.lit(None))
+        .when(F.col("source") == "canned", canned(CANNED_RESPONSE))
         .when(F.col("source") == "void", safe)
         .otherwise(answer)
     )
+    answered = F.when(F.coalesce(unusable, F.lit(True)), "canned").when(void, "void").otherwise("model")
+    answered = F.when(F.col(raw).isNotNull(), answered)
     read = (
         parse_response(df, raw, mode, "_doc")
         .withColumn("_elements", F.try_variant_get(doc, "$.findings", "array<variant>"))
         .withColumn("_items", F.transform(F.transform(F.transform("_elements", _fields), _read), _typed))
-        .withColumn("source", F.when(F.coalesce(unusable, F.lit(True)), "canned").when(void, "void").otherwise("model"))
+        .withColumn("source", answered)
     )
     return once(read, _answer=chosen).select(*df.columns, "_answer.*", "source")
 
@@ -197,9 +201,11 @@ def explode_findings(responses: DataFrame, keys: list[str]) -> DataFrame:
     return responses.select(*keys, F.explode("findings").alias("_f")).select(*keys, "_f.*")
 
 
-def stored_findings(findings: DataFrame, at: Column) -> DataFrame:
-    """Findings rows as they are stored: normalized again, empty values to NULL."""
-    return assign_ids(findings, ["review_id", "ordinal"]).select(
+def stored_findings(findings: DataFrame, at: Column, keys: tuple[str, ...] = ("review_id",)) -> DataFrame:
+    """Findings rows as they are stored: normalized again, empty values to NULL. The id
+    follows from ``keys`` and the ordinal; keys beyond the review id are carried along."""
+    return assign_ids(findings, [*keys, "ordinal"]).select(
+        *[k for k in keys if k != "review_id"],
         "id",
         "review_id",
         "ordinal",
@@ -216,7 +222,8 @@ def stored_findings(findings: DataFrame, at: Column) -> DataFrame:
 @dataclass(frozen=True)
 class Run:
     """Outputs of a review run. ``shown`` are the once-normalized findings, which the
-    comment uses; ``findings`` are the stored ones."""
+    comment uses; ``findings`` are the stored ones. Both carry ``job_id``, the key to
+    join on; the 64-bit ids are for display."""
 
     joined: DataFrame
     reviews: DataFrame
@@ -225,11 +232,17 @@ class Run:
     events: DataFrame
 
 
-def join_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Requests with their response; without one, the fallback of an unreachable
-    service. Both hold one row per job (see ``first_per_job``)."""
-    answered = responses.select("job_id", "quality_score", "findings", "plantuml", "source")
-    return with_fallback(requests.join(answered, "job_id", "left"))
+def join_responses(requests: DataFrame, responses: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Requests with their response; without one, the fallback of an unreachable service.
+
+    Both may arrive again and again. Equal requests count once; of several responses to
+    a job the last by ``order`` holds (without one: the best scored), and one that came
+    to nothing (NULL ``source``) only if there is no other.
+    """
+    names = ("quality_score", "findings", "plantuml", "source")
+    last = F.max_by(F.struct(*names), F.struct(F.col("source").isNotNull(), *(order or ["quality_score"])))
+    answered = responses.groupBy("job_id").agg(last.alias("_last")).select("job_id", "_last.*")
+    return with_fallback(requests.distinct().join(answered, "job_id", "left"))
 
 
 def run_reviews(joined: DataFrame, at: Column) -> Run:
@@ -255,8 +268,8 @@ def run_reviews(joined: DataFrame, at: Column) -> Run:
         .select(REVIEWS.fieldNames())
     )
     keyed = assign_ids(state.where(done), ["job_id"], "review_id")
-    shown = explode_findings(keyed, ["review_id"])
+    shown = explode_findings(keyed, ["job_id", "review_id"])
     events = state.select(
         F.lit("orchestrator").alias("service"), "job_id", F.col("_status").alias("status"), at.alias("ts")
     )
-    return Run(joined, reviews, stored_findings(shown, at), shown, events)
+    return Run(joined, reviews, stored_findings(shown, at, ("job_id", "review_id")), shown, events)

@@ -209,7 +209,7 @@ def delete_jobs(reviews: DataFrame, findings: DataFrame, jobs: DataFrame) -> tup
 
 def reconcile(requests: DataFrame, reviews: DataFrame, findings: DataFrame) -> DataFrame:
     """How far each published job got: published, review, static_metrics, findings,
-    done or failed (J7)."""
+    done or failed (J7). A request that was delivered again counts once."""
     rows = reviews.select("job_id", F.col("id").alias("review_id"), "status", "static_metrics").join(
         findings_count(findings), "review_id", "left"
     )
@@ -222,6 +222,7 @@ def reconcile(requests: DataFrame, reviews: DataFrame, findings: DataFrame) -> D
     )
     return (
         requests.select("job_id")
+        .distinct()
         .join(rows, "job_id", "left")
         .fillna(0, ["findings"])
         .select("job_id", stage.alias("stage"), F.col("static_metrics").isNotNull().alias("has_static"), "findings")
@@ -275,10 +276,13 @@ def out_of_domain(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataF
 
 # Maintenance
 
-def upsert(base: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """``base`` with ``cols`` replaced where ``changes`` has the key (S6). ``changes``
-    holds one row per key; reduce it first, e.g. with ``latest_static``."""
-    new = changes.select(key, *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_hit"))
+def upsert(base: DataFrame, changes: DataFrame, key: str, cols: list[str], order: list[str] | None = None) -> DataFrame:
+    """``base`` with ``cols`` replaced where ``changes`` has the key (S6). Of several
+    changes to a key the last by ``order`` holds (without one: the greatest values);
+    they are combined before the shuffle."""
+    last = F.max_by(F.struct(*cols), F.struct(*(order or cols))).alias("_last")
+    folded = changes.groupBy(key).agg(last)
+    new = folded.select(key, *[F.col(f"_last.{c}").alias(f"_{c}") for c in cols], F.lit(True).alias("_hit"))
     joined = base.join(new, key, "left")
     replaced = {c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in cols}
     return joined.withColumns(replaced).select(base.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,15 +15,19 @@ from diffmill.fixed import CANNED_RESPONSE
 from diffmill.functions.text import prompt
 
 Scorer = Callable[[str], str]
+# Longest wait for the answer to one call.
+CALL_LIMIT_S = 30.0
 
 
-def score_diffs(df: DataFrame, keys: list[str], scorer: Scorer | None = None, diff: str = "diff") -> DataFrame:
+def score_diffs(
+    df: DataFrame, keys: list[str], scorer: Scorer | None = None, diff: str = "diff", limit_s: float = CALL_LIMIT_S
+) -> DataFrame:
     """Raw response text per diff (X1): keys, ``raw``, ``scorer``, ``outcome``, ``latency_ms``.
 
     Without a scorer every diff gets the fixed response, as a literal. A scorer takes a
     prompt and returns the response text; it runs batch by batch in Python workers. A
-    row it fails on gets NULL and ``error``, and the job goes on; ``with_fallback``
-    fills it in later.
+    row it fails on, or has no answer for within ``limit_s`` seconds, gets NULL and
+    ``error``, and the job goes on; ``with_fallback`` fills it in later.
     """
     if scorer is None:
         return df.select(
@@ -35,15 +40,22 @@ def score_diffs(df: DataFrame, keys: list[str], scorer: Scorer | None = None, di
     asked = df.select(*keys, prompt(F.col(diff)).alias("_prompt"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
 
-    def ask(text: str) -> tuple[str | None, str, float]:
-        began = time.perf_counter()
-        try:
-            raw, outcome = scorer(text), "success"
-        except Exception:
-            raw, outcome = None, "error"
-        return raw, outcome, (time.perf_counter() - began) * 1000
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller = ThreadPoolExecutor(1)
+
+        def ask(text: str) -> tuple[str | None, str, float]:
+            nonlocal caller
+            began = time.perf_counter()
+            call = caller.submit(scorer, text)
+            try:
+                raw, outcome = call.result(limit_s), "success"
+            except Exception:
+                raw, outcome = None, "error"
+                if not call.done():  # the call hangs, so the next one needs another thread
+                    caller.shutdown(wait=False)
+                    caller = ThreadPoolExecutor(1)
+            return raw, outcome, (time.perf_counter() - began) * 1000
+
         for batch in batches:
             asked_rows = [ask(text) for text in batch.pop("_prompt")]
             batch["raw"] = [r[0] for r in asked_rows]

@@ -196,7 +196,9 @@ _SQL["first_per_job"] = (
     "arg_min(event_type, event_id) AS kind, count(*) AS deliveries FROM events GROUP BY user_id"
 )
 _SQL["assign_ids"] = "SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_ids FROM orders"
-_SQL["id_collisions"] = "SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS keys WHERE false"
+_SQL["id_collisions"] = (
+    "SELECT o_orderkey % 997 AS id, count(DISTINCT o_orderkey) AS keys FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) > 1"
+)
 _SQL["upsert_scores"] = _with(REVIEWS) + (
     "SELECT id, status, CASE WHEN event_id IS NOT NULL THEN event_id % 101 ELSE quality_score END AS quality_score "
     "FROM reviews LEFT JOIN events ON id = event_id * 2"
@@ -391,7 +393,7 @@ _COMPLEXITY = "CAST(1 + " + " + ".join(
     )
 ) + " AS INTEGER)"
 _LINES = "CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS INTEGER)"
-_LINT = _view("lint", V.LINT, "lineitem", where=" WHERE l_linestatus = 'O'") + (
+_LINT = _view("lint", V.LINT, "lineitem") + (
     ",\nlinted AS (SELECT doc_id, count(*) FILTER (severity = 2) AS errors, count(*) FILTER (severity = 1) AS warnings, "
     "count(*) AS issues FROM lint GROUP BY doc_id)"
 )
@@ -552,9 +554,27 @@ _SQL["score_diffs_custom"] = (
     "CASE WHEN n % 13 <> 0 THEN 'success' ELSE 'error' END AS outcome FROM asked"
 )
 
+_SQL["scored_reviews"] = (
+    f"WITH asked AS (SELECT doc_id, length({_text(PROMPT_BEFORE)} || text || {_text(PROMPT_AFTER)}) AS n FROM documents) "
+    "SELECT doc_id, CAST(CASE WHEN n % 13 <> 0 THEN n % 101 ELSE 85 END AS INTEGER) AS quality_score, "
+    "CAST(CASE WHEN n % 13 <> 0 THEN 0 ELSE 3 END AS BIGINT) AS n_findings, "
+    "CASE WHEN n % 13 <> 0 THEN 'model' ELSE 'fallback' END AS source FROM asked"
+)
+_SQL["upsert_repeated"] = _with(REVIEWS) + (
+    ", changes AS (SELECT md5(CAST(CAST(floor(event_id / 3) AS BIGINT) * 2 AS VARCHAR(20))) AS job_id, "
+    "arg_max(event_id % 101, event_id) AS score FROM events GROUP BY 1) "
+    "SELECT id, CAST(coalesce(score, quality_score) AS BIGINT) AS quality_score FROM reviews LEFT JOIN changes USING (job_id)"
+)
+_SQL["run_repeated"] = _SQL["run_reviews"]
+
 # Streams
 
-_SQL["stream_requests"] = _with(_DELIVERIES) + "SELECT " + _MESSAGE.format(diff="inline_diff") + " AND inline_diff IS NOT NULL"
+_FETCHED = "coalesce(inline_diff, CASE WHEN event_id % 3 = 1 THEN 'fetched ' || head_sha END)"
+_SQL["stream_requests"] = _with(_DELIVERIES) + "SELECT " + _MESSAGE.format(diff=_FETCHED) + f" AND {_FETCHED} IS NOT NULL"
+_SQL["stream_no_diff"] = _with(_DELIVERIES) + (
+    f"SELECT event_id, head_sha, 500 AS status_code FROM classified WHERE outcome = 'accepted' AND {_FETCHED} IS NULL"
+)
+_SQL["stream_static_log"] = _SQL["apply_static"]
 _SQL["stream_counters"] = (
     f"SELECT strftime(date_trunc('day', ts), {DAY}) AS window_start, event_type AS status, count(*) AS reviews_total "
     "FROM events GROUP BY ALL"

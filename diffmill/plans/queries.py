@@ -232,10 +232,22 @@ def assign_ids(spark, sf_dir):
 
 @query
 def id_collisions(spark, sf_dir):
-    keyed = reviews.assign_ids(V.reviews(spark, sf_dir).select("job_id"), ["job_id"])
+    """Ids cut to 997 values, so that they do collide."""
+    keyed = V.reviews(spark, sf_dir).select("job_id", (F.col("id") % 997).alias("id"))
     return reviews.id_collisions(keyed, ["job_id"])
 
 
+@query
+def upsert_repeated(spark, sf_dir):
+    """Three changes to each job; the last one holds."""
+    changes = V.view(V.table(spark, sf_dir, "events"), {
+        "event_id": "event_id", "job_id": "md5(cast(cast(floor(event_id / 3) as bigint) * 2 as varchar(20)))",
+        "quality_score": "event_id % 101",
+    })
+    done = reviews.upsert(V.reviews(spark, sf_dir), changes, "job_id", ["quality_score"], ["event_id"])
+    return done.select("id", F.col("quality_score").cast("bigint").alias("quality_score"))
+
+
 @query
 def upsert_scores(spark, sf_dir):
     changes = V.view(V.table(spark, sf_dir, "events"), {
@@ -418,12 +430,20 @@ def run_reviews(spark, sf_dir):
     )
 
 
+@query
+def run_repeated(spark, sf_dir):
+    """As run_reviews, with every request and every response delivered twice."""
+    requests = V.reviews(spark, sf_dir).select("job_id", "repo", "pr_number", "commit_sha")
+    raw = V.raw_responses(spark, sf_dir).withColumn("job_id", F.expr("md5(cast(event_id * 2 as varchar(20)))"))
+    answered = responses.review_responses(raw)
+    joined = responses.join_responses(requests.union(requests), answered.union(answered))
+    run = responses.run_reviews(joined, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return run.reviews.select("job_id", "status", "quality_score", _time("created_at"), _time("completed_at"))
+
+
 @query
 def run_findings(spark, sf_dir):
-    run = _run(spark, sf_dir)
-    stored = run.findings.drop("id", "created_at")
-    jobs_by_id = run.reviews.select(F.col("id").alias("review_id"), "job_id")
-    return stored.join(jobs_by_id, "review_id").drop("review_id")
+    return _run(spark, sf_dir).findings.drop("id", "review_id", "created_at")
 
 
 @query
@@ -622,8 +642,7 @@ def score_diffs(spark, sf_dir):
     )
 
 
-@query
-def score_diffs_custom(spark, sf_dir):
+def _scored(spark, sf_dir):
     def by_length(prompt: str) -> str:
         """A stand-in: the score follows the length of the prompt; every 13th fails."""
         if len(prompt) % 13 == 0:
@@ -631,7 +650,19 @@ def score_diffs_custom(spark, sf_dir):
         return json.dumps({"quality_score": len(prompt) % 101, "findings": []})
 
     documents = V.table(spark, sf_dir, "documents").withColumnRenamed("text", "diff")
-    return scoring.score_diffs(documents, ["doc_id"], by_length).select("doc_id", "raw", "outcome")
+    return scoring.score_diffs(documents, ["doc_id"], by_length)
+
+
+@query
+def score_diffs_custom(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "raw", "outcome")
+
+
+@query
+def scored_reviews(spark, sf_dir):
+    """Calls that fail end with the fallback of an unreachable service."""
+    answered = responses.with_fallback(responses.review_responses(_scored(spark, sf_dir)))
+    return answered.select("doc_id", "quality_score", F.size("findings").cast("bigint").alias("n_findings"), "source")
 
 
 # Streams: the table arrives as a stream, and the table written is the result
@@ -655,10 +686,35 @@ def _outcomes(events):
 @query
 def stream_requests(spark, sf_dir):
     sent = V.deliveries(V.table_stream(spark, sf_dir, "events"))
-    path = _streamed(spark, jobs.stream_requests(sent, V.SECRET), "requests")
+    path = _streamed(spark, jobs.stream_requests(sent, V.SECRET, _landed(spark, sf_dir)), "requests")
     return spark.read.parquet(path).select("key", "value")
 
 
+def _landed(spark, sf_dir):
+    """Fetched diffs of every other head commit that sends none inline."""
+    accepted = deliveries.accepted_deliveries(V.deliveries(V.table(spark, sf_dir, "events")), V.SECRET)
+    heads = accepted.where("event_id % 3 = 1").select("repo", "pr_number", "head_sha").distinct()
+    return heads.withColumn("diff", F.concat(F.lit("fetched "), "head_sha"))
+
+
+@query
+def stream_no_diff(spark, sf_dir):
+    """Accepted deliveries that stay without a diff: with stream_requests, all of them."""
+    sent = V.deliveries(V.table_stream(spark, sf_dir, "events"))
+    path = _streamed(spark, jobs.undiffed_deliveries(sent, V.SECRET, _landed(spark, sf_dir)), "no-diff")
+    return spark.read.parquet(path).select("event_id", "head_sha", "status_code")
+
+
+@query
+def stream_static_log(spark, sf_dir):
+    """Static results arrive as a stream, each job twice or more; the last one holds."""
+    folder = work_dir(spark, "static-log")
+    arriving = V.static_results(V.table_stream(spark, sf_dir, "events"))
+    _finish(jobs.stream_static_log(arriving, f"{folder}/log", f"{folder}/checkpoint", "offset_no"))
+    updated, _ = reviews.apply_static(V.reviews(spark, sf_dir), spark.read.parquet(f"{folder}/log"))
+    return updated.select("id", "static_metrics", J.uml_url(F.col("static_metrics")).alias("uml_s3_url"))
+
+
 @query
 def stream_counters(spark, sf_dir):
     counted = jobs.stream_counters(_outcomes(V.table_stream(spark, sf_dir, "events")), "1 day", "1 day")

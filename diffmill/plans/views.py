@@ -110,22 +110,21 @@ TREE_PATH = (
 )
 
 LINT = {
-    "doc_id": "l_orderkey % 1200",
+    "doc_id": "cast(floor(l_partkey * 3 / 5) as bigint)",
     "severity": "case when l_returnflag='A' then 2 else 1 end",
 }
 
 STATIC = {
     "offset_no": "event_id",
-    "job_id": "md5(cast((event_id * 2) % 16000 as varchar(20)))",
+    "job_id": "md5(cast(cast(floor(floor(event_id / 2) * 16 / 5) as bigint) as varchar(20)))",
     "static_metrics": "case when event_id % 23 = 0 then '{bad' else concat('{\"counts\": {\"issues\": ', "
     "cast(event_id % 9 as varchar(20)), '}, \"uml_s3_url\": ', case when event_id % 5 = 0 then '\"\"' "
     "when event_id % 5 = 1 then 'null' else concat('\"s3://b/uml/', cast(event_id as varchar(20)), '.puml\"') end, "
     "'}') end",
 }
 
-# A pull request holds at most 64 turns: longer conversations go on in the next repository.
 PR_FILES = {
-    "repo": "concat('org/repo', cast(cast(floor(turn / 64) as int) as varchar(20)))",
+    "repo": "concat('org/repo', cast(conv_id % 50 as varchar(20)))",
     "pr_number": "conv_id",
     "seq": "turn",
     "filename": "concat('src/m', cast(turn as varchar(20)), '.js')",
@@ -202,7 +201,7 @@ def code(spark, sf_dir) -> DataFrame:
 
 
 def lint(spark, sf_dir) -> DataFrame:
-    return view(table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'"), LINT)
+    return view(table(spark, sf_dir, "lineitem"), LINT)
 
 
 def static_results(source: DataFrame) -> DataFrame:

@@ -49,11 +49,14 @@ def overwrite_partitions(df: DataFrame, path: str, by: str = "created_on") -> No
     even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def upsert_table(spark: SparkSession, path: str, changes: DataFrame, key: str, cols: list[str]) -> None:
-    """Update ``cols`` of stored rows by key, rewriting only the touched days."""
+def upsert_table(
+    spark: SparkSession, path: str, changes: DataFrame, key: str, cols: list[str], order: list[str] | None = None
+) -> None:
+    """Update ``cols`` of stored rows by key, rewriting only the touched days (S6). Of
+    several changes to a key the last by ``order`` holds."""
     from diffmill.operators.reviews import upsert
 
     stored = spark.read.parquet(path)
     touched = stored.join(changes.select(key), key, "left_semi").select("created_on").distinct()
     affected = stored.join(touched, "created_on", "left_semi")
-    overwrite_partitions(upsert(affected, changes, key, cols), path)
+    overwrite_partitions(upsert(affected, changes, key, cols, order), path)

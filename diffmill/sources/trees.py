@@ -1,28 +1,57 @@
-"""Source trees on a shared file system."""
+"""Source trees: checkouts on a shared file system, landed as rows."""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffmill.functions.text import is_code_path
 
+_TREE = "file_path string, content binary"
+
 
 def code_files(df: DataFrame, path: str = "file_path") -> DataFrame:
     """Code files only, outside hidden and dependency directories."""
     return df.where(is_code_path(F.col(path)))
 
 
-def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Relative path and content of every code file under ``root``.
+def _walk(root: str) -> Iterator[tuple[str, bytes]]:
+    for folder, names, files in os.walk(root):
+        names[:] = sorted(n for n in names if not n.startswith(".") and n != "node_modules")
+        for name in sorted(files):
+            whole = os.path.join(folder, name)
+            with open(whole, "rb") as f:
+                yield os.path.relpath(whole, root).replace(os.sep, "/"), f.read()
 
-    The path filter stands on the scan's own column, so skipped files are not opened.
+
+def checkout_files(checkouts: DataFrame, root: str = "root") -> DataFrame:
+    """The files of each checkout (S7): the other columns, ``file_path`` and ``content`` as bytes.
+
+    Each task walks the checkouts of its rows and sends one file at a time. Spark's own
+    listing of files would skip names that start with an underscore.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    absolute = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString()
-    relative = F.expr(f"substring(path, {len(absolute.rstrip('/')) + 2})")
-    return code_files(files.withColumn("file_path", relative)).select(
-        "file_path", F.decode("content", "UTF-8").alias("content")
-    )
+    carried = [f for f in checkouts.schema.fields if f.name != root]
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried), _TREE])
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                for path, content in _walk(row[root]):
+                    yield pd.DataFrame([{**{f.name: row[f.name] for f in carried}, "file_path": path, "content": content}])
+
+    return checkouts.mapInPandas(files, shape)
+
+
+def decoded(files: DataFrame, content: str = "content") -> DataFrame:
+    """``content`` as text; bytes that are no UTF-8 become replacement characters."""
+    return files.withColumn(content, F.make_valid_utf8(F.col(content).cast("string")))
+
+
+def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Relative path and content of every code file under ``root``."""
+    checkout = spark.createDataFrame([(root,)], "root string")
+    return decoded(code_files(checkout_files(checkout)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -19,16 +19,28 @@ def stream_requests(deliveries: DataFrame, secret: str, landed: DataFrame | None
     """Accepted deliveries as request messages (ST1). Stateless.
 
     The diff is the inline one, else that of ``landed``, a table with one row per repo,
-    pr_number and head_sha. A delivery is published only with a diff.
+    pr_number and head_sha. What has neither is given by ``undiffed_deliveries``.
     """
-    accepted, diff = accepted_deliveries(deliveries, secret), F.col("inline_diff")
-    if landed is not None:
-        keys = ["repo", "pr_number", "head_sha"]
-        accepted = accepted.join(landed.select(*keys, F.col("diff").alias("_landed")), keys, "left")
-        diff = resolve_diff(diff, F.lit(None).cast("string"), F.col("_landed"))
+    accepted, diff = _with_diff(deliveries, secret, landed)
     return to_topic(review_requests(accepted.where(diff.isNotNull()), diff))
 
 
+def undiffed_deliveries(deliveries: DataFrame, secret: str, landed: DataFrame | None = None) -> DataFrame:
+    """Accepted deliveries for which no diff can be had: their columns and status 500."""
+    accepted, diff = _with_diff(deliveries, secret, landed)
+    rest = accepted.where(diff.isNull()).drop("_landed")
+    return rest.withColumn("status_code", F.lit(500))
+
+
+def _with_diff(deliveries: DataFrame, secret: str, landed: DataFrame | None) -> tuple[DataFrame, Column]:
+    accepted, diff = accepted_deliveries(deliveries, secret), F.col("inline_diff")
+    if landed is None:
+        return accepted, diff
+    keys = ["repo", "pr_number", "head_sha"]
+    accepted = accepted.join(landed.select(*keys, F.col("diff").alias("_landed")), keys, "left")
+    return accepted, resolve_diff(diff, F.lit(None).cast("string"), F.col("_landed"))
+
+
 def request_rows(messages: DataFrame, schema: T.StructType) -> DataFrame:
     """Typed fields of the readable messages, with the message time as ``ts``."""
     good, _ = parse_messages(messages, schema)

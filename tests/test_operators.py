@@ -392,6 +392,32 @@ def test_upsert(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, s string, n int")
     changes = spark.createDataFrame([(1, "z", None), (3, "q", 9)], "k int, s string, n int")
     assert rows(reviews.upsert(base, changes, "k", ["s", "n"])) == [(1, "z", None), (2, "b", 2)]
+    again = spark.createDataFrame([(1, "new", 5, 2), (1, "old", 9, 1)], "k int, s string, n int, at int")
+    assert rows(reviews.upsert(base, again, "k", ["s", "n"], ["at"])) == [(1, "new", 5), (2, "b", 2)]
+
+
+def test_repeated_requests_and_responses(spark):
+    raw = spark.createDataFrame([("a", '{"quality_score": 1}', 2), ("a", '{"quality_score": 9}', 1), ("a", None, 3)], "job_id string, raw string, at int")
+    answered = responses.review_responses(raw)
+    asked = requests(spark, "a", "b")
+    joined = responses.join_responses(asked.union(asked), answered, ["at"])
+    assert rows(joined, "job_id", "quality_score", "source") == [("a", 1, "model"), ("b", 85, "fallback")]
+    run = responses.run_reviews(joined, F.lit("2024-01-01").cast("timestamp"))
+    assert run.reviews.count() == 2 and set(run.findings.select("job_id").distinct().collect()) == {("b",)}
+    assert reviews.reconcile(asked.union(asked), run.reviews, run.findings).count() == 2
+
+
+def test_a_call_that_hangs_is_given_up(spark):
+    def scorer(prompt):
+        if "slow" in prompt.split("\n\n")[1]:
+            import time
+
+            time.sleep(3)
+        return '{"quality_score": 42}'
+
+    df = spark.createDataFrame([("a", "slow"), ("b", "good")], "job_id string, diff string").coalesce(1)
+    scored = scoring.score_diffs(df, ["job_id"], scorer, limit_s=1.0)
+    assert rows(scored, "job_id", "outcome") == [("a", "error"), ("b", "success")]
 
 
 def test_first_per_job(spark):
@@ -451,7 +477,7 @@ ODD = [
     ("null", (80, 1, "canned"), (80, 1, "canned")),
     ("5", (80, 1, "canned"), (80, 1, "canned")),
     ("", (80, 0, "model"), (80, 0, "model")),
-    (None, (80, 0, "model"), (80, 0, "model")),
+    (None, (None, None, None), (None, None, None)),
     ("words", (80, 0, "model"), (80, 1, "canned")),
     ('words ```json\n{"quality_score": 9}\n``` words', (9, 0, "model"), (80, 1, "canned")),
     ("```json\n[1]\n```", (80, 1, "canned"), (80, 1, "canned")),
@@ -463,7 +489,7 @@ ODD = [
 def test_odd_responses(spark, mode):
     df = spark.createDataFrame([(i, o[0]) for i, o in enumerate(ODD)], "i int, raw string")
     got = responses.review_responses(df, mode=mode).orderBy("i").collect()
-    shown = [(r.quality_score, len(r.findings), r.source) for r in got]
+    shown = [(r.quality_score, None if r.findings is None else len(r.findings), r.source) for r in got]
     want = [o[1 if mode == "fenced" else 2] for o in ODD]
     assert [(ODD[i][0], s) for i, s in enumerate(shown)] == [(ODD[i][0], w) for i, w in enumerate(want)]
 
@@ -543,7 +569,8 @@ def test_scorer_failures_do_not_fail_the_job(spark):
     df = spark.createDataFrame([("a", "good"), ("b", "bad")], "job_id string, diff string")
     scored = scoring.score_diffs(df, ["job_id"], scorer)
     assert rows(scored, "job_id", "raw", "outcome") == [("a", '{"quality_score": 42}', "success"), ("b", None, "error")]
-    answered = responses.review_responses(scored.where("outcome = 'success'"))
+    answered = responses.review_responses(scored)
+    assert rows(answered, "job_id", "source", "outcome") == [("a", "model", "success"), ("b", None, "error")]
     joined = responses.join_responses(requests(spark, "a", "b"), answered)
     assert rows(joined, "job_id", "quality_score", "source") == [("a", 42, "model"), ("b", 85, "fallback")]
 

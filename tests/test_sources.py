@@ -28,8 +28,11 @@ def stored_reviews(spark, n=6):
 def test_upsert_rewrites_only_touched_days(spark, folder):
     tables.write_reviews(stored_reviews(spark), folder)
     before = {r.path: r.m for r in files(spark, folder)}
-    changes = spark.createDataFrame([("j1", "done", 90), ("j4", "failed", None), ("jx", "done", 1)], "job_id string, status string, quality_score int")
-    tables.upsert_table(spark, folder, changes, "job_id", ["status", "quality_score"])
+    changes = spark.createDataFrame(
+        [("j1", "failed", 99, 1), ("j1", "done", 90, 2), ("j4", "failed", None, 1), ("jx", "done", 1, 1)],
+        "job_id string, status string, quality_score int, at int",
+    )
+    tables.upsert_table(spark, folder, changes, "job_id", ["status", "quality_score"], ["at"])
     got = tables.read_table(spark, folder)
     assert sorted(map(tuple, got.select("id", "status", "quality_score").collect())) == [
         (0, "running", None), (1, "done", 90), (2, "running", None), (3, "running", None), (4, "failed", None),
@@ -56,12 +59,24 @@ def test_findings_round_trip(spark, folder):
 
 
 def test_source_tree(spark, tmp_path):
-    for name in ("a.js", "src/b.TS", "src/.hidden/c.js", "node_modules/d.js", ".e.js", "src/f.md", "src/caf\xe9.py"):
+    kept = ("a.js", "src/b.TS", "src/caf\xe9.py", "src/__tests__/a.test.ts", "pages/_app.tsx", "src/__init__.py", "_/_b.js")
+    for name in (*kept, "src/.hidden/c.js", "node_modules/d.js", "src/node_modules/x/g.js", ".e.js", "src/f.md"):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(f"// {name}\nif (x)")
+    (tmp_path / "latin.py").write_bytes(b"caf\xe9 = 1")
     got = dict(trees.read_source_tree(spark, str(tmp_path)).collect())
-    assert got == {n: f"// {n}\nif (x)" for n in ("a.js", "src/b.TS", "src/caf\xe9.py")}
+    assert got == {**{n: f"// {n}\nif (x)" for n in kept}, "latin.py": "caf\ufffd = 1"}
+
+
+def test_several_checkouts(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "_a.js").write_text(name)
+    checkouts = spark.createDataFrame([(n, 1, str(tmp_path / n)) for n in ("one", "two")], "repo string, sha int, root string")
+    got = trees.decoded(trees.checkout_files(checkouts)).collect()
+    assert sorted(map(tuple, got)) == [("one", 1, "_a.js", "one"), ("two", 1, "_a.js", "two")]
+    assert trees.checkout_files(checkouts.limit(0)).collect() == []
 
 
 def test_to_topic(spark):
