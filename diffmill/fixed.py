@@ -122,11 +122,11 @@ SYSTEM_PROMPT = (
 )
 
 # Parts of a rendered review comment. The signature line is a setting (see README).
-COMMENT_HEADING = "## \N{ROBOT FACE} AI Code Review\n\n"
+COMMENT_HEADING = "## 🤖 AI Code Review\n\n"
 COMMENT_SCORE = ("**Quality Score:** ", "/100\n\n")
 COMMENT_LIST_HEADING = "### Top Suggestions:\n\n"
-COMMENT_SUGGESTION = "\n   \N{ELECTRIC LIGHT BULB} *Suggestion:* "
-COMMENT_NO_ISSUES = "\N{WHITE HEAVY CHECK MARK} No major issues found!\n\n"
+COMMENT_SUGGESTION = "\n   💡 *Suggestion:* "
+COMMENT_NO_ISSUES = "✅ No major issues found!\n\n"
 COMMENT_RULE = "---\n"
 COMMENT_SIGNATURE = "*Generated by automated code review*"
 

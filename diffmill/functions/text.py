@@ -106,9 +106,17 @@ def short_sha(sha: Column, n: int = 8) -> Column:
     return F.substring(sha, 1, n)
 
 
-def preview(text: Column, n: int) -> Column:
-    """First n characters for a log or list."""
-    return F.substring(text, 1, n)
+def preview(text: Column, n: int, utf16: bool = True) -> Column:
+    """First n characters for a log or list (G23): UTF-16 units, or code points.
+
+    A character of two units counts as two and is left out where only one is left. For
+    counting, each gets a mark (U+FFFF, which is no character) in front.
+    """
+    start = F.substring(text, 1, n)
+    if not utf16:
+        return start
+    marked = F.regexp_replace(start, r"([\x{10000}-\x{10FFFF}])", "\uffff$1")
+    return F.replace(F.substring(marked, 1, n), F.lit("\uffff"), F.lit(""))
 
 
 def prompt(diff: Column, with_system: bool = False) -> Column:

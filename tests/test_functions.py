@@ -208,3 +208,9 @@ def test_scores(column):
 def test_uml_url(column):
     got = column(['{"uml_s3_url": "s3://x"}', '{"uml_s3_url": ""}', '{"uml_s3_url": null}', "{bad", "{}", None], J.uml_url(v()))
     assert got == ["s3://x", None, None, None, None, None]
+
+
+def test_preview_counts_utf16_units(column):
+    texts = ["abcdef", "😀" * 5, "a😀b", "abc😀", "", None]
+    assert column(texts, text.preview(F.col("v"), 4)) == ["abcd", "😀" * 2, "a😀b", "abc", "", None]
+    assert column(texts, text.preview(F.col("v"), 4, utf16=False)) == ["abcd", "😀" * 4, "a😀b", "abc😀", "", None]
