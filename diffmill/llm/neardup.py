@@ -53,19 +53,19 @@ class Signer:
     def __init__(self, bands: int, rows: int, n: int, bits: int):
         draw = np.random.default_rng(20240229)
         self.bands, self.rows, self.bits = bands, rows, bits
-        self.turn = draw.integers(0, 1 << 32, (n, 1), np.uint32)
-        self.times = draw.integers(0, 1 << 32, (n, 1), np.uint32) | np.uint32(1)
+        self.turn = draw.integers(0, 1 << 32, n, np.uint32)
+        self.times = draw.integers(0, 1 << 32, n, np.uint32) | np.uint32(1)
         self.weights = draw.integers(0, 1 << 63, (1, rows), np.uint64) | np.uint64(1)
         self.band = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         self.place = np.arange(n, dtype=np.uint64) << np.uint64(32)
 
     def min_hashes(self, shingles: np.ndarray) -> np.ndarray:
-        short = shingles.astype(np.uint32)
+        short = shingles.astype(np.uint32)[:, None]
         least = np.full(len(self.turn), 0xFFFFFFFF, np.uint32)
         for i in range(0, len(short), _STEP):
-            part = short[None, i : i + _STEP] ^ self.turn
+            part = short[i : i + _STEP] ^ self.turn
             part *= self.times
-            np.minimum(least, part.min(1), out=least)
+            np.minimum(least, part.min(0), out=least)
         return least
 
     def __call__(self, text: bytes | None) -> dict:
