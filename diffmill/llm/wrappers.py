@@ -6,18 +6,24 @@ their length. The expressions of a host are aligned one after another with the w
 parts stay, a part once and a part repeated become a repeated group, what only one side has becomes an optional
 group, and texts are slots. No alternatives arise, so the wrapper stays one regular expression.
 
-The wrapper tells which container holds a host's article: a marked one (article or main) if the wrapper
-has it, else the container whose slots hold most text outside links over all pages of the host. The slots in
-that container are the page's text, without those in menus, headers, footers, sidebars, notices, adverts,
+A host's article is in a marked container (article or main), else in the container that holds most text outside
+links over all pages of the host, without what is in menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments. A page that lacks its host's container uses its own layout.
 
+The wrapper then tells text from template. Every page's tokens are matched against its host's expression, which gives
+each text its slot. A text that stands in the same slot on ``CONSTANT`` of the host's distinct pages that have the
+slot is template and is left out, be the slot plain, optional or in a repeated group. Hosts of under ``MIN_PAGES``
+such pages show no template, and a page that would be left with nothing keeps its texts.
+
 Expressions are counted by host before they meet, so a host with a third of all pages brings one row per
-distinct layout and task. Layouts are aligned in salted parts of a host first, then part by part. Wrappers are a table
-of one row per host, which Spark broadcasts if it is small and joins by shuffle otherwise.
+distinct layout and task. Layouts are aligned in salted parts of a host first, then part by part. Texts of slots are
+counted as hashes, distinct by page and spread over all tasks, then combined in each task. Wrappers, with the
+hashes of their template texts, are a table of one row per host, which Spark broadcasts if it is small and joins by
+shuffle otherwise.
 
 Defined results: a null, empty or blank page has empty text; broken markup is read as far as it goes and an
 unfinished tag at the end is dropped; pages without a host form one group; repeated pages repeat
-their text and count in their host's evidence; an empty table gives an empty result.
+their text and count in their host's layouts and container, but once for its template; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +33,11 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +48,8 @@ from diffmill.session import stored
 SALTS = 16
 #: Longest stretch that is looked for as a repeated group, in tokens.
 LONGEST_GROUP = 12
+#: Least distinct pages of a host that have a slot, and share of them on which a template text stands in it.
+MIN_PAGES, CONSTANT = 20, 0.9
 
 _words = lambda text: frozenset(text.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
@@ -256,12 +266,82 @@ def _unpacked(text: str) -> list:
     return back(json.loads(text))
 
 
-def _labels(parts: list) -> Iterator[str]:
-    for part, _, _ in parts:
-        if isinstance(part, str):
-            yield part
-        else:
-            yield from _labels(part)
+class Matcher:
+    """Finds which token of an expression each token of a page is."""
+
+    def __init__(self, parts: list):
+        #: for each place (0: the start) the places that may follow, by token
+        self.following: list[dict[str, list[int]]] = [{}]
+        self.tokens = [""]
+        first, last, _ = self._sequence(parts)
+        self._link([0], first)
+        self.last = set(last)
+
+    def _link(self, places: list[int], following: list[int]) -> None:
+        for q in places:
+            for p in following:
+                known = self.following[q].setdefault(self.tokens[p], [])
+                if p not in known:
+                    known.append(p)
+
+    def _sequence(self, parts: list) -> tuple[list[int], list[int], bool]:
+        """First and last places of a sequence, and whether it may be empty."""
+        first, last, empty = [], [], True
+        for part, repeated, optional in parts:
+            if isinstance(part, str):
+                self.tokens.append(part)
+                self.following.append({})
+                f = ends = [len(self.tokens) - 1]
+                none = optional
+            else:
+                f, ends, none = self._sequence(part)
+                none = none or optional
+            if repeated:
+                self._link(ends, f)
+            self._link(last, f)
+            first = first + f if empty else first
+            last = last + ends if none else ends
+            empty = empty and none
+        return first, last, empty
+
+    def places(self, tokens: list[str]) -> list[int] | None:
+        """The place of each token; None where the expression does not fit."""
+        steps: list[dict[int, int]] = []
+        here: dict[int, int] = {0: 0}
+        for token in tokens:
+            then: dict[int, int] = {}
+            for q in here:
+                for p in self.following[q].get(token, ()):
+                    then.setdefault(p, q)
+            if not then:
+                return None
+            steps.append(then)
+            here = then
+        at = next((p for p in here if p in self.last), None)
+        if at is None:
+            return None
+        out = []
+        for step in reversed(steps):
+            out.append(at)
+            at = step[at]
+        return out[::-1]
+
+
+@lru_cache(maxsize=256)
+def _matcher(wrapper: str) -> Matcher:
+    return Matcher(_unpacked(wrapper))
+
+
+def slots(page: Page, wrapper: str | None) -> list[str]:
+    """The slot of each block: its place in the wrapper, or its container where the wrapper does not fit."""
+    places = _matcher(wrapper).places(page.layout) if wrapper else None
+    if places is None:
+        return [path for path, *_ in page.blocks]
+    return [str(p) for p, token in zip(places, page.layout) if token == "#"]
+
+
+def _key(*values: str) -> int:
+    return xxhash.xxh64_intdigest("\0".join(values).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,11 +372,39 @@ def _wrap(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "value": [_packed(wrapper)], "n": [int(rows["n"].sum())]})
 
 
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots of a page's article (text null) and the texts in them, by hash of the article."""
+    for batch in batches:
+        rows = set()
+        for host, source, wrapper, region in zip(*(c.to_pylist() for c in batch.columns)):
+            page = Page(source or "")
+            chosen = article_blocks(page, region)
+            if chosen:
+                own, whole = slots(page, wrapper), _key(*(page.blocks[i][2] for i in chosen))
+                for i in chosen:
+                    rows.add((host, own[i], None, whole))
+                    rows.add((host, own[i], _key(own[i], page.blocks[i][2]), whole))
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        rows = list(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["host", "slot", "text", "page"])
+
+
+def _templates(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """_host and template, the keys of the texts that stand in the same slot on nearly all pages of a host."""
+    large = wrappers.where(F.col("n") >= MIN_PAGES).withColumnRenamed("host", "_host")
+    held = pages.join(large, F.col("host") == F.col("_host")).select("host", "html", "wrapper", "region")
+    uses = held.mapInArrow(_uses, "host string, slot string, text bigint, page bigint").distinct()
+    counts = stored(uses.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES), "slots")
+    of_slot = counts.where("text is null").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), F.col("n").alias("_n"))
+    same = (F.col("host") == F.col("_host")) & (F.col("slot") == F.col("_slot"))
+    constant = counts.where("text is not null").join(of_slot, same).where(F.col("n") >= CONSTANT * F.col("_n"))
+    return constant.groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_set("text")).alias("template"))
+
+
 def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "html") -> DataFrame:
-    """host, wrapper (an expression), and region, the container of its articles (null: the page's own)."""
-    found = pages.select(pages[host_col].alias("host"), pages[html_col].alias("html")).mapInArrow(
-        _evidence, "host string, kind string, value string, n bigint"
-    )
+    """host, wrapper (an expression), region, the container of its articles (null: the page's own), and template."""
+    pages = pages.select(pages[host_col].alias("host"), pages[html_col].alias("html"))
+    found = pages.mapInArrow(_evidence, "host string, kind string, value string, n bigint")
     evidence = stored(found.groupBy("host", "kind", "value").agg(F.sum("n").alias("n")), "layouts")
     shape = "host string, value string, n bigint"
     salt = F.pmod(F.xxhash64("value"), F.lit(SALTS))
@@ -305,19 +413,29 @@ def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "ht
     region = F.max_by("value", F.struct("n", "value")).alias("region")
     masses = evidence.where("kind = 'mass' and n > 0").groupBy("host").agg(region).withColumnRenamed("host", "_host")
     both = wrappers.join(masses, F.col("host") == F.col("_host"), "left")
-    return stored(both.select("host", F.col("value").alias("wrapper"), "region"), "wrappers")
+    both = stored(both.select("host", F.col("value").alias("wrapper"), "region", "n"), "wrappers")
+    told = both.join(_templates(pages, both), F.col("host") == F.col("_host"), "left")
+    return stored(told.select("host", "wrapper", "region", "template"), "wrappers")
+
+
+def article_blocks(page: Page, region: str | None) -> list[int]:
+    """The blocks of a page's article, template included."""
+    blocks = [(i, b[0]) for i, b in enumerate(page.blocks) if not b[1]]
+    in_main = [i for i, path in blocks if not MAIN.isdisjoint(x.split(".")[0] for x in path.split("/"))]
+    held = [i for i, path in blocks if region and (path == region or path.startswith(f"{region}/"))]
+    return in_main or held or [i for i, _ in blocks]
 
 
-def article_text(source: str | None, wrapper: str | None, region: str | None) -> str:
-    """The text of a page's article: the slots of the host's container, one line each."""
+def article_text(source: str | None, wrapper: str | None, region: str | None, template: list[int] | None = None) -> str:
+    """The text of a page's article: the slots of the host's container without its template, one line each."""
     if not source:
         return ""
-    blocks = [b for b in Page(source).blocks if not b[1]]
-    in_main = [b for b in blocks if not MAIN.isdisjoint(x.split(".")[0] for x in b[0].split("/"))]
-    if in_main and (wrapper is None or not MAIN.isdisjoint(x.split(".")[0] for x in _labels(_unpacked(wrapper)))):
-        return "\n".join(b[2] for b in in_main)
-    held = [b for b in blocks if region and (b[0] == region or b[0].startswith(f"{region}/"))]
-    return "\n".join(b[2] for b in held or blocks)
+    page = Page(source)
+    chosen = article_blocks(page, region)
+    if template:
+        own, known = slots(page, wrapper), frozenset(template)
+        chosen = [i for i in chosen if _key(own[i], page.blocks[i][2]) not in known] or chosen
+    return "\n".join(page.blocks[i][2] for i in chosen)
 
 
 def extract_articles(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -326,11 +444,11 @@ def extract_articles(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     rows = pages.select(F.struct(*[pages[c] for c in keep]).alias("row"), host_and_path(F.coalesce(pages[url_col], F.lit("")))[0].alias("host"), pages[html_col].alias("html"))
     wrappers = infer_wrappers(rows).withColumnRenamed("host", "_host")
 
-    def extract(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def extract(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for columns in batches:
             yield pa.array([article_text(*x) for x in zip(*(c.to_pylist() for c in columns))], pa.string())
 
-    text = F.arrow_udf(extract, "string")("html", "wrapper", "region").alias("text")
+    text = F.arrow_udf(extract, "string")("html", "wrapper", "region", "template").alias("text")
     shown = F.arrow_udf(_shown, "string")("wrapper").alias("wrapper")
     joined = rows.join(wrappers, F.col("host") == F.col("_host"), "left")
     return joined.select("row", "host", shown, text).select("row.*", "host", "wrapper", "text")

@@ -107,3 +107,32 @@ def test_hosts_without_marks_use_the_container_of_most_text(spark):
 
 def test_empty_table(spark):
     assert W.extract_articles(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_texts_that_the_wrapper_shows_to_be_template_are_left_out(spark):
+    """An unmarked notice and a box inside the article, one of them in the same repeated group as the paragraphs."""
+    import random
+
+    rng = random.Random(8)
+
+    def page(i):
+        own = "".join(f"<p>Own text {i} {k}</p>" for k in range(rng.randrange(1, 6)))
+        box = "<section class=x><h2>More from us</h2><ul><li>Shop<li>Team</ul></section>" if i % 2 else ""
+        return f"<body><article><h1>Title {i}</h1>{own}<p>All rights are ours.</p>{box}</article></body>"
+
+    rows = [(i, "http://c.org/x", page(i)) for i in range(60)] + [(100 + i, "http://d.org/x", page(0)) for i in range(30)]
+    rows += [(200 + i, "http://e.org/x", page(i)) for i in range(5)]
+    found = {r.page_id: r.text.split("\n") for r in W.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(60):
+        assert found[i][0] == f"Title {i}" and len(found[i]) > 1
+        assert all(x.startswith("Own text") for x in found[i][1:])
+    assert all(found[100 + i][-1] == "All rights are ours." for i in range(30))  # one page thirty times shows no template
+    assert all("All rights are ours." in found[200 + i] for i in range(5))
+
+
+def test_slots_are_places_in_the_wrapper():
+    a, b = W.Page("<p>a<p>b<div>x</div><p>c"), W.Page("<p>a<div>y</div>")
+    wrapper = W._packed(W.aligned(W.folded(a.layout), W.folded(b.layout)))
+    first, second = W.slots(a, wrapper), W.slots(b, wrapper)
+    assert first[0] == first[1] == second[0] and first[2] == second[1] and first[3] not in first[:3]
+    assert W.slots(W.Page("<table><tr><td>x"), wrapper) == ["/table/tr/td"]
