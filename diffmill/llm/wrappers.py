@@ -9,6 +9,9 @@ group, and texts are slots. No alternatives arise, so the wrapper stays one regu
 A host's article is in a marked container (article or main), else in the container that holds most text outside
 links over all pages of the host, without what is in menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments. A page that lacks its host's container uses its own layout.
+A class, id or role marks such an element if a whole name or its head word says so ('comments-area', not
+'notice-of-award' or 'no-sidebar'). A mark around an article or main, or around all text of a host, does not count
+if what it holds is the larger part of the text.
 
 The wrapper then tells text from template. Every page's tokens are matched against its host's expression, which gives
 each text its slot. A text that stands in the same slot on ``CONSTANT`` of the host's distinct pages that have the
@@ -59,8 +62,7 @@ INLINE = _words(
 )
 #: Elements that are never article text, and words of a class, id or role that mark such elements.
 SKIPPED = _words(
-    "head title nav footer aside form script style noscript template iframe svg math button select textarea menu dialog "
-    "object canvas audio video"
+    "head title nav footer aside form script style noscript template iframe button select textarea menu dialog"
 )
 MARKS = _words(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
@@ -68,6 +70,12 @@ MARKS = _words(
     "subscribe subscription newsletter signup login search share sharing social related recommended recommendations "
     "comment comments reply replies respond disqus widget toolbar pagination pager copyright contentinfo complementary"
 )
+#: Words that a name may have after its head word, and words before it that say something else.
+TRAILING = _words(
+    "area bar block body box button buttons container content form group inner item items link links list outer panel "
+    "post posts row section text top bottom left right title wrap wrapper"
+)
+LEADING = _words("has have hide no non not show with without")
 RAW = _words("script style textarea title noscript template iframe")
 MAIN = _words("article main")
 _PLAIN = _words("html body article main")
@@ -81,14 +89,31 @@ _MARKED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 _RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 
 
+#: Why a block is skipped: not, by a mark alone (on an element that holds the article, or not), by its kind.
+KEPT, AROUND, MARKED, KIND = range(4)
+
+
+def marks_of(attributes: str) -> set[str]:
+    """Head words of the names in class, id and role that mark an element."""
+    found = set()
+    for _, *values in _MARKED.findall(attributes):
+        for name in "".join(values).split():
+            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+            while len(words) > 1 and words[-1] in TRAILING:
+                words.pop()
+            if words and words[-1] in MARKS and LEADING.isdisjoint(words):
+                found.add(words[-1])
+    return found
+
+
 class Page:
-    """Reads one page: ``blocks`` (container, whether skipped, text, characters in links) and ``layout``."""
+    """Reads one page: ``blocks`` (container, why skipped, text, characters in links) and ``layout``."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, str, int]] = []
+        self.blocks: list[tuple[str, int, str, int]] = []
         self.layout: list[str] = []
-        #: name, label in the path, whether skipped, path of containers
-        self.stack: list[tuple[str, str, bool, str]] = []
+        #: name, label in the path, why skipped, path of containers
+        self.stack: list[tuple[str, str, int, str]] = []
         self.pending: list[str] = []
         self.linked = self.in_link = 0
         at = 0
@@ -112,7 +137,7 @@ class Page:
             text = " ".join(html.unescape("".join(self.pending)).split())
             self.pending.clear()
             if text:
-                skipped, path = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, "")
+                skipped, path = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (KEPT, "")
                 self.blocks.append((path, skipped, text, self.linked))
                 self.layout.append("#")
         self.linked = 0
@@ -128,24 +153,27 @@ class Page:
             if name in ("br", "hr"):
                 self._flush()
             return at
-        marks = set()
-        if attributes and name not in _PLAIN:
-            for _, *values in _MARKED.findall(attributes):
-                marks.update(w for w in re.split(r"[^a-z]+", "".join(values).lower()) if w in MARKS)
-        above = self.stack[-1] if self.stack else ("", "", False, "")
+        marks = marks_of(attributes) if attributes and name not in _PLAIN else set()
+        above = self.stack[-1] if self.stack else ("", "", KEPT, "")
         if name in INLINE:
             self.in_link += name == "a"
             if marks and not above[2]:
                 self._flush()
-                self.stack.append((name, name, True, above[3]))
+                self.stack.append((name, name, MARKED, above[3]))
             else:
                 self.stack.append((name, name, above[2], above[3]))
             return at
         self._flush()
         self._end_implied(name)
-        above = self.stack[-1] if self.stack else ("", "", False, "")
+        above = self.stack[-1] if self.stack else ("", "", KEPT, "")
         inside = any(x[0] in MAIN for x in self.stack)
-        skipped = above[2] or name in SKIPPED or bool(marks) or (name == "header" and not inside)
+        skipped = above[2]
+        if name in SKIPPED or (name == "header" and not inside):
+            skipped = KIND
+        elif skipped == MARKED and name in MAIN and not inside:
+            skipped = AROUND
+        elif marks and skipped in (KEPT, AROUND):
+            skipped = MARKED
         label = ".".join([name, *sorted(marks)])
         path = above[3] if name == "p" else f"{above[3]}/{label}"
         self.stack.append((name, label, skipped, path))
@@ -167,7 +195,7 @@ class Page:
     def _close(self, name: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == name:
-                if name not in INLINE or self.stack[i][2] != (self.stack[i - 1][2] if i else False):
+                if name not in INLINE or self.stack[i][2] != (self.stack[i - 1][2] if i else KEPT):
                     self._flush()
                 self._cut(i)
                 return
@@ -345,7 +373,7 @@ def _key(*values: str) -> int:
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Layouts and text outside links of containers, summed over a batch."""
+    """Layouts and text outside links of containers, marked ones apart, summed over a batch."""
     for batch in batches:
         layouts: Counter = Counter()
         masses: Counter = Counter()
@@ -353,9 +381,9 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(source or "")
             layouts[host, _packed(folded(page.layout))] += 1
             for path, skipped, text, linked in page.blocks:
-                if not skipped:
-                    masses[host, path] += max(0, len(text) - linked)
-        rows = [(h, "layout", k, n) for (h, k), n in layouts.items()] + [(h, "mass", k, n) for (h, k), n in masses.items()]
+                if skipped != KIND:
+                    masses[host, "marked" if skipped else "mass", path] += max(0, len(text) - linked)
+        rows = [(h, "layout", k, n) for (h, k), n in layouts.items()] + [(h, kind, k, n) for (h, kind, k), n in masses.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))],
             ["host", "kind", "value", "n"],
@@ -411,7 +439,9 @@ def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "ht
     parts = evidence.where("kind = 'layout'").groupBy("host", salt).applyInPandas(_wrap, shape)
     wrappers = parts.groupBy("host").applyInPandas(_wrap, shape)
     region = F.max_by("value", F.struct("n", "value")).alias("region")
-    masses = evidence.where("kind = 'mass' and n > 0").groupBy("host").agg(region).withColumnRenamed("host", "_host")
+    # a marked container is a host's main one only if the host has no text outside marks
+    masses = evidence.where("kind != 'layout' and n > 0").groupBy("host", "kind").agg(region)
+    masses = masses.groupBy(F.col("host").alias("_host")).agg(F.max_by("region", "kind").alias("region"))
     both = wrappers.join(masses, F.col("host") == F.col("_host"), "left")
     both = stored(both.select("host", F.col("value").alias("wrapper"), "region", "n"), "wrappers")
     told = both.join(_templates(pages, both), F.col("host") == F.col("_host"), "left")
@@ -420,10 +450,20 @@ def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "ht
 
 def article_blocks(page: Page, region: str | None) -> list[int]:
     """The blocks of a page's article, template included."""
-    blocks = [(i, b[0]) for i, b in enumerate(page.blocks) if not b[1]]
-    in_main = [i for i, path in blocks if not MAIN.isdisjoint(x.split(".")[0] for x in path.split("/"))]
-    held = [i for i, path in blocks if region and (path == region or path.startswith(f"{region}/"))]
-    return in_main or held or [i for i, _ in blocks]
+    def within(i: int) -> bool:
+        return bool(region) and (page.blocks[i][0] == region or page.blocks[i][0].startswith(f"{region}/"))
+
+    def size(chosen: list[int]) -> int:
+        return sum(max(0, len(page.blocks[i][2]) - page.blocks[i][3]) for i in chosen)
+
+    by_skip: list[list[int]] = [[] for _ in range(4)]
+    for i, block in enumerate(page.blocks):
+        by_skip[block[1]].append(i)
+    kept, around, marked, _ = by_skip
+    in_main = [i for i in kept if not MAIN.isdisjoint(x.split(".")[0] for x in page.blocks[i][0].split("/"))]
+    if around and size(around) > size(in_main or kept):
+        return around
+    return in_main or [i for i in kept if within(i)] or kept or [i for i in marked if within(i) and "." in region]
 
 
 def article_text(source: str | None, wrapper: str | None, region: str | None, template: list[int] | None = None) -> str:

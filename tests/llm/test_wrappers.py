@@ -136,3 +136,28 @@ def test_slots_are_places_in_the_wrapper():
     first, second = W.slots(a, wrapper), W.slots(b, wrapper)
     assert first[0] == first[1] == second[0] and first[2] == second[1] and first[3] not in first[:3]
     assert W.slots(W.Page("<table><tr><td>x"), wrapper) == ["/table/tr/td"]
+
+
+LONG = "Text of the article that goes on for some time"
+
+
+@pytest.mark.parametrize("source, text", [
+    (f"<div class='content no-sidebar'><article>{LONG}</article></div>", LONG),
+    (f"<div class='has-search'><main><p>{LONG}</main></div>", LONG), (f"<section id='notice-of-award'><p>{LONG}</section>", LONG),
+    (f"<div class=social><p>Us</p><article>{LONG}<div class=share>Tweet</div></article></div>", LONG),
+    (f"<article>{LONG}</article><div class=sidebar><article>Teaser</article></div>", LONG),
+    (f"<article>{LONG}<section class=comments><article>{LONG} {LONG}</article></section></article>", LONG),
+    (f"<div class=body>{LONG}</div><div class=sidebar><article>Teaser</article></div>", LONG),
+    (f"<article>{LONG}<math><mi>x</mi></math><object>y</object></article>", f"{LONG}\nx\ny"),
+    *[(f"<article>{LONG}<div class='{c}'>no</div></article>", LONG) for c in ("comments-area", "post relatedPosts", "cookie_notice", "ad-7", "sidebar__inner")],
+    *[(f"<article>{LONG}<div class='{c}'>yes</div></article>", f"{LONG}\nyes") for c in ("ad-free", "search-engines", "without-comments")],
+])
+def test_marks_are_whole_names_or_head_words_and_do_not_hide_the_article(source, text):
+    assert W.article_text(source, None, None) == text
+
+
+def test_a_mark_around_all_text_of_a_host(spark):
+    rows = [(i, "http://f.org/x", f"<body><nav>Menu</nav><section id=notice><p>{LONG} {i}</p></section></body>") for i in range(3)]
+    rows += [(10, "http://g.org/x", f"<body><p>{LONG}</p></body>"), (11, "http://g.org/y", "<body><div class=notice>Hm</div></body>")]
+    found = {r.page_id: r.text for r in W.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {0: f"{LONG} 0", 1: f"{LONG} 1", 2: f"{LONG} 2", 10: LONG, 11: ""}
