@@ -5,13 +5,17 @@ The sum of the log-probabilities of all tokens is a document's pseudo-log-likeli
 documents of different length comparable.
 
 Tokens are words in lower case. The most frequent words of the whole corpus have numbers of their own, the
-others share hashed numbers. A token is predicted in two steps, its class (a band of frequencies) and its place in the
+others share hashed numbers. The log-probability of such a token is that of its number plus the log of the word's share
+of the number, from the counts of all words of the corpus: a table that grows with the corpus and is joined by word.
+The most frequent ``NEAR`` words of it are sent to all tasks, the others meet their tokens in a shuffle. Every share is
+smoothed by one more word of count ``UNSEEN``, which is what a word without count gets. Shares are whole numbers of
+2^-20, so that their sums are exact. A token is predicted in two steps, its class (a band of frequencies) and its place in the
 class, which costs a few dozen products instead of one per word of the vocabulary. Output biases start from the
 corpus counts, so the untrained network is the unigram model.
 
 Training is data-parallel over the whole corpus. In each round every task trains from the same parameters on
-one eighth of the positions of each of its documents (another eighth each round) and returns its parameters; they are averaged
-by weight in groups of 32 parts, level by level, so no task sees more than 32 of them however many tasks there
+one eighth of the positions of each of its documents (another eighth each round, so that the rounds cover all) and returns
+its parameters; they are averaged by weight in groups of 32 parts, level by level, so no task sees more than 32 of them however many tasks there
 are. What goes through the driver is one set of parameters, whose size is fixed.
 
 Defined results: a null or empty text, or one without words, has 0 tokens, log-likelihood 0 and no mean; equal texts
@@ -38,18 +42,26 @@ from diffmill.session import stored
 CLASSES, PER_CLASS, SHARED = 64, 32, 64
 VOCABULARY = CLASSES * PER_CLASS
 HIDDEN, SIDES = 32, (-2, -1, 1, 2)
-ROUNDS, MASK, RATE = 3, 8, 0.1
+MASK, RATE = 8, 0.1
+ROUNDS = MASK
 _PAD = VOCABULARY
 _BATCH, _CHUNK = 4096, 16384
 #: Parts averaged at once, parameters in one row, words a task counts before it sends them on.
 FAN_IN, ROW, COUNTED = 32, 8192, 500_000
+#: Rare words whose shares every task gets, and the count of an unseen word in every shared number.
+NEAR, UNSEEN = 100_000, 0.5
+_UNIT = 1 << 20
 
 
 class Numbers(dict):
     """Numbers of words; rare words share the last ones."""
 
     def __missing__(self, word: bytes) -> int:
-        return VOCABULARY - SHARED + xxhash.xxh32_intdigest(word) % SHARED
+        return shared_number(word)
+
+
+def shared_number(word: bytes) -> int:
+    return VOCABULARY - SHARED + xxhash.xxh32_intdigest(word) % SHARED
 
 
 class Network:
@@ -181,17 +193,55 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def numbered(docs: DataFrame, keep: list[str], text_col: str, numbers: dict[bytes, int]) -> DataFrame:
-    """The ``keep`` columns as ``row`` and the tokens of each text as 16-bit numbers, stored."""
+def shares(counted: DataFrame, numbers: dict[bytes, int]) -> tuple[DataFrame, np.ndarray]:
+    """word and share (a logarithm, in units) of the words without a number of their own, and the counts of the shared
+    numbers, each with ``UNSEEN`` for words that are not there."""
+
+    def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for words in batches:
+            yield pa.array([-1 if w in numbers else shared_number(w) - VOCABULARY + SHARED for w in words.to_pylist()], pa.int32())
+
+    rare = counted.select("word", "n", F.arrow_udf(number, "int")("word").alias("number"))
+    rare = stored(rare.where("number >= 0"), "lm-rare")
+    totals = np.full(SHARED, UNSEEN)
+    for r in rare.groupBy("number").agg(F.sum("n").alias("n")).collect():
+        totals[r.number] += r.n
+    share = F.log(F.col("n") / F.get(F.lit(totals.tolist()), F.col("number")))
+    return rare.select("word", F.rint(share * _UNIT).cast("bigint").alias("share")), totals
+
+
+def numbered(docs: DataFrame, keep: list[str], text_col: str, numbers: dict[bytes, int], near: dict[bytes, int]) -> DataFrame:
+    """The ``keep`` columns as ``row``, the tokens of each text as 16-bit numbers, the sum of the log shares of the
+    tokens that ``near`` holds, and the other rare words, each with its count, stored with an ``at`` of the row."""
+    near = docs.sparkSession.sparkContext.broadcast(near)
 
     def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Numbers(numbers)
+        known, shares = Numbers(numbers), near.value
         for texts in batches:
-            words = (plain_words(t) for t in as_bytes(texts))
-            yield pa.array([np.fromiter(map(known.__getitem__, w), np.uint16, len(w)).tobytes() for w in words], pa.binary())
+            tokens, sums, far, times = [], [], [], []
+            for text in as_bytes(texts):
+                words = plain_words(text)
+                tokens.append(np.fromiter(map(known.__getitem__, words), np.uint16, len(words)).tobytes())
+                rare = Counter(w for w in words if w not in numbers)
+                sums.append(sum(n * shares[w] for w, n in rare.items() if w in shares))
+                far.append([w for w in rare if w not in shares])
+                times.append([rare[w] for w in far[-1]])
+            yield pa.StructArray.from_arrays(
+                [pa.array(tokens, pa.binary()), pa.array(sums, pa.int64()), pa.array(far, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                ["tokens", "near", "far", "times"],
+            )
+
+    kind = "struct<tokens:binary,near:bigint,far:array<binary>,times:array<bigint>>"
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.arrow_udf(number, kind)(docs[text_col]).alias("_n"))
+    return stored(rows.select("row", F.monotonically_increasing_id().alias("at"), "_n.*"), "lm-tokens")
+
 
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.arrow_udf(number, "binary")(docs[text_col]).alias("tokens"))
-    return stored(rows, "lm-tokens")
+def far_shares(tokens: DataFrame, rare: DataFrame, unseen: int) -> DataFrame:
+    """_at and the sum of the log shares of a row's far words."""
+    used = tokens.select("at", F.explode(F.arrays_zip("far", "times")).alias("_f")).select("at", "_f.far", "_f.times")
+    named = used.join(rare, F.col("far") == F.col("word"), "left")
+    found = F.sum(F.col("times") * F.coalesce("share", F.lit(unseen))).alias("_far")
+    return named.groupBy(F.col("at").alias("_at")).agg(found)
 
 
 def _trained(tokens: DataFrame, net: Network, turn: int) -> DataFrame:
@@ -264,12 +314,15 @@ def score_documents(docs: DataFrame, keep: list[str] | None = None, text_col: st
     keep = ["doc_id"] if keep is None else keep
     own = VOCABULARY - SHARED
     counted = stored(word_counts(docs, text_col), "lm-words")
-    frequent = counted.orderBy(F.col("n").desc(), "word").limit(own).collect()
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    frequent = counted.orderBy(F.col("n").desc(), "word").limit(own + NEAR).collect()
+    frequent, next_ones = frequent[:own], frequent[own:]
+    numbers = {bytes(r.word): i for i, r in enumerate(frequent)}
+    rare, totals = shares(counted, numbers)
     counts = np.zeros(VOCABULARY)
     counts[: len(frequent)] = [r.n for r in frequent]
-    counts[own:] = (total - counts.sum()) / SHARED
-    tokens = numbered(docs, keep, text_col, {bytes(r.word): i for i, r in enumerate(frequent)})
+    counts[own:] = totals - UNSEEN
+    log_share = lambda word, n: round(float(np.log(n / totals[shared_number(word) - own])) * _UNIT)
+    tokens = numbered(docs, keep, text_col, numbers, {bytes(r.word): log_share(bytes(r.word), r.n) for r in next_ones})
     net = docs.sparkSession.sparkContext.broadcast(fit(tokens, counts, rounds).vector)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -277,8 +330,13 @@ def score_documents(docs: DataFrame, keep: list[str] | None = None, text_col: st
         for batch in batches:
             yield pa.array(score_texts(own_net, batch.to_pylist()), pa.float64())
 
-    scored = tokens.select("row", (F.octet_length("tokens") / 2).cast("bigint").alias("n_tokens"), F.arrow_udf(score, "double")("tokens").alias("log_prob"))
-    return scored.select("row.*", "n_tokens", "log_prob", F.try_divide("log_prob", "n_tokens").alias("mean_log_prob"))
+    n_tokens = (F.octet_length("tokens") / 2).cast("bigint").alias("n_tokens")
+    scored = tokens.select("row", "at", n_tokens, "near", F.arrow_udf(score, "double")("tokens").alias("net"))
+    far = far_shares(tokens, rare, round(float(np.log(UNSEEN / totals.max())) * _UNIT))
+    whole = scored.join(far, F.col("at") == F.col("_at"), "left")
+    log_prob = F.col("net") + (F.col("near") + F.coalesce("_far", F.lit(0))) / _UNIT
+    whole = whole.select("row", "n_tokens", log_prob.alias("log_prob"))
+    return whole.select("row.*", "n_tokens", "log_prob", F.try_divide("log_prob", "n_tokens").alias("mean_log_prob"))
 
 
 def score_texts(net: Network, texts: list[bytes | None]) -> np.ndarray:

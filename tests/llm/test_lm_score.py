@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,3 +95,23 @@ def test_awkward_rows(spark, rounds):
     assert all((r.n_tokens == 0) == (r.mean_log_prob is None) for r in got)
     assert len({r.log_prob for r in got if r.doc_id is not None and 30 <= r.doc_id < 40}) == 1
     assert L.score_documents(empty(spark), rounds=rounds).collect() == []
+
+
+@pytest.mark.parametrize("near", [0, 40, L.NEAR])
+def test_rare_words_have_their_own_share(spark, monkeypatch, near):
+    """An idle network gives the unigram model, of words that share a number too."""
+    monkeypatch.setattr(L, "NEAR", near)
+    own = L.VOCABULARY - L.SHARED
+    rows = [(0, " ".join(f"f{i} " * 20 for i in range(own)), "en", "s", 0), (1, "r1 r1 r1 r1", "en", "s", 0)]
+    rows += [(2, " ".join(f"once{i}" for i in range(4000)), "en", "s", 0), (3, "r1 r2", "en", "s", 0), (3, "r1 r2", "en", "s", 0)]
+    counts = Counter(w for r in rows for w in r[1].split())
+    total = sum(counts.values())
+    got = L.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(3), rounds=0).collect()
+    assert len(got) == 5 and len({r.log_prob for r in got if r.doc_id == 3}) == 1
+    for r in got:
+        want = np.mean([np.log(counts[w] / total) for w in rows[r.doc_id][1].split()])
+        assert abs(r.mean_log_prob - want) < 0.2
+
+
+def test_rounds_cover_all_positions():
+    assert {-turn % L.MASK for turn in range(L.ROUNDS)} == set(range(L.MASK))
