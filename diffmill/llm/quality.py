@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from diffmill.llm.common import WHITE, judged, shingle_hashes, word_hashes
 from diffmill.session import stored
 
-#: Transformed statistics, and what is added to each standard deviation.
+#: Transformed statistics, and what is added to each standard deviation. The last two are under 1, so their floors
+#: must be under 0.187 (1 / sqrt(CUTOFF)) for one of them alone to reject a text.
 VECTOR = ("word_length", "symbol_rate", "line_repeats", "stutter")
-FLOORS = (0.25, 0.4, 0.2, 0.1)
+FLOORS = (0.25, 0.4, 0.1, 0.1)
 #: Share of rows in the core, concentration steps, chance that a Gaussian row is rejected.
 CORE, STEPS, TAIL = 0.75, 5, 1e-5
 MIN_GROUP, MIN_POOL = 100, 20

@@ -105,3 +105,22 @@ def test_filter_keeps_whole_rows(spark):
     assert kept.columns == rows.columns
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in judged.collect())
     assert Q.keep_good(empty(spark)).collect() == []
+
+
+def test_each_dimension_alone_rejects(spark):
+    rng = random.Random(21)
+    word = lambda size=6: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(size - 2, size + 3)))
+    line = lambda size=6: " ".join(word(size) for _ in range(8))
+    rows = [(i, "\n".join(line() for _ in range(12)), "en", "s", 0) for i in range(300)]
+    bad = {
+        "word_length": "\n".join(line(30) for _ in range(12)), "symbol_rate": "\n".join(line().replace(" ", " ## ") for _ in range(12)),
+        "line_repeats": "\n".join(f"{line()}\n{rng.choice(['Reply', 'Share', 'Read more'])}" for _ in range(12)),
+        "stutter": "\n".join(" ".join(w for w in line().split() for _ in range(2)) for _ in range(12)),
+    }
+    rows += [(1000 + i, text, "en", "s", 0) for i, text in enumerate(bad.values())]
+    got = {r.doc_id: r for r in Q.judge_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].kept for i in range(300))
+    for i, name in enumerate(bad):
+        assert not got[1000 + i].base_failed and not got[1000 + i].kept, name
+        others = [v for k, v in zip(Q.VECTOR, vector(bad[name])) if k not in (name, "word_length")]
+        assert not any(others)
