@@ -20,7 +20,49 @@ from pyspark.sql import DataFrame
 
 from diffmill.llm.common import judged, plain_words
 
-#: Phrases that name a license, and openings of well-known public notices.
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+    "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+    "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+    "and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS +
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE."
+)
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+    "License as published by the Free Software Foundation, either version {0} of the License, or (at your option) any later "
+    "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
+    "details. You should have received a copy of the GNU General Public License along with this program. "
+)
+#: Phrases that name a license; whole short licenses, whole standard headers, statements of one
+#: line, and openings of notices, which stand in texts that do not go on.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 NOTICES = (
     ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except '
@@ -37,6 +79,47 @@ NOTICES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
      "associated documentation files"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mit", _MIT),
+    ("bsd", _BSD_START + _BSD_END),
+    ("bsd", _BSD_START + _BSD_NAMES + _BSD_END),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+     'PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
+     "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+     "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+     "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+     "SOFTWARE."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+     "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or "
+     "authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+     "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+     "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under "
+     "copyright law. " + _AS_IS + "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER "
+     "IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+     "DEALINGS IN THE SOFTWARE."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+     "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for "
+     "any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+     "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+     "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but "
+     "is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+     "original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+     "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+     'applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+     "governing permissions and limitations under the License."),
+    ("gpl", _GPL.format(2)),
+    ("gpl", _GPL.format(3) + "If not, see <https://www.gnu.org/licenses/>."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+     "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+     "which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this "
+     "work."),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
 )
 #: Words that a match needs to be chained, share of a notice that a chain must cover, and
 #: the most words of the text that a chain may skip between two matches.
@@ -146,7 +229,8 @@ class Scanner:
         return phrases, found
 
     def spans(self, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of matches, best first, that overlap no better chain of the same label."""
+        """Chains of matches, those of most words first, that overlap no better chain of the same label and are not
+        within one of another label."""
         by_notice: dict[int, list[tuple[int, int, int]]] = {}
         for end, n, state in found:
             for s, at in self.automaton.ends[state]:
@@ -169,12 +253,13 @@ class Scanner:
                 best.append(here)
                 cover = min(1.0, here[0] / self.sizes[s])
                 if cover >= self.min_cover:
-                    chains.append((-cover, here[1], start + n, self.labels[s]))
+                    chains.append((-here[0], -cover, here[1], start + n, self.labels[s]))
         kept: list[tuple[str, int, int, float]] = []
         last: dict[str, list[tuple[int, int]]] = {}
-        for cover, start, end, label in sorted(chains):
+        for _, cover, start, end, label in sorted(chains):
             taken = last.setdefault(label, [])
-            if all(end <= a or start >= b for a, b in taken):
+            inside = any(a <= start and end <= b for _, a, b, _ in kept)
+            if not inside and all(end <= a or start >= b for a, b in taken):
                 taken.append((start, end))
                 kept.append((label, start, end, -cover))
         return sorted(kept, key=lambda x: (x[1], x[2], x[0]))

@@ -72,3 +72,23 @@ def test_awkward_rows(spark):
     assert got == {(i, len(plain_words(t)), len(base(t))) for i, t, *_ in messy_rows()}
     assert scan_licenses(messy(spark)).count() == len(messy_rows())
     assert scan_licenses(empty(spark)).collect() == []
+
+
+def test_whole_licenses_have_whole_spans():
+    scan = Scanner(PHRASES, NOTICES, 4, 0.7, 12)
+    assert {"isc", "unlicense", "zlib", "epl", "cc0", "cc-by"} <= {label for label, _ in NOTICES}
+    for label, notice in NOTICES:
+        n = len(plain_words(notice))
+        spans = scan(f"Some words before. {notice} And after it.".encode())["spans"]
+        assert [(s["label"], s["start"], s["end"]) for s in spans] == [(label, 3, 3 + n)]
+        if n > 60:  # the body without its opening
+            body = " ".join(notice.split()[18:])
+            assert [s["label"] for s in scan(body.encode())["spans"]] == [label]
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Licensed under CC BY 4.0.", ["cc-by"]), ("Licensed under CC BY-NC 4.0.", ["cc-by-nc"]),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", ["cc-by-nc"]),
+])
+def test_families_are_told_apart(text, labels):
+    assert [s["label"] for s in Scanner(PHRASES, NOTICES, 4, 0.7, 12)(text.encode())["spans"]] == labels
