@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffmill.llm import (
-    decontaminate, license_scan, lm_score, mixing, neardup, personal, quality, sharding, url_filter, wrappers,
+    byte_bpe, decontaminate, fill_middle, filter_audit, license_scan, lm_score, mixing, neardup, personal, quality, sharding,
+    url_filter, wrappers,
 )
 from diffmill.llm.common import table
 
@@ -227,3 +228,106 @@ def op6_lm_score(spark, sf_dir):
 def op7_html_articles(spark, sf_dir):
     found = wrappers.extract_articles(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256",
+        fill_middle.restored_sha256(F.col("output"), F.col("form")).alias("restored_sha256"),
+    )
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]'), []) AS u,
+         sha256('1:' || coalesce(cast(doc_id AS varchar), '')) AS h
+  FROM documents
+),
+e AS (SELECT *, len(u) AS n, [cast('0x' || substr(h, 8 * i + 1, 8) AS bigint) FOR i IN range(4)] AS x FROM d),
+c AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS low, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 90
+              THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM e
+),
+p AS (
+  SELECT *, coalesce(array_to_string(u[1:low], ''), '') AS pre, coalesce(array_to_string(u[low + 1:high], ''), '') AS mid,
+         coalesce(array_to_string(u[high + 1:], ''), '') AS suf
+  FROM c
+),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+            ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output
+  FROM p
+),
+r AS (
+  SELECT *, strpos(output, '<P>') AS p_at, strpos(output, '<S>') AS s_at, strpos(output, '<M>') AS m_at FROM o
+)
+SELECT doc_id, cast(n AS bigint) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+              WHEN 'psm' THEN substr(output, p_at + 3, s_at - p_at - 3) || substr(output, m_at + 3) || substr(output, s_at + 3, m_at - s_at - 3)
+              ELSE substr(output, p_at + 3, m_at - p_at - 3) || substr(output, m_at + 3) || substr(output, s_at + 3, p_at - s_at - 3) END)
+         AS restored_sha256
+FROM r
+"""
+
+
+@query
+def op12_byte_bpe(spark, sf_dir):
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+),
+firsts AS (SELECT text, min(doc_id) AS least_id FROM d GROUP BY 1),
+marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {
+    'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > least_id, false)} AS fails
+  FROM d JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)
+),
+g AS (SELECT part, fails, count(*) AS n, sum(good::int) AS n_good, sum(toxic::int) AS n_toxic FROM f GROUP BY ALL),
+grown(o) AS (
+  SELECT '' UNION ALL
+  SELECT o || x FROM grown, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)
+),
+steps AS (
+  SELECT o AS filter_order, unnest(range(1, 6)) AS step FROM grown WHERE length(o) = 5
+),
+s AS (
+  SELECT g.*, filter_order, step, fails[substr(filter_order, step, 1)] AS hit,
+         len(list_filter(range(1, step), lambda i: fails[substr(filter_order, i, 1)])) > 0 AS gone,
+         len(list_filter(map_values(fails), lambda v: v)) = 1 AS alone
+  FROM g, steps
+),
+t AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS name,
+         sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN hit AND alone THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND hit THEN n_good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN NOT gone AND hit THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM s GROUP BY ALL
+)
+SELECT part, filter_order, cast(step AS int) AS step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant,
+       unique_fails::bigint AS unique_fails, good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost,
+       cast(sum(removed) OVER (PARTITION BY part, name) AS bigint) AS shapley
+FROM t
+"""

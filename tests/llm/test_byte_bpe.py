@@ -1,0 +1,92 @@
+import base64
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from diffmill.llm import byte_bpe
+from diffmill.llm.queries import QUERIES
+from tests.llm.plain import SCHEMA, empty, messy, messy_rows, prose
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return byte_bpe.load_vocabulary()
+
+
+@pytest.fixture(scope="module")
+def library(vocabulary):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+
+
+PARTS = ["a", "aa", "ab", "é", "漢", " ", "  ", "\n", "'s", "0", "00", "🙂", "the", "\t", "=", "==", "<|endoftext|>", "\x00"]
+
+
+def random_texts(n=800):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(40))) for _ in range(n)]
+    texts += ["a" * 5000, "=" * 3001, "0" * 2000, "ab" * 3000, prose(rng, 5000)]
+    texts.append("".join(chr(rng.randrange(32, 0x2000)) for _ in range(20_000)))
+    return texts
+
+
+def test_query_against_the_library(spark, tmp_path, library):
+    rows = [(100 + i, t, "en", "s", 0) for i, t in enumerate(random_texts())] + messy_rows()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op12_byte_bpe"](spark, str(tmp_path)).collect()
+    want = []
+    for r in rows:
+        ids = library.encode_ordinary(r[1] or "")
+        raw = np.array(ids, "<u4").tobytes()
+        want.append((r[0], len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_rank_file_is_read_whole(vocabulary):
+    with open(public_tokenizers.path(byte_bpe.RANKS), "rb") as f:
+        assert len(f.readlines()) == len(vocabulary.ranks) == vocabulary.size == 50_256
+    assert base64.b64encode(vocabulary.decode(np.array([50_255]))) is not None
+
+
+def test_any_rank_file_even_one_whose_merges_open_lower_ranks(vocabulary):
+    """Small vocabularies in random order: merges out of order, overlaps, tokens without a way to them."""
+    rng = random.Random(13)
+    for k in range(150):
+        ranks = {bytes([b]): b for b in range(256)}
+        for token in {bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 5))) for _ in range(rng.randrange(3, 13))}:
+            ranks[token] = len(ranks)
+        own = byte_bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+        library = tiktoken.Encoding(f"own{k}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 30))) for _ in range(30)]
+        got = [ids.tolist() for ids in byte_bpe.Encoder(own)(texts)]
+        assert got == [library.encode_ordinary(t) for t in texts]
+        assert [own.decode(np.array(ids, np.int64)).decode() for ids in got] == texts
+
+
+def test_words_one_by_one_agree_with_the_replay(vocabulary):
+    words = [w.encode() for t in random_texts(50)[:50] for w in vocabulary.words.findall(t)]
+    ids, counts = byte_bpe.replay(vocabulary, words)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in parts] == [byte_bpe.one_by_one(vocabulary, w) for w in words]
+
+
+def test_batches_and_forgetting_change_nothing(vocabulary, monkeypatch):
+    texts = random_texts(200)
+    whole = [ids.tolist() for ids in byte_bpe.Encoder(vocabulary)(texts)]
+    small = byte_bpe.Encoder(vocabulary, kept_bytes=100)
+    assert [ids.tolist() for i in range(0, len(texts), 7) for ids in small(texts[i : i + 7])] == whole
+    monkeypatch.setattr(byte_bpe, "LONG_TEXT", 10)  # matches as a stream
+    assert [ids.tolist() for ids in byte_bpe.Encoder(vocabulary)(texts)] == whole
+
+
+def test_special_rows(spark):
+    assert byte_bpe.decode(byte_bpe.encode(empty(spark))).collect() == []
+    coded = byte_bpe.decode(byte_bpe.encode(messy(spark)))
+    assert coded.columns == ["doc_id", "ids", "decoded"]
+    assert coded.count() == len(messy_rows())
+    assert [bytes(r.ids) for r in coded.where("doc_id in (0, 1)").collect()] == [b"", b""]
+    nulls = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
+    assert byte_bpe.decode(nulls).first().decoded is None

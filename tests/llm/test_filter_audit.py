@@ -1,0 +1,111 @@
+import math
+import random
+from itertools import permutations
+
+from diffmill.llm import filter_audit
+from diffmill.llm.queries import QUERIES
+from tests.llm.plain import SCHEMA, empty, messy, messy_rows, white_words
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def plain_fails(rows):
+    out = []
+    for doc_id, text, *_ in rows:
+        text = text or ""
+        words = white_words(text)
+        smaller = any((t or "") == text and i is not None and doc_id is not None and i < doc_id for i, t, *_ in rows)
+        capitals = sum("A" <= c <= "Z" for c in text)
+        tests = {
+            "A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * capitals > 2 * len(text),
+            "D": any(c in "#$%&*|" for c in text), "E": smaller,
+        }
+        out.append({name for name, failed in tests.items() if failed})
+    return out
+
+
+def plain_audit(rows, labels):
+    """Every order walked through for every part, document by document."""
+    fails, good, toxic = plain_fails(rows), {}, {}
+    for i, q, t in labels:
+        good[i], toxic[i] = max(good.get(i, 0), q or 0), max(toxic.get(i, 0), t or 0)
+    parts, out = {}, []
+    for r, f in zip(rows, fails):
+        parts.setdefault(r[3] or "", []).append((f, r[0] is not None and good.get(r[0]) == 1, r[0] is not None and toxic.get(r[0]) == 1))
+    for part, docs in parts.items():
+        shapley, found = dict.fromkeys("ABCDE", 0), []
+        for order in permutations("ABCDE"):
+            alive = list(docs)
+            for step, name in enumerate(order, 1):
+                hit = [d for d in alive if name in d[0]]
+                alive = [d for d in alive if name not in d[0]]
+                every = sum(name in d[0] for d in docs)
+                unique = sum(d[0] == {name} for d in docs)
+                row = (len(alive), len(hit), every - len(hit), unique, sum(d[1] for d in hit), sum(d[2] for d in hit))
+                found.append((part, "".join(order), step, row, name))
+                shapley[name] += len(hit)
+        out += [(p, o, s, *row, shapley[name]) for p, o, s, row, name in found]
+    return sorted(out)
+
+
+def corpus():
+    rng = random.Random(13)
+    rows = []
+    for i in range(160):
+        n = rng.choice([0, 3, 150, 199, 200, 260])
+        words = [f"w{rng.randrange(rng.choice([20, 400]))}" for _ in range(n)]
+        if i % 3 == 0:
+            words = [w.upper() if rng.random() < 0.2 else w for w in words]
+        if i % 5 == 0 and words:
+            words[0] += rng.choice("#$%&*|<")
+        rows.append((i, rng.choice([" ", "\n\t", "\x0b "]).join(words), "en", rng.choice(["s1", "s2", "", None]), 0))
+    rows += [(1000 + i, rows[i % 7][1], "fr", rng.choice(["s1", "s3"]), 0) for i in range(40)]
+    rows += [(-5, rows[3][1], "fr", "s9", 0), (7, rows[7][1], "fr", "s9", 0), (None, rows[8][1], "en", "s1", 0)]
+    rng.shuffle(rows)
+    labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1])) for i in range(0, 1040, 2)] + [(4, 1, 0), (4, 0, 1), (None, 1, 1)]
+    return rows, labels
+
+
+def test_query_against_a_plain_walk_through_every_order(spark, tmp_path):
+    rows, labels = corpus()
+    rows += messy_rows()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["op13_filter_audit"](spark, str(tmp_path))
+    assert got.columns == [
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
+    ]
+    assert sorted(map(tuple, got.collect())) == plain_audit(rows, labels)
+
+
+def test_paths_through_the_lattice():
+    for n in range(1, 7):
+        ahead, back = filter_audit.path_counts(n)
+        assert ahead[-1] == back[0] == math.factorial(n)
+        edges = filter_audit.lattice_edges(n)
+        assert len(edges) == n * 2 ** (n - 1)
+        assert sum(w for _, _, w in edges) == n * math.factorial(n)
+        for k in range(n):  # each order passes one edge of each level
+            assert sum(w for s, _, w in edges if bin(s).count("1") == k) == math.factorial(n)
+    taken = {}
+    for state, bit, *_ in filter_audit.order_steps("ABCDE"):
+        taken[state, bit] = taken.get((state, bit), 0) + 1
+    assert taken == {(s, b): w for s, b, w in filter_audit.lattice_edges(5)}
+
+
+def test_shapley_totals_share_out_all_removals(spark):
+    rows, labels = corpus()
+    audit = filter_audit.audit_filters(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)).collect()
+    for part in {r.part for r in audit}:
+        first = [r for r in audit if r.part == part and r.filter_order == "ABCDE"]
+        assert sum(r.shapley for r in first) == 120 * sum(r.removed for r in first)
+
+
+def test_special_rows(spark):
+    none = spark.createDataFrame([], LABELS)
+    assert filter_audit.audit_filters(empty(spark), none).collect() == []
+    audit = filter_audit.audit_filters(messy(spark), none)
+    assert sorted(map(tuple, audit.collect())) == plain_audit(messy_rows(), [])
+    long = [(1, "word " * 500_000, "en", "s", 0), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]
+    audit = filter_audit.audit_filters(spark.createDataFrame(long, SCHEMA), none)
+    assert sorted(map(tuple, audit.collect())) == plain_audit(long, [])
