@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from diffmill.functions.text import added_lines, diff_paths, has_binary_marker,
 from diffmill.plans.paging import attach_by_key, number_pages, split_by_size
 
 PR = ["repo", "pr_number"]
+DIFF_MARK = "diff --git"
+#: About so many names of a pull request share an automaton.
+SLICE_NAMES = 20_000
 
 
 def reviewable_files(files: DataFrame) -> DataFrame:
@@ -70,7 +77,9 @@ def _opening():
     return F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name)
 
 
-def diff_parts(prs: DataFrame, files: DataFrame, contents: DataFrame, match: str = "exact") -> DataFrame:
+def diff_parts(
+    prs: DataFrame, files: DataFrame, contents: DataFrame, match: str = "exact", slice_names: int = SLICE_NAMES
+) -> DataFrame:
     """Rebuilt section of every reviewable file (R3, U1): keys, ``seq``, ``part``.
 
     A patch is used as it is; an added or renamed file without one is written out in
@@ -106,8 +115,8 @@ def diff_parts(prs: DataFrame, files: DataFrame, contents: DataFrame, match: str
         ).alias("part"),
     )
     unpatched = keep.where(~has_patch & (F.col("status") == "modified"))
-    find = _sections_by_path if match == "exact" else _sections_by_name
-    return patched.unionByName(written).unionByName(find(unpatched, prs))
+    found = _sections_by_path(unpatched, prs) if match == "exact" else _sections_by_name(unpatched, prs, slice_names)
+    return patched.unionByName(written).unionByName(found)
 
 
 def _sections_by_path(files: DataFrame, prs: DataFrame) -> DataFrame:
@@ -121,27 +130,81 @@ def _sections_by_path(files: DataFrame, prs: DataFrame) -> DataFrame:
     )
 
 
-def _sections_by_name(files: DataFrame, prs: DataFrame) -> DataFrame:
-    """The first run of sections whose header line holds the file's name. Only the
-    header lines of a diff meet its files; texts are fetched by section afterwards."""
-    cut = prs.select(*PR, F.split("diff", "\n(?=[^\n]*diff --git)", -1).alias("_pieces"))
+def name_runs(names: list[str], heads: list[str]) -> list[dict[str, int]]:
+    """For each name that a header line holds: its number in ``names`` and the first run of sections.
+
+    ``heads`` are the first lines of the pieces of a diff. A name's run begins with the
+    first header that holds it and goes on until a line that begins like a header and
+    does not. One automaton of all names reads every header once; a run is kept as its
+    first piece and the number of headers up to its end, so a header costs the names
+    that it holds and nothing for the others.
+    """
+    places: dict[str, list[int]] = {}
+    for k, name in enumerate(names):
+        places.setdefault(name, []).append(k)
+    automaton = ahocorasick.Automaton()
+    for name in places:
+        if name:
+            automaton.add_word(name, name)
+    automaton.make_automaton()
+    everywhere = {""} if "" in places else set()
+    runs: dict[str, list[int]] = {}
+    headers: list[int] = []
+    for piece, head in enumerate(heads, 1):
+        if DIFF_MARK not in head:
+            continue
+        opens = head.startswith(DIFF_MARK)
+        if opens:
+            headers.append(piece)
+        seen = len(headers)
+        held = {name for _, name in automaton.iter(head)} if len(automaton) else set()
+        for name in held | everywhere:
+            run = runs.get(name)
+            if run is None:
+                runs[name] = [piece, seen]
+            elif opens and run[1] == seen - 1:
+                run[1] = seen
+    headers.append(len(heads) + 1)
+    return [
+        {"name": k, "first": first, "last": headers[seen] - 1} for name, (first, seen) in runs.items() for k in places[name]
+    ]
+
+
+_RUNS = "array<struct<name: int, first: int, last: int>>"
+
+
+def _runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("name", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
+    for names, heads in batches:
+        pairs = zip(names.to_pylist(), heads.to_pylist())
+        yield pa.array([name_runs(n or [], h or []) for n, h in pairs], kind)
+
+
+def _sliced_names(files: DataFrame, slice_names: int) -> DataFrame:
+    """Names of each pull request in lists of about ``slice_names``: a large one has several."""
+    named = files.where(F.col("filename").isNotNull()).select(*PR, "seq", "filename")
+    slices = F.ceil(F.count(F.lit(1)) / slice_names).alias("_slices")
+    large = named.groupBy(*PR).agg(slices).where(F.col("_slices") > 1)
+    spread = F.pmod(F.xxhash64("filename", "seq"), F.coalesce("_slices", F.lit(1))).alias("_slice")
+    sliced = named.join(large, PR, "left").select(*PR, "seq", "filename", spread)
+    return sliced.groupBy(*PR, "_slice").agg(F.collect_list(F.struct("seq", "filename")).alias("_files"))
+
+
+def _sections_by_name(files: DataFrame, prs: DataFrame, slice_names: int) -> DataFrame:
+    """The first run of sections whose header line holds the file's name. The header lines of a
+    diff are read once by the automaton of each slice of names; texts are fetched by section
+    afterwards."""
+    cut = prs.select(*PR, F.split("diff", f"\n(?=[^\n]*{DIFF_MARK})", -1).alias("_pieces"))
     heads = cut.select(*PR, F.transform("_pieces", lambda p: F.substring_index(p, "\n", 1)).alias("_heads"))
-    names, other = 1, 2
-    marks = F.transform(
-        "_heads",
-        lambda h: F.when(h.contains("diff --git") & h.contains(F.col("filename")), names)
-        .when(h.startswith("diff --git"), other)
-        .otherwise(0),
-    )
-    rest = F.slice("_marks", F.col("_from").cast("int"), F.size("_marks"))
-    length = F.coalesce(F.nullif(F.array_position(rest, other), F.lit(0)) - 1, F.size(rest))
+    found = F.arrow_udf(_runs, _RUNS)(F.col("_files.filename"), F.col("_heads"))
     wanted = (
-        files.select(*PR, "seq", "filename")
+        _sliced_names(files, slice_names)
         .join(heads, PR, "inner")
-        .withColumn("_marks", marks)
-        .withColumn("_from", F.array_position("_marks", names))
-        .where(F.col("_from") > 0)
-        .select(*PR, "seq", F.explode(F.sequence(F.col("_from"), F.col("_from") + length - 1)).alias("_piece"))
+        .select(*PR, "_files", F.explode(found).alias("_run"))
+        .select(
+            *PR, F.col("_files")[F.col("_run.name")]["seq"].alias("seq"),
+            F.explode(F.sequence(F.col("_run.first").cast("bigint"), F.col("_run.last").cast("bigint"))).alias("_piece"),
+        )
     )
     pieces = cut.select(*PR, F.posexplode("_pieces").alias("_pos", "text")).select(
         *PR, (F.col("_pos") + 1).cast("bigint").alias("_piece"), "text"
@@ -155,7 +218,8 @@ def _sections_by_name(files: DataFrame, prs: DataFrame) -> DataFrame:
 
 
 def rebuild_diff(
-    prs: DataFrame, files: DataFrame, contents: DataFrame, match: str = "exact", page_files: int = 2000
+    prs: DataFrame, files: DataFrame, contents: DataFrame, match: str = "exact", page_files: int = 2000,
+    slice_names: int = SLICE_NAMES,
 ) -> DataFrame:
     """Rebuilt diff of every pull request (R3): keys, ``page``, ``diff``, ``rebuilt``.
 
@@ -163,7 +227,7 @@ def rebuild_diff(
     its original diff. One of more than ``page_files`` files comes in ordered pages.
     """
     groups = split_by_size(
-        diff_parts(prs, files, contents, match), PR, page_files, sized_by=reviewable_files(files).select(*PR)
+        diff_parts(prs, files, contents, match, slice_names), PR, page_files, sized_by=reviewable_files(files).select(*PR)
     )
     first = F.lit(0).cast("bigint").alias("page")
     whole = _joined(groups.small.withColumn("page", first).repartition(*PR)).select(*PR, F.col("diff").alias("_rebuilt"))
