@@ -11,8 +11,9 @@ Equal ranks merge from the left: of positions that overlap in a run every second
 file in which a merge can open a pair of lower rank, order matters within a word; such words are
 found (the new rank is below the current one) and encoded one by one.
 
-Texts are independent, so nothing is shuffled; words once encoded are kept for the next texts of the
-task up to ``KEPT_BYTES`` of words, and then dropped and gathered anew, which changes no result.
+Texts are independent, so nothing is shuffled. A task replays the new words of about ``GROUP_CHARS`` characters
+of text together; words once encoded are kept for its next texts up to ``KEPT_BYTES``, and then dropped
+and gathered anew. Neither bound changes a result.
 
 Results for special rows: a null text is the empty text, without tokens; blanks and control characters
 are words like others; repeated rows give equal rows; ids and extra columns are left alone; an empty
@@ -27,6 +28,7 @@ import heapq
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -36,8 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Bytes of distinct words that a task keeps between batches.
-KEPT_BYTES = 32 << 20
+#: Bytes of distinct words that a task keeps, and characters of texts whose new words are replayed together.
+KEPT_BYTES = 16 << 20
+GROUP_CHARS = 4 << 20
 LONG_TEXT = 1 << 20
 _NONE = np.int64(1) << 62
 
@@ -49,7 +52,7 @@ class Vocabulary:
         self.ranks = ranks
         self.words = regex.compile(pattern)
         self.size = max(ranks.values(), default=-1) + 1
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         keys, merged = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -69,7 +72,7 @@ class Vocabulary:
 
     def merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank that each pair merges to; a very large number for none."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.pair_keys, keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NONE)
 
@@ -100,14 +103,14 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
     sizes = np.array([len(w) for w in words], np.int64)
     joined = np.frombuffer(b"".join(words), np.uint8)
     n = len(joined)
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     token = vocabulary.byte_ids[joined]
     # place n ends every word on both sides and merges with nothing
-    left, right = np.arange(-1, n), np.arange(1, n + 2)
+    left, right = np.arange(-1, n, dtype=np.int32), np.arange(1, n + 2, dtype=np.int32)
     ends = np.cumsum(sizes)
     left[ends - sizes] = n
     right[ends - 1] = n
-    token, alive = np.append(token, -1), np.ones(n + 1, bool)
+    token, alive = np.append(token, np.int32(-1)), np.ones(n + 1, bool)
     alive[n] = False
     lone = np.zeros(len(words), bool)
 
@@ -130,7 +133,7 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
                 heapq.heappush(queue, rank)
             index[rank].append(at[start:end])
 
-    enter(np.flatnonzero(right[:n] < n))
+    enter(np.flatnonzero(right[:n] < n).astype(np.int32))
     while queue:
         rank = heapq.heappop(queue)
         held = index.pop(rank)
@@ -153,7 +156,7 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
         beyond = right[after]
         near = beyond[:-1][at[1:] == beyond[:-1]]  # merge next to the left one, which saw it unmerged
         if len(near):
-            lone[word[near[vocabulary.merges(np.int64(rank), token[near]) < rank]]] = True
+            lone[word[near[vocabulary.merges(np.full(len(near), rank), token[near]) < rank]]] = True
         token[at] = rank
         alive[after] = False
         right[at] = beyond
@@ -210,14 +213,24 @@ class Encoder:
 
     def _forget(self) -> None:
         self.numbers, self.held = _Numbers(), 0
-        self.ids = self.starts = self.counts = np.empty(0, np.int64)
+        self.ids, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
+        group, chars = [], 0
+        for text in texts:
+            group.append(text)
+            chars += len(text or "")
+            if chars > GROUP_CHARS:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         if self.held > self.kept_bytes:
             self._forget()
         number, known = self.numbers.__getitem__, len(self.numbers)
-        used = [np.fromiter(map(number, self._matches(t)), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        used = [np.fromiter(map(number, self._matches(t)), np.int32) if t else np.empty(0, np.int32) for t in texts]
         self._learn(known)
         for words in used:
             yield gathered(self.ids, self.starts[words], self.counts[words])
@@ -227,7 +240,7 @@ class Encoder:
         return pattern.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in pattern.finditer(text))
 
     def _learn(self, known: int) -> None:
-        fresh = [w.encode() for w in list(self.numbers)[known:]]
+        fresh = [w.encode() for w in islice(self.numbers, known, None)]
         if not fresh:
             return
         ids, counts = replay(self.vocabulary, fresh)
@@ -243,7 +256,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: st
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(load_vocabulary(name))
         for texts in batches:
-            yield pa.array([ids.astype("<u4").tobytes() for ids in encoder(texts.to_pylist())], pa.binary())
+            values = (t.as_py() for t in texts)
+            yield pa.array([ids.astype("<u4").tobytes() for ids in encoder(values)], pa.binary())
 
     return docs.select(docs[doc_id], F.arrow_udf(run, "binary")(docs[text]).alias("ids"))
 
@@ -258,6 +272,6 @@ def decode(encoded: DataFrame, ids: str = "ids", name: str = RANKS) -> DataFrame
             return None if raw is None else vocabulary.decode(np.frombuffer(raw, "<u4"))
 
         for rows in batches:
-            yield pa.array([back(raw) for raw in rows.to_pylist()], pa.binary())
+            yield pa.array([back(raw.as_py()) for raw in rows], pa.binary())
 
     return encoded.withColumn("decoded", F.arrow_udf(run, "binary")(encoded[ids]))
