@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of distinct words that a task keeps, and characters of texts whose new words are replayed together.
-KEPT_BYTES = 16 << 20
-GROUP_CHARS = 4 << 20
+KEPT_BYTES = 4 << 20
+GROUP_CHARS = 2 << 20
 LONG_TEXT = 1 << 20
 _NONE = np.int64(1) << 62
 
