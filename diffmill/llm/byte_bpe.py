@@ -250,6 +250,17 @@ class Encoder:
         self.ids = np.append(self.ids, ids)
 
 
+def packed(values: Iterable[bytes | None]) -> pa.Array:
+    """Byte strings as one array, without a list of them in between."""
+    data, ends, missing = bytearray(), [0], []
+    for value in values:
+        missing.append(value is None)
+        data += value or b""
+        ends.append(len(data))
+    valid = pa.array(np.logical_not(missing)).buffers()[1] if any(missing) else None
+    return pa.Array.from_buffers(pa.binary(), len(missing), [valid, pa.py_buffer(np.array(ends, np.int32)), pa.py_buffer(data)])
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = RANKS) -> DataFrame:
     """``doc_id`` and ``ids``, the token ids as little-endian unsigned 32-bit integers."""
 
@@ -257,7 +268,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: st
         encoder = Encoder(load_vocabulary(name))
         for texts in batches:
             values = (t.as_py() for t in texts)
-            yield pa.array([ids.astype("<u4").tobytes() for ids in encoder(values)], pa.binary())
+            yield packed(ids.astype("<u4").tobytes() for ids in encoder(values))
 
     return docs.select(docs[doc_id], F.arrow_udf(run, "binary")(docs[text]).alias("ids"))
 
@@ -268,10 +279,8 @@ def decode(encoded: DataFrame, ids: str = "ids", name: str = RANKS) -> DataFrame
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = load_vocabulary(name)
 
-        def back(raw: bytes | None) -> bytes | None:
-            return None if raw is None else vocabulary.decode(np.frombuffer(raw, "<u4"))
-
         for rows in batches:
-            yield pa.array([back(raw.as_py()) for raw in rows], pa.binary())
+            raw = (r.as_py() for r in rows)
+            yield packed(None if ids is None else vocabulary.decode(np.frombuffer(ids, "<u4")) for ids in raw)
 
     return encoded.withColumn("decoded", F.arrow_udf(run, "binary")(encoded[ids]))
