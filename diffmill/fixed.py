@@ -5,6 +5,7 @@ They are stated plainly here so that every operator reads the same ones.
 
 # Domains of the stored columns, in declaration order (severity rank = position).
 STATUSES = ("pending", "running", "done", "failed")
+FINISHED = ("done", "failed")
 FINDING_TYPES = ("code_smell", "security_issue", "suggestion", "best_practice")
 SEVERITIES = ("low", "medium", "high", "critical")
 

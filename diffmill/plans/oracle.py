@@ -588,3 +588,15 @@ _SQL["stream_static_join"] = (
 )
 _SQL["stream_review_state"] = _STATE
 _SQL["stream_quarantine"] = _SQL["quarantine"]
+_SQL["stream_counters_corrected"] = _SQL["stream_counters"]
+_SQL["stream_histogram_corrected"] = _SQL["stream_histogram"]
+_SQL["stream_jobs_corrected"] = "SELECT DISTINCT md5(CAST(CAST(floor(event_id / 3) AS bigint) AS VARCHAR(20))) AS job_id FROM events"
+_SQL["stream_state_machine"] = _STATE
+_HOUR = 3_600_000
+_SQL["stream_static_outer"] = (
+    f"WITH o AS (SELECT md5(CAST(event_id AS VARCHAR(20))) AS job_id, (epoch_ms(ts) - 12 * {_HOUR}) // {_HOUR} AS first_hour, "
+    f"(epoch_ms(ts) + 13 * {_HOUR} - 1) // {_HOUR} AS last_hour FROM events), "
+    f"r AS (SELECT {V.RESULT_JOB} AS job_id, event_id, epoch_ms(ts) // {_HOUR} AS hour FROM events) "
+    "SELECT o.job_id, CAST(max(r.event_id) AS VARCHAR) AS static_metrics FROM o LEFT JOIN r "
+    "ON o.job_id = r.job_id AND r.hour >= o.first_hour AND r.hour < o.last_hour GROUP BY o.job_id"
+)

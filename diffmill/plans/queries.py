@@ -17,7 +17,7 @@ from diffmill.plans import views as V
 from diffmill.schemas import REQUEST
 from diffmill.session import work_dir
 from diffmill.sources import topics, trees
-from diffmill.streaming import jobs
+from diffmill.streaming import jobs, late, states
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -773,3 +773,94 @@ def stream_quarantine(spark, sf_dir):
     _finish(jobs.stream_quarantine(messages, REQUEST, good, bad, f"{folder}/checkpoint"))
     fine = spark.read.parquet(good).select("event_id", F.lit("good").alias("reason"))
     return fine.unionByName(spark.read.parquet(bad).select("event_id", "reason"))
+
+
+# Late rows and states: the table arrives out of order, in several batches
+
+BATCHES = 4
+
+
+def _disordered(spark, sf_dir, folder, columns: dict[str, str]) -> tuple[str, str]:
+    """The events in files that each hold times from everywhere, and the schema of the files."""
+    rows = V.view(V.table(spark, sf_dir, "events"), columns)
+    rows.repartition(BATCHES, F.xxhash64("seq")).write.parquet(f"{folder}/in")
+    return f"{folder}/in", rows.schema
+
+
+def _arriving(spark, where):
+    path, schema = where
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_OUTCOME_COLUMNS = {
+    "seq": "event_id", "ts": "cast(ts as timestamp)", "status": "event_type", "latency_ms": V.LATENCY["latency_ms"]
+}
+
+
+def _windows(spark, sf_dir, name: str, fold) -> str:
+    folder = work_dir(spark, name)
+    arriving = _arriving(spark, _disordered(spark, sf_dir, folder, _OUTCOME_COLUMNS))
+    _finish(late.stream_windows(arriving, fold, f"{folder}/windows", f"{folder}/checkpoint", "1 day"))
+    return f"{folder}/windows"
+
+
+@query
+def stream_counters_corrected(spark, sf_dir):
+    """Most rows come late: counts in time and corrections give all rows."""
+    path = _windows(spark, sf_dir, "counters-late", late.count_outcomes("1 day"))
+    rows = late.corrected_windows(spark, path, ["window_start", "status"])
+    return rows.withColumn("window_start", _time("window_start"))
+
+
+@query
+def stream_histogram_corrected(spark, sf_dir):
+    path = _windows(spark, sf_dir, "histogram-late", late.count_latencies("1 day"))
+    return _whole_ms(late.corrected_histogram(spark, path)).withColumn("window_start", _time("window_start"))
+
+
+@query
+def stream_jobs_corrected(spark, sf_dir):
+    """Every job three times out of order, and every one of them once in the end."""
+    folder = work_dir(spark, "jobs-late")
+    columns = {"seq": "event_id", "job_id": "md5(cast(cast(floor(event_id / 3) as bigint) as varchar(20)))", "ts": "cast(ts as timestamp)"}
+    split = late.Split(f"{folder}/split")
+    arriving = _arriving(spark, _disordered(spark, sf_dir, folder, columns))
+    _finish(late.split_late(arriving, split.path, f"{folder}/checkpoint", "1 day"))
+    _finish(jobs.write_stream(jobs.dedup_jobs(split.stream(spark), "1 day"), f"{folder}/out", f"{folder}/dedup"))
+    emitted = spark.read.parquet(f"{folder}/out").select(*columns)
+    return late.corrected_jobs(emitted, split.read_late(spark), ["seq"]).select("job_id")
+
+
+@query
+def stream_state_machine(spark, sf_dir):
+    """Jobs leave the state when finished or abandoned; late events are listed and folded in."""
+    folder = work_dir(spark, "state-machine")
+    split = late.Split(f"{folder}/split")
+    columns = {
+        "job_id": "md5(cast(user_id as varchar(20)))", "seq": "event_id", "ts": "cast(ts as timestamp)",
+        "status": "case event_type when 'error' then 'failed' when 'signup' then 'pending' when 'view' then 'running' else 'done' end",
+    }
+    arriving = _arriving(spark, _disordered(spark, sf_dir, folder, columns))
+    _finish(states.split_states(arriving, split.path, f"{folder}/checkpoint", "10 days"))
+    changed = states.review_states(split.stream(spark), "10 days", "2 days", "5 days")
+    _finish(states.write_states(changed, f"{folder}/out", f"{folder}/states", "update"))
+    final = states.final_states(spark.read.parquet(f"{folder}/out"), split.read_late(spark))
+    return final.withColumns({c: _time(c) for c in ("created_at", "completed_at")})
+
+
+@query
+def stream_static_outer(spark, sf_dir):
+    """Every review once, with its last result within 12 hours or without one."""
+    folder = work_dir(spark, "static-outer")
+    events = V.table_stream(spark, sf_dir, "events")
+    opened = V.view(events, {"job_id": "md5(cast(event_id as varchar(20)))", "ts": "cast(ts as timestamp)"})
+    results = V.view(V.table_stream(spark, sf_dir, "events"), {
+        "job_id": V.RESULT_JOB,
+        "static_metrics": "cast(event_id as varchar(20))", "ts": "cast(ts as timestamp)", "offset": "event_id",
+    })
+    split, bound, grain = late.Split(f"{folder}/split"), "12 hours", "1 hour"
+    _finish(states.split_sides(opened, results, split.path, f"{folder}/checkpoint", "1 day", grain))
+    late.end_of_input(spark, split, "3 days")
+    joined = states.stream_static_outer(split.stream(spark), "1 day", bound, grain)
+    _finish(states.write_states(joined, f"{folder}/out", f"{folder}/states", "append"))
+    return spark.read.parquet(f"{folder}/out").select("job_id", "static_metrics")

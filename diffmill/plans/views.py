@@ -123,6 +123,9 @@ STATIC = {
     "'}') end",
 }
 
+# Of three jobs one has results, up to 180 events before or after its review.
+RESULT_JOB = "md5(cast(cast(floor(event_id / 3) as bigint) * 3 + (event_id % 7) * 60 - 180 as varchar(20)))"
+
 PR_FILES = {
     "repo": "concat('org/repo', cast(conv_id % 50 as varchar(20)))",
     "pr_number": "conv_id",

@@ -80,7 +80,7 @@ def stream_static_log(
     def write(batch: DataFrame, batch_id: int) -> None:
         latest_static(batch, order).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _start(results, write, checkpoint, "append", trigger)
+    return start_batches(results, write, path, checkpoint, "append", trigger)
 
 
 def stream_counters(events: DataFrame, window: str, delay: str) -> DataFrame:
@@ -113,7 +113,7 @@ def write_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _start(df, write, checkpoint, mode, trigger)
+    return start_batches(df, write, path, checkpoint, mode, trigger)
 
 
 def stream_quarantine(
@@ -134,16 +134,28 @@ def stream_quarantine(
         finally:
             batch.unpersist()
 
-    return _start(tag_messages(messages, schema), write, checkpoint, "append", trigger)
+    return start_batches(tag_messages(messages, schema), write, good, checkpoint, "append", trigger)
 
 
-def _start(
-    df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str, trigger: dict | None
+def start_batches(
+    df: DataFrame, write: Callable[[DataFrame, int], None], path: str, checkpoint: str, mode: str, trigger: dict | None
 ) -> StreamingQuery:
+    """Start a stream that writes each batch to a directory of ``path`` by its number (ST8).
+
+    A new checkpoint numbers its batches from 0 again and would overwrite those of an
+    earlier one, so it is refused where ``path`` is there already.
+    """
+    if exists(df.sparkSession, path) and not exists(df.sparkSession, f"{checkpoint}/metadata"):
+        raise ValueError(f"{path} holds batches of another checkpoint than {checkpoint}")
     writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def latest_rows(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
     """Table of an update-mode stream: the row of the last batch per key."""
     newest = F.max_by(F.struct(*values), "batch_id").alias("_v")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,8 +163,20 @@ def test_a_repeated_batch_leaves_one_copy(spark, folder):
     source, table = f"{folder}/in", f"{folder}/table"
     land(spark, source, [("a", 1, at(0))], SEEN)
     stream = spark.readStream.schema(SEEN).parquet(source)
-    for checkpoint in ("one", "two"):  # a lost commit makes the same batch run again
-        jobs.write_stream(stream, table, f"{folder}/{checkpoint}").awaitTermination()
+    jobs.write_stream(stream, table, f"{folder}/checkpoint").awaitTermination()
+    for name in ("0", ".0.crc"):  # a lost commit makes the same batch run again
+        Path(f"{folder}/checkpoint/commits/{name}").unlink()
+    jobs.write_stream(stream, table, f"{folder}/checkpoint").awaitTermination()
+    assert spark.read.parquet(table).count() == 1
+
+
+def test_a_new_checkpoint_does_not_overwrite_an_old_table(spark, folder):
+    source, table = f"{folder}/in", f"{folder}/table"
+    land(spark, source, [("a", 1, at(0))], SEEN)
+    stream = spark.readStream.schema(SEEN).parquet(source)
+    jobs.write_stream(stream, table, f"{folder}/one").awaitTermination()
+    with pytest.raises(ValueError):
+        jobs.write_stream(stream, table, f"{folder}/two")
     assert spark.read.parquet(table).count() == 1
 
 
