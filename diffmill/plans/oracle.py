@@ -600,3 +600,7 @@ _SQL["stream_static_outer"] = (
     "SELECT o.job_id, CAST(max(r.event_id) AS VARCHAR) AS static_metrics FROM o LEFT JOIN r "
     "ON o.job_id = r.job_id AND r.hour >= o.first_hour AND r.hour < o.last_hour GROUP BY o.job_id"
 )
+_SQL["surrogate_keys"] = (
+    f"SELECT {V.REVIEWS['job_id']} AS job_id, row_number() OVER (ORDER BY greatest(o_orderkey % 4, 1), "
+    f"{V.REVIEWS['job_id']}) AS id FROM orders"
+)

@@ -12,7 +12,7 @@ from diffmill.fixed import SEVERITIES
 from diffmill.functions import json as J
 from diffmill.functions import naming, normalize, signature, text
 from diffmill.operators import artifacts as A
-from diffmill.operators import comments, deliveries, diffs, metrics, responses, reviews, scoring, telemetry
+from diffmill.operators import comments, deliveries, diffs, metrics, responses, reviews, scoring, surrogates, telemetry
 from diffmill.plans import views as V
 from diffmill.schemas import REQUEST
 from diffmill.session import work_dir
@@ -864,3 +864,15 @@ def stream_static_outer(spark, sf_dir):
     joined = states.stream_static_outer(split.stream(spark), "1 day", bound, grain)
     _finish(states.write_states(joined, f"{folder}/out", f"{folder}/states", "append"))
     return spark.read.parquet(f"{folder}/out").select("job_id", "static_metrics")
+
+
+@query
+def surrogate_keys(spark, sf_dir):
+    """Three overlapping loads of job ids, the second one twice; then the numbers of all reviews."""
+    path = work_dir(spark, "surrogates")
+    for load in (0, 1, 2, 1, 2):
+        rows = V.view(V.table(spark, sf_dir, "orders"), {"job_id": V.REVIEWS["job_id"], "n": "o_orderkey"})
+        wanted = rows.where(F.col("n") % 4 <= load + 1).select("job_id")
+        surrogates.extend_dictionary(spark, path, wanted, load)
+    numbered = surrogates.with_numbers(V.reviews(spark, sf_dir), surrogates.read_dictionary(spark, path), ["job_id"])
+    return numbered.select("job_id", "id")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from diffmill.operators.deliveries import accepted_deliveries, parse_messages, resolve_diff, review_requests, tag_messages
 from diffmill.operators.reviews import latest_static
 from diffmill.operators.telemetry import bucket_aggregates, long_buckets
+from diffmill.session import exists
 from diffmill.sources.topics import to_topic
 
 
@@ -151,11 +152,6 @@ def start_batches(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def latest_rows(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
     """Table of an update-mode stream: the row of the last batch per key."""
     newest = F.max_by(F.struct(*values), "batch_id").alias("_v")

@@ -23,7 +23,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from diffmill.operators.reviews import first_per_job
 from diffmill.operators.telemetry import bucket_aggregates, long_buckets
-from diffmill.streaming.jobs import exists, start_batches
+from diffmill.session import exists
+from diffmill.streaming.jobs import start_batches
 
 Fold = Callable[[DataFrame], DataFrame]
 
