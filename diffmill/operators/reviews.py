@@ -135,18 +135,20 @@ _DETAIL = ("type", "severity", "file_path", "line_number", "message", "suggestio
 
 
 def review_detail(
-    reviews: DataFrame, findings: DataFrame, ordinal: tuple[str, ...] = ORDINAL, page_findings: int = 50_000
+    reviews: DataFrame, findings: DataFrame, ordinal: tuple[str, ...] = ORDINAL, page_findings: int = 50_000,
+    placed: bool = False,
 ) -> DataFrame:
     """Reviews with their findings nested in display order.
 
     A review without findings gets an empty array. One of more than
-    ``page_findings`` comes as several rows with ascending ``page``.
+    ``page_findings`` comes as several rows with ascending ``page``. ``placed`` says
+    that the findings are stored by review, so that they need not be dealt out.
     """
     heads = reviews.withColumn("uml_s3_url", uml_url(F.col("static_metrics"))).drop("static_metrics")
     fields = [c for c in ("id", *_DETAIL) if c in findings.columns]
     groups = split_by_size(findings, ["review_id"], page_findings)
-    first = groups.small.withColumn("page", F.lit(0).cast("bigint")).repartition("review_id")
-    whole = _nested(first, fields, ordinal)
+    first = groups.small.withColumn("page", F.lit(0).cast("bigint"))
+    whole = _nested(first if placed else first.repartition("review_id"), fields, ordinal)
     small_heads = heads
     if groups.large is not None:
         keys = groups.large_keys.withColumnRenamed("review_id", "id")

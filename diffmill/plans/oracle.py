@@ -604,3 +604,15 @@ _SQL["surrogate_keys"] = (
     f"SELECT {V.REVIEWS['job_id']} AS job_id, row_number() OVER (ORDER BY greatest(o_orderkey % 4, 1), "
     f"{V.REVIEWS['job_id']}) AS id FROM orders"
 )
+_SQL["stored_review_detail"] = _with(_view("reviews", V.REVIEW_RECORD, "orders"), FINDINGS) + f""",
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY review_id ORDER BY {RANK} DESC, created_at DESC, {ORDER}) - 1)
+    // 50000 AS page FROM findings),
+nested AS (SELECT review_id, page, count(*) AS n,
+    string_agg(concat_ws('|', CAST(review_id * 10 + l_linenumber AS VARCHAR), type, severity, message), ';'
+    ORDER BY {RANK} DESC, created_at DESC, {ORDER}) AS listed FROM numbered GROUP BY review_id, page)
+SELECT id, job_id, status, quality_score, {_uml('static_metrics')} AS uml_s3_url, strftime(created_at, {DAY}) AS created_at,
+  strftime(completed_at, {DAY}) AS completed_at, coalesce(page, 0) AS page, coalesce(n, 0) AS n_findings,
+  coalesce(listed, '') AS findings
+FROM reviews LEFT JOIN nested ON id = review_id"""
+_SQL["stored_attach"] = _SQL["attach_review_id"]
+_SQL["stored_cascade"] = _SQL["delete_cascade_findings"]

@@ -16,7 +16,7 @@ from diffmill.operators import comments, deliveries, diffs, metrics, responses,
 from diffmill.plans import views as V
 from diffmill.schemas import REQUEST
 from diffmill.session import work_dir
-from diffmill.sources import topics, trees
+from diffmill.sources import buckets, topics, trees
 from diffmill.streaming import jobs, late, states
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +38,8 @@ def _time(name: str):
     return F.date_format(name, DAY).alias(name)
 
 
-def findings(spark, sf_dir) -> DataFrame:
+def normalized(raw: DataFrame) -> DataFrame:
     """Findings as a comment shows them: normalized once, empty values to NULL."""
-    raw = V.raw_findings(spark, sf_dir)
     return raw.withColumns({
         "type": normalize.normalize_type(F.col("type")),
         "severity": normalize.normalize_severity(F.col("severity")),
@@ -50,6 +49,10 @@ def findings(spark, sf_dir) -> DataFrame:
     })
 
 
+def findings(spark, sf_dir) -> DataFrame:
+    return normalized(V.raw_findings(spark, sf_dir))
+
+
 # Findings and comments
 
 @query
@@ -876,3 +879,38 @@ def surrogate_keys(spark, sf_dir):
         surrogates.extend_dictionary(spark, path, wanted, load)
     numbered = surrogates.with_numbers(V.reviews(spark, sf_dir), surrogates.read_dictionary(spark, path), ["job_id"])
     return numbered.select("job_id", "id")
+
+
+# Reviews stored by review
+
+def _store(spark, sf_dir, page_findings: int = 50_000):
+    heads = V.view(V.table(spark, sf_dir, "orders"), V.REVIEW_RECORD)
+    rows = normalized(V.view(V.table(spark, sf_dir, "lineitem"), V.FINDING_RECORD, *V.ORDINAL))
+    return buckets.store_reviews(heads, rows, work_dir(spark, "store"), 16, page_findings)
+
+
+@query
+def stored_review_detail(spark, sf_dir):
+    """The full record of every review, with its completion and the ids of its findings, from bucketed tables."""
+    detail = buckets.stored_detail(spark, _store(spark, sf_dir), V.ORDINAL)
+    shown = F.transform(
+        "findings", lambda f: F.concat_ws("|", f["id"].cast("string"), f["type"], f["severity"], f["message"])
+    )
+    return detail.select(
+        "id", "job_id", "status", "quality_score", "uml_s3_url", _time("created_at"), _time("completed_at"), "page",
+        F.size("findings").cast("bigint").alias("n_findings"), F.array_join(shown, ";").alias("findings"),
+    )
+
+
+@query
+def stored_attach(spark, sf_dir):
+    keyed = findings(spark, sf_dir).withColumn("job_id", F.expr("md5(cast(review_id as varchar(20)))")).drop("review_id")
+    incoming = buckets.store_incoming(keyed, work_dir(spark, "incoming"), 16)
+    attached = buckets.stored_attach(spark, incoming, _store(spark, sf_dir))
+    return attached.select("review_id", "type", "severity", "message", "l_extendedprice")
+
+
+@query
+def stored_cascade(spark, sf_dir):
+    doomed = V.static_results(V.table(spark, sf_dir, "events")).select("job_id")
+    return buckets.stored_cascade(spark, _store(spark, sf_dir), doomed)[1].select("review_id", "message", "l_extendedprice")

@@ -45,6 +45,12 @@ FINDINGS = {
     "created_at": "l_shipdate",
 }
 
+# With the columns that only a full record shows.
+REVIEW_RECORD = REVIEWS | {
+    "completed_at": "case when o_orderstatus='F' and o_orderkey % 7 <> 0 then o_orderdate + interval '1' day end",
+}
+FINDING_RECORD = FINDINGS | {"id": "l_orderkey * 10 + l_linenumber"}
+
 DELIVERIES = {
     "event_id": "event_id",
     "event": "case when event_type='signup' then 'push' else 'pull_request' end",
