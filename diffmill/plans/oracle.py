@@ -616,3 +616,7 @@ SELECT id, job_id, status, quality_score, {_uml('static_metrics')} AS uml_s3_url
 FROM reviews LEFT JOIN nested ON id = review_id"""
 _SQL["stored_attach"] = _SQL["attach_review_id"]
 _SQL["stored_cascade"] = _SQL["delete_cascade_findings"]
+_SQL["changed_files_by_digest"] = (
+    _SQL["changed_files"]
+    .replace("CASE WHEN doc_id", f"CASE WHEN regexp_matches(repo, '{V.TOUCHED}') AND doc_id")
+)

@@ -12,7 +12,7 @@ from diffmill.fixed import SEVERITIES
 from diffmill.functions import json as J
 from diffmill.functions import naming, normalize, signature, text
 from diffmill.operators import artifacts as A
-from diffmill.operators import comments, deliveries, diffs, metrics, responses, reviews, scoring, surrogates, telemetry
+from diffmill.operators import comments, deliveries, diffs, digests, metrics, responses, reviews, scoring, surrogates, telemetry
 from diffmill.plans import views as V
 from diffmill.schemas import REQUEST
 from diffmill.session import work_dir
@@ -914,3 +914,17 @@ def stored_attach(spark, sf_dir):
 def stored_cascade(spark, sf_dir):
     doomed = V.static_results(V.table(spark, sf_dir, "events")).select("job_id")
     return buckets.stored_cascade(spark, _store(spark, sf_dir), doomed)[1].select("review_id", "message", "l_extendedprice")
+
+
+@query
+def changed_files_by_digest(spark, sf_dir):
+    """The snapshots of changed_files, stored as trees; every third file of one repo in four was edited."""
+    files = V.code(spark, sf_dir).select("doc_id", "repo", "file_path", "content")
+    number, path, folder = F.col("doc_id"), F.col("file_path"), work_dir(spark, "snapshots")
+    touched = F.col("repo").rlike(V.TOUCHED)
+    base = files.withColumn("file_path", F.when(touched & (number % 10 == 0), F.concat(path, F.lit(".old"))).otherwise(path))
+    head = files.withColumn("file_path", F.when(touched & (number % 11 == 0), F.concat(path, F.lit(".new"))).otherwise(path))
+    edited = F.when(touched & (number % 3 == 0), F.concat("content", F.lit("\n"))).otherwise(F.col("content"))
+    digests.write_tree(base, f"{folder}/base")
+    digests.write_tree(head.withColumn("content", edited), f"{folder}/head")
+    return digests.compare_trees(spark, f"{folder}/base", f"{folder}/head").changes

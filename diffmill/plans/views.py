@@ -106,6 +106,9 @@ CODE = {
     "content": code_content(),
 }
 
+# Repositories that one of two snapshots changes.
+TOUCHED = "[0-4]$"
+
 # Paths as a walk over a checked-out tree meets them.
 TREE_PATH = (
     "concat(case doc_id % 7 when 0 then 'node_modules/' when 1 then '.git/' when 2 then 'src/.cache/' "
