@@ -97,9 +97,10 @@ def _children(tree: DataFrame, level: int, folders: DataFrame | None) -> DataFra
     nodes = tree.where(F.col("level") == level)
     if folders is None:
         return nodes
-    keys = folders.select(_folder_key().alias("key")).limit(PUSHED_FOLDERS + 1).collect()
+    few = folders.select(_folder_key().alias("key")).limit(PUSHED_FOLDERS + 1)
+    keys = few.agg(F.collect_list("key").alias("keys")).first().keys
     if len(keys) <= PUSHED_FOLDERS:
-        nodes = nodes.where(F.col("parent_key").isin([r.key for r in keys]))
+        nodes = nodes.where(F.col("parent_key").isin(keys))
     same = [nodes[c].eqNullSafe(folders[c]) for c in ("repo", "parent")]
     return nodes.join(checked_broadcast(folders), same, "left_semi")
 

@@ -620,3 +620,13 @@ _SQL["changed_files_by_digest"] = (
     _SQL["changed_files"]
     .replace("CASE WHEN doc_id", f"CASE WHEN regexp_matches(repo, '{V.TOUCHED}') AND doc_id")
 )
+_SQL["score_diffs_stored"] = _SQL["score_diffs_custom"]
+_CHANGED = (
+    f", changes AS (SELECT {V.SCORE_CHANGES['job_id']} AS job_id, {V.SCORE_CHANGES['quality_score']} AS score, "
+    "row_number() OVER (PARTITION BY floor(event_id / 3) ORDER BY event_id DESC) AS n FROM events), "
+    "changed AS (SELECT r.* REPLACE (CASE WHEN c.job_id IS NULL THEN quality_score ELSE score END AS quality_score) "
+    "FROM reviews r LEFT JOIN changes c ON c.job_id = r.job_id AND n = 1) "
+)
+_SQL["quality_trend_updated"] = _SQL["quality_trend"].replace("FROM reviews WHERE", "FROM changed WHERE").replace(
+    "SELECT repo, strftime", _CHANGED + "SELECT repo, strftime"
+)

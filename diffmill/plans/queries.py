@@ -12,7 +12,7 @@ from diffmill.fixed import SEVERITIES
 from diffmill.functions import json as J
 from diffmill.functions import naming, normalize, signature, text
 from diffmill.operators import artifacts as A
-from diffmill.operators import comments, deliveries, diffs, digests, metrics, responses, reviews, scoring, surrogates, telemetry
+from diffmill.operators import comments, deliveries, diffs, digests, metrics, responses, reviews, scoring, surrogates, telemetry, trends
 from diffmill.plans import views as V
 from diffmill.schemas import REQUEST
 from diffmill.session import work_dir
@@ -645,15 +645,24 @@ def score_diffs(spark, sf_dir):
     )
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, rows=None, **how):
     def by_length(prompt: str) -> str:
         """A stand-in: the score follows the length of the prompt; every 13th fails."""
         if len(prompt) % 13 == 0:
             raise ValueError("no answer")
         return json.dumps({"quality_score": len(prompt) % 101, "findings": []})
 
-    documents = V.table(spark, sf_dir, "documents").withColumnRenamed("text", "diff")
-    return scoring.score_diffs(documents, ["doc_id"], by_length)
+    documents = (V.table(spark, sf_dir, "documents") if rows is None else rows).withColumnRenamed("text", "diff")
+    return scoring.score_diffs(documents, ["doc_id"], by_length, **how)
+
+
+@query
+def score_diffs_stored(spark, sf_dir):
+    """All documents, after a run over those in English: kept answers are not asked again."""
+    kept = {"answers": f"{work_dir(spark, 'answers')}/table"}
+    english = V.table(spark, sf_dir, "documents").where("lang = 'en'")
+    _scored(spark, sf_dir, english, **kept)
+    return _scored(spark, sf_dir, **kept).select("doc_id", "raw", "outcome")
 
 
 @query
@@ -928,3 +937,17 @@ def changed_files_by_digest(spark, sf_dir):
     digests.write_tree(base, f"{folder}/base")
     digests.write_tree(head.withColumn("content", edited), f"{folder}/head")
     return digests.compare_trees(spark, f"{folder}/base", f"{folder}/head").changes
+
+
+@query
+def quality_trend_updated(spark, sf_dir):
+    """Three batches of changes to the scores, each folded into the trend by its difference."""
+    path, current = f"{work_dir(spark, 'trend')}/log", V.reviews(spark, sf_dir)
+    trends.add_batch(path, 0, current)
+    for batch in (1, 2, 3):
+        changes = V.view(V.table(spark, sf_dir, "events").where(F.col("event_id") % 3 == batch - 1), V.SCORE_CHANGES)
+        old = current.join(changes.select("job_id"), "job_id", "left_semi")
+        new = reviews.upsert(old, changes, "job_id", ["quality_score"])
+        trends.add_batch(path, batch, new, old)
+        current = reviews.upsert(current, changes, "job_id", ["quality_score"])
+    return trends.read_trend(spark, path, "month").withColumn("period", _time("period"))

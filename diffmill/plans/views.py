@@ -45,6 +45,12 @@ FINDINGS = {
     "created_at": "l_shipdate",
 }
 
+# A change of score, or of none, to every other job three times.
+SCORE_CHANGES = {
+    "job_id": "md5(cast(cast(floor(event_id / 3) as bigint) * 2 as varchar(20)))",
+    "quality_score": "case when event_id % 7 <> 0 then event_id % 101 end",
+}
+
 # With the columns that only a full record shows.
 REVIEW_RECORD = REVIEWS | {
     "completed_at": "case when o_orderstatus='F' and o_orderkey % 7 <> 0 then o_orderdate + interval '1' day end",
