@@ -15,8 +15,10 @@ if what it holds is the larger part of the text.
 
 The wrapper then tells text from template. Every page's tokens are matched against its host's expression, which gives
 each text its slot. A text that stands in the same slot on ``CONSTANT`` of the host's distinct pages that have the
-slot is template and is left out, be the slot plain, optional or in a repeated group. Hosts of under ``MIN_PAGES``
-such pages show no template, and a page that would be left with nothing keeps its texts.
+slot is template, be the slot plain, optional or in a repeated group. Template is left out at the start and at the
+end of the article only: between texts of its own, as with headings that every page has, it belongs to the
+article. Hosts of under ``MIN_PAGES`` such pages show no template, and a page that would be left with nothing keeps its
+texts.
 
 Expressions are counted by host before they meet, so a host with a third of all pages brings one row per
 distinct layout and task. Layouts are aligned in salted parts of a host first, then part by part. Texts of slots are
@@ -474,7 +476,8 @@ def article_text(source: str | None, wrapper: str | None, region: str | None, te
     chosen = article_blocks(page, region)
     if template:
         own, known = slots(page, wrapper), frozenset(template)
-        chosen = [i for i in chosen if _key(own[i], page.blocks[i][2]) not in known] or chosen
+        told = [k for k, i in enumerate(chosen) if _key(own[i], page.blocks[i][2]) not in known]
+        chosen = chosen[told[0] : told[-1] + 1] if told else chosen
     return "\n".join(page.blocks[i][2] for i in chosen)
 
 

@@ -130,6 +130,17 @@ def test_texts_that_the_wrapper_shows_to_be_template_are_left_out(spark):
     assert all("All rights are ours." in found[200 + i] for i in range(5))
 
 
+@pytest.mark.parametrize("n", [5, 19, 20, 40])
+def test_headings_that_every_page_has_stay_between_its_texts(spark, n):
+    def page(i):
+        parts = [f"<h1>Dish {i}</h1>", "<h2>Ingredients</h2>", f"<p>{i} eggs</p>", "<h2>Method</h2>", f"<p>Stir {i} times</p>"]
+        return f"<body><nav>Menu</nav><article>{''.join(parts)}</article><footer>End</footer></body>"
+
+    rows = [(i, "http://h.org/x", page(i)) for i in range(n)]
+    found = {r.page_id: r.text for r in W.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Dish {i}\nIngredients\n{i} eggs\nMethod\nStir {i} times" for i in range(n)}
+
+
 def test_slots_are_places_in_the_wrapper():
     a, b = W.Page("<p>a<p>b<div>x</div><p>c"), W.Page("<p>a<div>y</div>")
     wrapper = W._packed(W.aligned(W.folded(a.layout), W.folded(b.layout)))
