@@ -65,7 +65,8 @@ def tree_nodes(files: DataFrame) -> DataFrame:
 
 def write_tree(files: DataFrame, path: str) -> None:
     """Store the nodes of a snapshot by level, sorted by the key of their parent."""
-    placed = tree_nodes(files).repartitionByRange("level", "parent_key").sortWithinPartitions("level", "parent_key")
+    order = ["level", "parent_key", "path"]  # by path too, so that a large folder is spread
+    placed = tree_nodes(files).repartitionByRange(*order).sortWithinPartitions(*order)
     placed.write.partitionBy("level").option("parquet.block.size", 16 << 20).parquet(path)
 
 
