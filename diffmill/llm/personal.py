@@ -1,10 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Four patterns with checks (email, ip, card, phone) find the base spans, which are the seeds. The two words
-before a token, or the ``key=`` it starts with, are its lexical pattern; tokens with a digit or an @ are instances.
-Patterns and instances form a graph. Each round scores a pattern by the trusted share of its distinct instances
-and an instance by the patterns that name it; patterns of high confidence and enough trusted instances then
-mark their other instances as spans of kind ``context``.
+Four patterns with checks (email, ip, card, phone) find the base spans. Instances are tokens with a digit or an @;
+digit groups set apart by single spaces are one instance. The words before an instance are its lexical patterns: the
+last two and the last one, or the ``key=`` or ``key:`` that it starts with. ``#`` stands for an earlier instance
+among those words and ``^`` for the start of the text; a pattern names at least one word.
+
+Seeds are the instances that a base span touches, and long random keys (32 letters and digits or more, of both
+kinds). Patterns and instances form a graph. Each round scores a pattern by the trusted share of its distinct
+instances and an instance by the patterns that name it; patterns of high confidence and enough trusted instances
+then mark their instances outside base spans as spans of kind ``context``. A random key is a seed, but becomes a
+span only in such a context.
 
 Matches are placed by lengths: a text split at a pattern gives the pieces between the matches, and the running
 length of pieces and matches is each match's start, in code points. Texts are read once, and what is found
@@ -14,7 +19,10 @@ The patterns are written so that Java's matcher neither recurses per character n
 they match what the contract's patterns match (see the tests).
 
 Defined results: a null or empty text has no spans; rows equal in id and text have equal spans; a null id is an
-id like others; a corpus without seeds trusts no pattern; an empty table gives an empty result.
+id like others; a corpus without seeds trusts no pattern; an empty table gives an empty result. Words, keys and
+instances of any length take part; patterns above 128 characters are named by their hash. Patterns equal in
+confidence all count. Only the id and text columns are read, so other columns may have any names. A text of megabytes
+is judged whole in one row; its time grows with its instances times its base spans.
 """
 
 from __future__ import annotations
@@ -32,8 +40,16 @@ KINDS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-_TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
-_KEYED = r"^([A-Za-z_]{1,30}[=:])(\S+)$"
+_MARKS = r"[.,;:!?)\"']*+"
+_GROUP = rf"[(+]?[0-9][0-9().-]*+(?={_MARKS}(?:\s|$))"
+_KEY = r"[\p{L}_][\p{L}_-]*+[=:]"
+#: Digit groups set apart by single spaces, else a token with a digit or an @.
+_TOKEN = rf"(?<!\S)(?:{_KEY})?+{_GROUP}(?: {_GROUP})*+{_MARKS}|(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+#: What does not belong to an instance at its edges.
+_LEFT, _RIGHT = ".,;:!?<[{\"'#$%&*|", ".,;:!?>)]}\"'#$%&*|"
+_RANDOM = r"^(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{32,}$"
+#: Names of patterns longer than this are hashed.
+_LONG = 128
 _PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 #: Rounds of scoring, least confidence of a pattern, least number of trusted instances it names.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 5
@@ -112,23 +128,52 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.transform(found, span)
 
 
+def _words(piece: Column) -> Column:
+    return F.filter(F.split(piece, r"\s+"), lambda w: w != "")
+
+
+def _patterns(parts: Column, i: Column, key: Column) -> Column:
+    """The lexical patterns of instance ``i``: its key, or the last two words before it and the last one."""
+    last = lambda words, n: F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n)
+    first = F.array(F.lit("^"))
+    earlier = F.concat(last(F.concat(first, _words(F.get(parts, i - 1)["piece"])), 1), F.array(F.lit("#")))
+    known = F.when(i > 0, earlier).otherwise(first)
+
+    def named(context: Column) -> Column:
+        one, two = F.element_at(context, -1), F.array_join(last(context, 2), " ")
+        return F.filter(F.array_distinct(F.array(one, two)), lambda p: ~p.rlike(r"^[#^](?: [#^])?$"))
+
+    spoken = _let(F.transform(F.concat(known, last(_words(parts[i]["piece"]), 2)), F.lower), named)
+    return F.transform(F.when(key != "", F.array(F.lower(key))).otherwise(spoken), lambda p: F.when(F.length(p) > _LONG, F.sha2(p, 256)).otherwise(p))
+
+
 def _instances(text: Column, base: Column) -> Column:
-    """Tokens with a digit or an @: pattern, instance (a hash), start, end, and whether a base span holds it."""
-
-    def one(f: Column) -> Column:
-        token, keyed = f["match"], f["match"].rlike(_KEYED)
-        before = F.lower(F.regexp_extract(F.right(f["piece"], F.lit(82)), r"(\S{1,40}\s+\S{1,40})\s+$", 1))
-        pattern = F.when(keyed, F.lower(F.regexp_extract(token, _KEYED, 1))).otherwise(F.regexp_replace(before, "[0-9]", "9"))
-        value = F.rtrim(F.when(keyed, F.regexp_extract(token, _KEYED, 2)).otherwise(token), F.lit(".,;:!?)\"'"))
-        start = f["start"] + F.when(keyed, F.length(F.regexp_extract(token, _KEYED, 1))).otherwise(0)
-        seed = F.exists(base, lambda s: (s["start"] <= start) & (start < s["end"]))
-        return F.struct(
-            pattern.alias("pattern"), F.xxhash64(F.lower(value)).alias("instance"), start.alias("start"),
-            (start + F.length(value)).alias("end"), seed.alias("seed"),
-        )
+    """Tokens with a digit or an @: patterns, instance (a hash), start, end, whether a base span touches it, and
+    whether it is a seed."""
+
+    def one(parts: Column):
+        def at(f: Column, i: Column) -> Column:
+            key = F.when(f["match"].rlike(f"^{_KEY}[^/]"), F.regexp_extract(f["match"], f"^{_KEY}", 0)).otherwise("")
+
+            def placed(k: Column) -> Column:
+                token = F.substr(f["match"], F.length(k) + 1)
+                right = F.ltrim(token, F.lit(_LEFT))
+                start = f["start"] + F.length(k) + F.length(token) - F.length(right)
+                return F.struct(k.alias("key"), F.rtrim(right, F.lit(_RIGHT)).alias("value"), start.alias("start"))
+
+            def judged(x: Column) -> Column:
+                end = x["start"] + F.length(x["value"])
+                held = F.exists(base, lambda s: (s["start"] < end) & (x["start"] < s["end"]))
+                return F.struct(
+                    _patterns(parts, i, x["key"]).alias("patterns"), F.xxhash64(F.lower(x["value"])).alias("instance"),
+                    x["start"].alias("start"), end.alias("end"), held.alias("held"), (held | x["value"].rlike(_RANDOM)).alias("seed"),
+                )
+
+            return _let(_let(key, placed), judged)
+
+        return F.transform(parts, at)
 
-    tokens = F.transform(located(text, _TOKEN), one)
-    return F.filter(tokens, lambda t: (t["pattern"] != "") & (t["end"] - t["start"] >= 5))
+    return F.filter(_let(located(text, _TOKEN), one), lambda t: t["end"] > t["start"])
 
 
 def trusted_patterns(edges: DataFrame) -> DataFrame:
@@ -156,10 +201,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = text.select("id", "text_key", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     found = found.withColumn("base", F.concat(*KINDS)).select("id", "text_key", "base", _instances(F.col("text"), F.col("base")).alias("tokens"))
     found = stored(found, "pii-found")
-    tokens = found.select("id", "text_key", F.inline("tokens"))
+    tokens = found.select("id", "text_key", F.inline("tokens")).withColumn("pattern", F.explode("patterns")).drop("patterns")
     passed = trusted_patterns(tokens.groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed")))
     span = F.struct(F.lit("context").alias("kind"), "start", "end")
-    new = tokens.where("not seed").join(passed.select("pattern"), "pattern").groupBy("id", "text_key").agg(
+    new = tokens.where("not held").join(passed.select("pattern"), "pattern").groupBy("id", "text_key").agg(
         F.array_sort(F.collect_set(span)).cast(SPAN).alias("discovered")
     ).withColumnsRenamed({"id": "_id", "text_key": "_text_key"})
     same = found["id"].eqNullSafe(new["_id"]) & (found["text_key"] == new["_text_key"])

@@ -1,5 +1,8 @@
 import random
+import re
+from collections import defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from diffmill.llm import personal as P
@@ -39,6 +42,110 @@ def test_very_long_runs(spark):
     assert (got[2][0].start, got[2][0].end) == (0, 2 * n + 3)
 
 
+def plain_instances(text):
+    """patterns, value, start, end of each instance, token by token."""
+    tokens = [(m.start(), m.group()) for m in re.finditer(r"[^ \t\n\v\f\r]+", text)]
+    whole = lambda w: re.fullmatch(r"[(+]?[0-9][0-9().-]*[.,;:!?)\"']*", w)
+    open_ended = lambda w: re.fullmatch(r"[(+]?[0-9][0-9().-]*", w)
+    words, out, i = ["^"], [], 0
+    while i < len(tokens):
+        start, token = tokens[i]
+        i += 1
+        if not re.search("[0-9@]", token):
+            words.append(token)
+            continue
+        key = regex.match(r"[\p{L}_][\p{L}_-]*[=:]", token)
+        last = token[key.end() :] if key else token
+        if whole(last):
+            while i < len(tokens) and open_ended(last) and text[start + len(token)] == " " and tokens[i][0] == start + len(token) + 1 and whole(tokens[i][1]):
+                last = tokens[i][1]
+                token += " " + last
+                i += 1
+        key = key.group() if key and not token[key.end() :].startswith("/") and len(token) > key.end() else ""
+        body = token[len(key) :].lstrip(".,;:!?<[{\"'#$%&*|")
+        value = body.rstrip(".,;:!?>)]}\"'#$%&*|")
+        at = start + len(token) - len(body)
+        lower = [w.lower() for w in words[-2:]]
+        named = [key.lower()] if key else {lower[-1], " ".join(lower)} - {"#", "^", "# #", "^ #"}
+        if value:
+            out.append((named, value.lower(), value, at, at + len(value)))
+        words.append("#")
+    return out
+
+
+def plain_contexts(rows):
+    """The spans of kind context of each text, from every pattern scored against every instance it names."""
+    seen, edges = [], defaultdict(set)
+    seeds = defaultdict(bool)
+    for i, text in rows:
+        base = [tuple(map(int, s.split(":")[1:])) for s in personal(text)]
+        for named, name, value, start, end in plain_instances(text):
+            held = any(a < end and start < b for a, b in base)
+            random_key = re.fullmatch("[A-Za-z0-9_-]{32,}", value) and re.search("[0-9]", value) and re.search("[A-Za-z]", value)
+            for p in named:
+                edges[p].add(name)
+                seeds[p, name] |= held or bool(random_key)
+                if not held:
+                    seen.append((i, p, start, end))
+    trust = {e: float(s) for e, s in seeds.items()}
+    for _ in range(3):
+        passed = {}
+        for p, names in edges.items():
+            confidence = sum(trust[p, n] for n in names) / (len(names) + 2)
+            if confidence >= 0.6 and sum(trust[p, n] >= 0.5 for n in names) >= 5:
+                passed[p] = confidence
+        best = defaultdict(float)
+        for p, c in passed.items():
+            for n in edges[p]:
+                best[n] = max(best[n], c)
+        trust = {(p, n): 1.0 if s else best[n] for (p, n), s in seeds.items()}
+    found = defaultdict(set)
+    for i, p, start, end in seen:
+        if p in passed:
+            found[i].add((start, end))
+    return found
+
+
+def test_discovered_spans_agree_with_a_plain_graph(spark):
+    rng = random.Random(11)
+    words = ["call", "Phone:", "phone", "at", "write", "to", "token", "=", "#", "item", "über", "no.", "or", "x" * 200]
+    things = [
+        lambda: f"+1 (456) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}", lambda: f"u{rng.randrange(60)}@m.example",
+        lambda: f'"{rng.randrange(16**40):040x}"', lambda: f"{rng.randrange(90)}", lambda: f"id={rng.randrange(50)}a", lambda: f"1{rng.randrange(9)}.0.0.{rng.randrange(99)}",
+        lambda: f"mail:v{rng.randrange(30)}@m.example,", lambda: f"0151 23{rng.randrange(9)} 567", lambda: "http://h/7", lambda: f"({rng.randrange(9)}) 2x",
+    ]
+    likely = {"call": 0, "Phone:": 0, "write": 1, "token": 2, "=": 2, "item": 3, "at": 5}
+    rows = []
+    for i in range(400):
+        out = []
+        for _ in range(rng.randrange(1, 9)):
+            w = rng.choice(words)
+            out.append(w)
+            if rng.random() < 0.7:
+                out.append(things[likely[w]]() if w in likely and rng.random() < 0.85 else rng.choice(things)())
+        rows.append((i, rng.choice([" ", " ", "\n"]).join(out)))
+    got = {r.id: {(s.start, s.end) for s in r.discovered} for r in P.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_contexts(rows)
+    assert sum(map(len, want.values())) > 50
+    for i, text in rows:
+        assert got[i] == want[i], text
+
+
+def test_phones_of_several_tokens_teach_their_context(spark):
+    rows = [(i, f"{a} please call +1 (456) {i + 100}-2186, thanks") for i, a in enumerate("abcdefghijkl")]
+    rows += [(40 + i, f"Phone: +44 20 7946 {1000 + i}.") for i in range(8)]
+    rows += [(20 + i, f'the token = "{i:x}{"a1b2c3d4" * 5}"') for i in range(6)] + [(29, "commit " + "a1b2c3d4" * 5)]
+    probes = {
+        30: ("Phone: 5551234567", ["5551234567"]), 31: ("please call 555-123-4567, or 12", ["555-123-4567"]), 32: ("so please call 0151 234 567 now", ["0151 234 567"]),
+        33: ("please call (555) 123-4567", ["(555) 123-4567"]), 34: ("token = hunter2", ["hunter2"]), 35: ("1 of 2 please call 77 88x", ["77"]),
+    }
+    rows += [(i, text) for i, (text, _) in probes.items()]
+    got = {r.id: r.discovered for r in P.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        found = [text[s.start : s.end] for s in got[i]]
+        assert found == (probes[i][1] if i in probes else [text[13:-1]] if 20 <= i < 26 else []), text
+
+
 def test_contexts_are_learned_and_carried_on(spark):
     rng = random.Random(3)
     rows = [(i, f"word {i} please write to user{i}@mail.example, thanks for nothing number {rng.randrange(10**6)}") for i in range(30)]
