@@ -9,11 +9,15 @@ Short phrases ride in the same automaton: the states whose strings end in a phra
 so that every place of a phrase is seen while streaming, whatever longer match it is part of.
 
 Defined results: a null or empty text has no words, spans or phrases and score 0. Rows are
-judged one by one, so repeated rows repeat their result. Only the id and text columns are read.
+judged one by one, so repeated rows repeat their result; an empty table gives an empty result. Only the id and text
+columns are read, so other columns may have any names. Of chains that overlap, the one of more words is kept, then the
+one of higher cover, the earlier one, the shorter one and the label first by name. A text of any length is judged whole
+in one task, in time that grows with its words and, for its spans, with the notices and matches near each of them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -255,12 +259,15 @@ class Scanner:
                 if cover >= self.min_cover:
                     chains.append((-here[0], -cover, here[1], start + n, self.labels[s]))
         kept: list[tuple[str, int, int, float]] = []
-        last: dict[str, list[tuple[int, int]]] = {}
+        # of each label, the kept spans in order of place; they do not overlap
+        places: dict[str, tuple[list[int], list[int]]] = {}
         for _, cover, start, end, label in sorted(chains):
-            taken = last.setdefault(label, [])
-            inside = any(a <= start and end <= b for _, a, b, _ in kept)
-            if not inside and all(end <= a or start >= b for a, b in taken):
-                taken.append((start, end))
+            starts, ends = places.setdefault(label, ([], []))
+            inside = any((i := bisect_right(a, start)) and end <= b[i - 1] for a, b in places.values())
+            i = bisect_left(starts, end)
+            if not inside and (i == 0 or ends[i - 1] <= start):
+                starts.insert(i, start)
+                ends.insert(i, end)
                 kept.append((label, start, end, -cover))
         return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
 
