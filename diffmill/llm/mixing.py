@@ -9,14 +9,18 @@ documents by ascending key draws without replacement in proportion to the weight
 take every document; what is left of a target is filled by the documents of the smallest keys, the
 last one included if that comes nearer to the target.
 
-No source is ever sorted whole. Keys fall into about sqrt(rows) buckets in key order; bucket sums are
-combined in each task, their running sum finds the one bucket in which a source's budget ends, and only
-that bucket is sorted. The result is one threshold per source, so every document is decided by a
-comparison, without moving its row.
+No source is ever sorted whole. Keys fall into buckets of equal width on a logarithmic scale, sqrt(rows) for each
+factor of e; bucket sums are combined in each task, their running sum finds the one bucket in which a source's
+budget ends, and only that bucket is sorted. The logarithm of an exponential variate has no density above 1 / e, and
+dividing by weights, of whatever distribution, only averages shifted copies of it: a bucket is expected to hold no
+more than a source's rows / (e sqrt(rows)). The result is one threshold per source, so every document is decided
+by a comparison, without moving its row.
 
 Defined results: a null or empty text has size 0 and is taken 0; a null source is a source of its
 own; a source without words has target 0; rows equal in id and text are decided alike; an empty table
-gives an empty result. The variate comes from a hash of the id, so reruns agree.
+gives an empty result. The variate comes from a hash of the id, so reruns agree; equal keys are taken by the hash of the
+text, then by size. Rows that share one id share a variate, so they meet in a bucket. A text of any length is
+counted whole. Columns of the input may have any names; they travel inside ``row``.
 """
 
 from __future__ import annotations
@@ -76,7 +80,7 @@ def _order() -> Column:
 
 
 def _bucket(buckets: int) -> Column:
-    return F.floor(buckets * (1 - F.exp(-F.col("key"))))
+    return F.floor(buckets * F.log("key"))
 
 
 def thresholds(rows: DataFrame, buckets: int) -> DataFrame:
@@ -118,7 +122,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(docs[text_col]).alias("tie"), docs[text_col].alias("_text"),
     ).select("source", "size", "tie", sampling_key(F.col("_id"), F.col("_text"), F.col("size")).alias("key"))
     rows = stored(thin, "mix-keys")
-    buckets = max(1, math.isqrt(rows.count()))
+    buckets = max(1, math.isqrt(rows.count()))  # for each factor of e
     goals = thresholds(rows, buckets).withColumnRenamed("source", "_goal_source")
     whole = docs.select(F.struct("*").alias("row"), docs[source_col].alias("source"), docs[text_col].alias("_text"), docs[id_col].alias("_id"))
     whole = whole.withColumn("size", size_of(F.col("_text"))).withColumn("tie", F.xxhash64("_text"))

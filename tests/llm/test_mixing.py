@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from diffmill.llm import mixing as M
 from tests.llm.plain import SCHEMA, empty, messy, messy_rows, mix_targets, prose, white_words
@@ -64,6 +65,15 @@ def test_quality_weight_and_reruns(spark):
         assert sum(r.doc_id % 2 for r in once) < 0.45 * len(once)
 
 
+@pytest.mark.parametrize("symbols", [0, 0.5, 1, 5])
+def test_no_bucket_holds_much_of_a_source(spark, symbols):
+    n, buckets = 40_000, 200
+    text = " ".join(["word"] * 6) + "#" * int(6 * symbols)
+    df = spark.range(n).select(M.sampling_key(F.col("id"), F.lit(text), F.lit(6)).alias("key"))
+    largest = df.groupBy(M._bucket(buckets)).count().agg(F.max("count")).first()[0]
+    assert largest < 2 * n / (2.718 * buckets)
+
+
 def test_awkward_rows(spark):
     df = messy(spark)
     mixed = M.mixed_rows(df)
