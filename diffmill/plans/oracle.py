@@ -481,6 +481,9 @@ _SQL["split_diff"] = _with(_FILES) + (
     "SELECT repo, pr_number, CAST(row_number() OVER (PARTITION BY repo, pr_number ORDER BY seq) AS INTEGER) AS segment, "
     f"filename AS path, {_OPEN} || chr(10) || content AS text FROM files"
 )
+_SQL["diff_sections_by_splits"] = _with(_FILES) + (
+    f"SELECT repo, filename AS path, rtrim({_OPEN} || chr(10) || content, chr(10)) AS text FROM files"
+)
 _SQL["diff_stats"] = _with(_PRS) + (
     "SELECT repo, pr_number, "
     "length(diff) + length(regexp_replace(diff, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS diff_length, "

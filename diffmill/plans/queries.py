@@ -16,7 +16,7 @@ from diffmill.operators import comments, deliveries, diffs, digests, metrics, re
 from diffmill.plans import views as V
 from diffmill.schemas import REQUEST
 from diffmill.session import work_dir
-from diffmill.sources import buckets, topics, trees
+from diffmill.sources import buckets, sections, topics, trees
 from diffmill.streaming import jobs, late, states
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -548,6 +548,16 @@ def split_diff(spark, sf_dir):
     return diffs.split_diff(V.prs(spark, sf_dir), ["repo", "pr_number"])
 
 
+@query
+def diff_sections_by_splits(spark, sf_dir):
+    """The diffs of a repository, one after another in files, read back by sections."""
+    folder = work_dir(spark, "diffs")
+    landed = V.prs(spark, sf_dir).repartitionByRange("repo", "pr_number").select("repo", F.col("diff").alias("value"))
+    landed.write.partitionBy("repo").text(folder)
+    read = sections.read_sections(spark, folder)
+    return read.select(F.col("repo").cast("string").alias("repo"), "path", F.rtrim("text", F.lit("\n")).alias("text"))
+
+
 @query
 def diff_stats(spark, sf_dir):
     return diffs.diff_stats(V.prs(spark, sf_dir), ["repo", "pr_number"])
