@@ -232,17 +232,22 @@ class Run:
     events: DataFrame
 
 
-def join_responses(requests: DataFrame, responses: DataFrame, order: list[str] | None = None) -> DataFrame:
+def join_responses(
+    requests: DataFrame, responses: DataFrame, order: list[str] | None = None, bulk: tuple[str, ...] = ("diff",)
+) -> DataFrame:
     """Requests with their response; without one, the fallback of an unreachable service.
 
-    Both may arrive again and again. Equal requests count once; of several responses to
+    Both may arrive again and again. Equal requests count once, where the ``bulk`` columns
+    go with the others and are not compared: what does not read them later does not move
+    them either. Of several responses to
     a job the last by ``order`` holds (without one: the best scored), and one that came
     to nothing (NULL ``source``) only if there is no other.
     """
     names = ("quality_score", "findings", "plantuml", "source")
     last = F.max_by(F.struct(*names), F.struct(F.col("source").isNotNull(), *(order or ["quality_score"])))
     answered = responses.groupBy("job_id").agg(last.alias("_last")).select("job_id", "_last.*")
-    return with_fallback(requests.distinct().join(answered, "job_id", "left"))
+    asked = requests.dropDuplicates([c for c in requests.columns if c not in bulk])
+    return with_fallback(asked.join(answered, "job_id", "left"))
 
 
 def run_reviews(joined: DataFrame, at: Column) -> Run:

@@ -6,6 +6,9 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
+
+from diffmill.operators import responses
 from diffmill.operators.deliveries import accepted_deliveries
 from diffmill.plans import views as V
 from diffmill.plans.queries import all_queries as queries
@@ -82,6 +85,20 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[.*EqualTo\(event,pull_request\).*StringStartsWith\(signature,sha256=\)", plan)
 
 
+def test_repeated_requests_are_folded_without_their_diffs(spark):
+    rows = [(f"j{i % 5}", "o/r", i % 5, "sha", f"diff {i % 5}") for i in range(20)]
+    path = work_dir(spark, "test")
+    spark.createDataFrame(rows, "job_id string, repo string, pr_number int, commit_sha string, diff string").write.parquet(path)
+    requests = spark.read.parquet(path)
+    raw = spark.createDataFrame([("j1", '{"quality_score": 55, "findings": []}')], "job_id string, raw string")
+    joined = responses.join_responses(requests, responses.review_responses(raw))
+    assert sorted((r.job_id, r.diff) for r in joined.collect()) == [(f"j{i}", f"diff {i}") for i in range(5)]
+    run = responses.run_reviews(joined, F.lit("2024-01-01").cast("timestamp"))
+    for part in (run.reviews, run.findings, run.events):
+        assert not re.search(r"\bdiff[#:]", text_of(part))
+    assert {r.job_id for r in run.reviews.collect()} == {f"j{i}" for i in range(5)}
+
+
 def test_nothing_is_collected_in_the_library():
     package = Path(__file__).resolve().parents[1] / "diffmill"
     for path in (p for p in package.rglob("*.py") if "llm" not in p.relative_to(package).parts):
