@@ -18,8 +18,12 @@ one eighth of the positions of each of its documents (another eighth each round,
 its parameters; they are averaged by weight in groups of 32 parts, level by level, so no task sees more than 32 of them however many tasks there
 are. What goes through the driver is one set of parameters, whose size is fixed.
 
+Every task trains on its own part of the corpus, so another division into tasks gives another, equally trained model.
+
 Defined results: a null or empty text, or one without words, has 0 tokens, log-likelihood 0 and no mean; equal texts
-get equal scores; an empty corpus gives an empty result.
+get equal scores; words of equal counts are taken in their byte order (by hash where the cut of the most frequent falls among
+them); a text of any length is scored whole, in blocks of a million tokens; only the columns to keep and the text are read, so
+others may have any name; an empty corpus gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData, Row
 from pyspark.sql import functions as F
 
 from diffmill.llm.common import as_bytes, plain_words
@@ -45,17 +49,23 @@ HIDDEN, SIDES = 32, (-2, -1, 1, 2)
 MASK, RATE = 8, 0.1
 ROUNDS = MASK
 _PAD = VOCABULARY
-_BATCH, _CHUNK = 4096, 16384
+#: Positions of one training step, and scored at once; positions put in the order of their classes at once.
+_BATCH, _CHUNK, _BLOCK = 8192, 4096, 1 << 20
 #: Parts averaged at once, parameters in one row, words a task counts before it sends them on.
 FAN_IN, ROW, COUNTED = 32, 8192, 500_000
 #: Rare words whose shares every task gets, and the count of an unseen word in every shared number.
 NEAR, UNSEEN = 100_000, 0.5
+#: Steps in which counts double, and parts of the words by hash, where the most frequent ones are cut off.
+LEVELS, PARTS = 32, 1024
 _UNIT = 1 << 20
 
 
 class Numbers(dict):
     """Numbers of words; rare words share the last ones."""
 
+    def __or__(self, more: dict[bytes, int]) -> Numbers:
+        return Numbers({**self, **more})
+
     def __missing__(self, word: bytes) -> int:
         return shared_number(word)
 
@@ -91,62 +101,78 @@ class Network:
         return net
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.sides[0][context[0]]
+        total = self.sides[0].take(context[0], axis=0)
         for k in range(1, len(SIDES)):
-            total = total + self.sides[k][context[k]]
-        return np.tanh(total + self.bias)
+            total += self.sides[k].take(context[k], axis=0)
+        total += self.bias
+        return np.tanh(total, out=total)
+
+    def class_scores(self, h: np.ndarray) -> np.ndarray:
+        """One row per class, as are the scores in a class: sums over rows are quicker than over short lines."""
+        return self.classes.T @ h.T + self.class_bias[:, None]
+
+    def word_scores(self, h: np.ndarray, c: int) -> np.ndarray:
+        return self.words[c].T @ h.T + self.word_bias[c][:, None]
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target, given the tokens around it."""
-        h = self.hidden(context)
-        of, place = np.divmod(target, PER_CLASS)
-        out = _log_softmax(h @ self.classes + self.class_bias)[np.arange(len(target)), of]
-        for c, rows in _by_value(of):
-            scores = _log_softmax(h[rows] @ self.words[c] + self.word_bias[c])
-            out[rows] += scores[np.arange(len(rows)), place[rows]]
+        out = np.empty(len(target), self.vector.dtype)
+        order, cuts = _by_class(target)
+        for c in range(CLASSES):
+            for i in range(cuts[c], cuts[c + 1], _CHUNK):
+                rows = order[i : min(i + _CHUNK, cuts[c + 1])]
+                h = self.hidden(context[:, rows])
+                logs = _softmax(self.class_scores(h), np.full(len(rows), c))[1]
+                out[rows] = logs + _softmax(self.word_scores(h, c), target[rows] % PER_CLASS)[1]
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[float, list]:
         """Mean log-loss, and (part, rows or None, its gradient)."""
         n = len(target)
-        h = self.hidden(context)
+        order, cuts = _by_class(target)
+        context, target = context[:, order], target[order]
         of, place = np.divmod(target, PER_CLASS)
-        log_p = _log_softmax(h @ self.classes + self.class_bias)
-        loss = -log_p[np.arange(n), of].sum()
-        d = np.exp(log_p)
-        d[np.arange(n), of] -= 1
+        h = self.hidden(context)
+        d, log_p = _softmax(self.class_scores(h), of)
+        loss = -log_p.sum()
+        d[of, np.arange(n)] -= 1
         d /= n
-        grads = [("classes", None, h.T @ d), ("class_bias", None, d.sum(0))]
-        dh = d @ self.classes.T
-        for c, rows in _by_value(of):
-            log_p = _log_softmax(h[rows] @ self.words[c] + self.word_bias[c])
-            loss -= log_p[np.arange(len(rows)), place[rows]].sum()
-            d = np.exp(log_p)
-            d[np.arange(len(rows)), place[rows]] -= 1
-            d /= n
-            grads += [("words", c, h[rows].T @ d), ("word_bias", c, d.sum(0))]
-            dh[rows] += d @ self.words[c].T
+        grads = [("classes", None, (d @ h).T), ("class_bias", None, d.sum(1))]
+        dh = d.T @ self.classes.T
+        for c in range(CLASSES):
+            here = slice(cuts[c], cuts[c + 1])
+            near, at = h[here], place[here]
+            if len(at):
+                d, log_p = _softmax(self.word_scores(near, c), at)
+                loss -= log_p.sum()
+                d[at, np.arange(len(at))] -= 1
+                d /= n
+                grads += [("words", c, (d @ near).T), ("word_bias", c, d.sum(1))]
+                dh[here] += d.T @ self.words[c].T
         dh *= 1 - h * h
         grads.append(("bias", None, dh.sum(0)))
         for k in range(len(SIDES)):
             order = np.argsort(context[k], kind="stable")
             ids = context[k][order]
             starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            grads.append(("sides", (k, ids[starts]), np.add.reduceat(dh[order], starts, axis=0)))
+            grads.append(("sides", (k, ids[starts]), np.add.reduceat(dh.take(order, axis=0), starts, axis=0)))
         return loss / n, grads
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probabilities of each column, in the place of ``x``, and the log-probability of its target."""
+    x -= x.max(0)
+    log_p = x[target, np.arange(len(target))]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    x /= total
+    return x, log_p - np.log(total)
 
 
-def _by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(values, kind="stable")
-    cuts = np.flatnonzero(np.diff(values[order])) + 1
-    for rows in np.split(order, cuts):
-        if len(rows):
-            yield int(values[rows[0]]), rows
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the targets, and where in it each class begins."""
+    order = np.argsort(target, kind="stable")
+    return order, np.searchsorted(target[order], np.arange(CLASSES + 1) * PER_CLASS)
 
 
 def train(net: Network, context: np.ndarray, target: np.ndarray, squares: Network) -> float:
@@ -160,14 +186,19 @@ def train(net: Network, context: np.ndarray, target: np.ndarray, squares: Networ
     return loss
 
 
-def laid_out(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts (as 16-bit numbers) in one array with gaps between, where each begins, and their lengths."""
-    lengths = np.array([len(t) // 2 if t else 0 for t in texts], np.int64)
-    starts = np.cumsum(np.concatenate(([2], lengths[:-1] + 2))) if len(lengths) else np.empty(0, np.int64)
-    tokens = np.full(int(lengths.sum()) + 2 * len(lengths) + 2, _PAD, np.int64)
-    for text, start, n in zip(texts, starts, lengths):
-        if n:
-            tokens[start : start + n] = np.frombuffer(text, np.uint16)
+    kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+    _, offsets, values = texts.buffers()
+    empty = np.zeros(len(texts) + 1, kind)
+    bounds = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else empty
+    bounds = bounds.astype(np.int64) // 2
+    lengths = np.diff(bounds)
+    flat = np.frombuffer(values or b"", np.uint16)[bounds[0] : bounds[-1]]
+    gaps = 2 * np.arange(1, len(texts) + 1)
+    starts = bounds[:-1] - bounds[0] + gaps
+    tokens = np.full(len(flat) + 2 * len(texts) + 2, _PAD, np.uint16)
+    tokens[np.arange(len(flat)) + np.repeat(gaps, lengths)] = flat
     return tokens, starts, lengths
 
 
@@ -193,6 +224,28 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counted: DataFrame, most: int) -> list[Row]:
+    """word and n of the most frequent words, falling, at most ``most``. A histogram of the counts finds where to cut, and of the
+    counts in which the cut falls another one, of hashes of the words; so only the words themselves reach the driver."""
+    level, part = F.floor(F.log2("n") * LEVELS), F.pmod(F.xxhash64("word"), F.lit(PARTS))
+    above, cut = _fitting(counted.groupBy(level.alias("at")), most, True)
+    kept = counted.select("word", "n", level.alias("level"), part.alias("part"))
+    if cut is not None:
+        cut_part = _fitting(kept.where(F.col("level") == cut).groupBy(F.col("part").alias("at")), most - above, False)[1]
+        kept = kept.where((F.col("level") > cut) | ((F.col("level") == cut) & (F.col("part") < (PARTS if cut_part is None else cut_part))))
+    return sorted(kept.select("word", "n").collect(), key=lambda r: (-r.n, bytes(r.word)))
+
+
+def _fitting(groups: GroupedData, most: int, falling: bool) -> tuple[int, int | None]:
+    """How many rows the groups hold before their sum exceeds ``most``, and the group by which it does, if any."""
+    total = 0
+    for r in sorted(groups.agg(F.count("*").alias("n")).collect(), key=lambda r: r.at, reverse=falling):
+        if total + r.n > most:
+            return total, r.at
+        total += r.n
+    return total, None
+
+
 def shares(counted: DataFrame, numbers: dict[bytes, int]) -> tuple[DataFrame, np.ndarray]:
     """word and share (a logarithm, in units) of the words without a number of their own, and the counts of the shared
     numbers, each with ``UNSEEN`` for words that are not there."""
@@ -216,7 +269,8 @@ def numbered(docs: DataFrame, keep: list[str], text_col: str, numbers: dict[byte
     near = docs.sparkSession.sparkContext.broadcast(near)
 
     def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, shares = Numbers(numbers), near.value
+        shares = near.value
+        known = Numbers(numbers) | {w: shared_number(w) for w in shares}
         for texts in batches:
             tokens, sums, far, times = [], [], [], []
             for text in as_bytes(texts):
@@ -252,9 +306,9 @@ def _trained(tokens: DataFrame, net: Network, turn: int) -> DataFrame:
         own, squares = Network(vector.value.copy()), Network(np.zeros(Network.size, np.float32))
         weight = 0
         for batch in batches:
-            ids, starts, lengths = laid_out(batch.column(0).to_pylist())
-            masked = [np.arange(s + (s + turn) % MASK, s + n, MASK) for s, n in zip(starts, lengths) if n]
-            at = np.concatenate(masked) if masked else np.empty(0, np.int64)
+            ids = laid_out(batch.column(0))[0]
+            at = np.arange(turn % MASK, len(ids), MASK)
+            at = at[ids[at] != _PAD]
             for i in range(0, len(at), _BATCH):
                 here = at[i : i + _BATCH]
                 train(own, around(ids, here), ids[here], squares)
@@ -314,7 +368,7 @@ def score_documents(docs: DataFrame, keep: list[str] | None = None, text_col: st
     keep = ["doc_id"] if keep is None else keep
     own = VOCABULARY - SHARED
     counted = stored(word_counts(docs, text_col), "lm-words")
-    frequent = counted.orderBy(F.col("n").desc(), "word").limit(own + NEAR).collect()
+    frequent = most_frequent(counted, own + NEAR)
     frequent, next_ones = frequent[:own], frequent[own:]
     numbers = {bytes(r.word): i for i, r in enumerate(frequent)}
     rare, totals = shares(counted, numbers)
@@ -328,7 +382,7 @@ def score_documents(docs: DataFrame, keep: list[str] | None = None, text_col: st
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own_net = Network(net.value)
         for batch in batches:
-            yield pa.array(score_texts(own_net, batch.to_pylist()), pa.float64())
+            yield pa.array(score_texts(own_net, batch), pa.float64())
 
     n_tokens = (F.octet_length("tokens") / 2).cast("bigint").alias("n_tokens")
     scored = tokens.select("row", "at", n_tokens, "near", F.arrow_udf(score, "double")("tokens").alias("net"))
@@ -339,13 +393,13 @@ def score_documents(docs: DataFrame, keep: list[str] | None = None, text_col: st
     return whole.select("row.*", "n_tokens", "log_prob", F.try_divide("log_prob", "n_tokens").alias("mean_log_prob"))
 
 
-def score_texts(net: Network, texts: list[bytes | None]) -> np.ndarray:
+def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     """Sum of the log-probabilities of all tokens of each text."""
     ids, starts, lengths = laid_out(texts)
     at = np.flatnonzero(ids != _PAD)
     logs = np.zeros(len(ids))
-    for i in range(0, len(at), _CHUNK):
-        here = at[i : i + _CHUNK]
+    for i in range(0, len(at), _BLOCK):
+        here = at[i : i + _BLOCK]
         logs[here] = net.log_probs(around(ids, here), ids[here])
     total = np.concatenate(([0.0], np.cumsum(logs)))
     return total[starts + lengths] - total[starts]

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from diffmill.llm import lm_score as L
@@ -27,11 +28,13 @@ def test_gradient_and_probabilities():
     assert abs(p.sum() - 1) < 1e-9
 
 
-def test_scores_are_sums_over_both_sides():
+def test_scores_are_sums_over_both_sides(monkeypatch):
     rng = np.random.default_rng(1)
     net = L.Network((rng.standard_normal(L.Network.size) * 0.1).astype(np.float32))
     texts = [rng.integers(0, L.VOCABULARY, n).astype(np.uint16) for n in (3, 0, 1, 700)]
-    got = L.score_texts(net, [None if not len(t) else t.tobytes() for t in texts])
+    column = pa.array([b"left out", *(None if not len(t) else t.tobytes() for t in texts)], pa.binary())
+    monkeypatch.setattr(L, "_BLOCK", 256)
+    got = L.score_texts(net, column[1:])
     for t, score in zip(texts, got):
         padded = np.concatenate(([L._PAD] * 2, t, [L._PAD] * 2)).astype(int)
         want = sum(
@@ -115,3 +118,63 @@ def test_rare_words_have_their_own_share(spark, monkeypatch, near):
 
 def test_rounds_cover_all_positions():
     assert {-turn % L.MASK for turn in range(L.ROUNDS)} == set(range(L.MASK))
+
+
+def plain_step(p, squares, context, target):
+    """One Adagrad step position by position, over dense rows."""
+    grads = {k: np.zeros_like(v) for k, v in p.items()}
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for around, word in zip(context.T, target):
+        c, w = divmod(int(word), L.PER_CLASS)
+        h = np.tanh(p["bias"] + sum(p["sides"][k][around[k]] for k in range(4)))
+        dc, dw = softmax(h @ p["classes"] + p["class_bias"]), softmax(h @ p["words"][c] + p["word_bias"][c])
+        dc[c] -= 1
+        dw[w] -= 1
+        grads["classes"] += np.outer(h, dc)
+        grads["class_bias"] += dc
+        grads["words"][c] += np.outer(h, dw)
+        grads["word_bias"][c] += dw
+        dh = (p["classes"] @ dc + p["words"][c] @ dw) * (1 - h * h)
+        grads["bias"] += dh
+        for k in range(4):
+            grads["sides"][k][around[k]] += dh
+    for k, g in grads.items():
+        g /= len(target)
+        squares[k] += g * g
+        p[k] -= L.RATE * g / np.sqrt(squares[k] + 1e-8)
+
+
+def test_training_against_a_plain_trainer(spark, monkeypatch):
+    monkeypatch.setattr(L, "_BATCH", 100)
+    rng = np.random.default_rng(5)
+    texts = [(rng.integers(0, 90, n) ** 2 // 4).astype(np.uint16) for n in (700, 0, 1, 3, 900)]
+    counts = np.bincount(np.concatenate(texts), minlength=L.VOCABULARY)
+    tokens = spark.createDataFrame([(t.tobytes(),) for t in texts], "tokens binary").coalesce(1)
+    got = L.fit(tokens, counts, 3)
+    start = L.Network.start(counts)
+    p = {k: getattr(start, k).astype(float) for k in ("sides", "bias", "classes", "class_bias", "words", "word_bias")}
+    line = np.concatenate([[L._PAD] * 2, *([*t, L._PAD, L._PAD] for t in texts)]).astype(int)
+    for turn in range(3):
+        squares = {k: np.zeros_like(v) for k, v in p.items()}
+        at = [i for i in range(len(line)) if i % L.MASK == turn and line[i] != L._PAD]
+        for i in range(0, len(at), 100):
+            here = np.array(at[i : i + 100])
+            plain_step(p, squares, np.stack([line[here + k] for k in L.SIDES]), line[here])
+    # Adagrad's first step has the length of the rate whatever its gradient, so the smallest gradients differ by rounding
+    for k, v in p.items():
+        assert np.mean(np.abs(getattr(got, k) - v) > 2e-3) < 1e-3, k
+
+
+@pytest.mark.parametrize("most", [0, 5, 40, 1000])
+def test_most_frequent_words_by_histograms(spark, monkeypatch, most):
+    rows = [(f"w{i}".encode(), 2 + 100 // (1 + i)) for i in range(60)] + [(f"t{i}".encode(), 1) for i in range(500)]
+    counted = spark.createDataFrame(rows, "word binary, n bigint")
+    got = [(bytes(r.word), r.n) for r in L.most_frequent(counted, most)]
+    assert got == sorted(got, key=lambda r: (-r[1], r[0])) and set(got) <= set(rows) and len(got) <= most
+    left = [n for w, n in rows if (w, n) not in got]
+    assert not left or not got or max(left) < 2 * min(n for _, n in got)
+    if most == 1000:
+        assert len(got) == 560
+    if most == 40:
+        assert len(got) >= 30
+    assert L.most_frequent(counted.limit(0), most) == []
