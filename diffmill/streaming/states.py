@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ListState
 
 from diffmill.fixed import FINISHED
 from diffmill.streaming.jobs import write_stream
@@ -21,6 +24,9 @@ from diffmill.streaming.late import split_late
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Buckets of jobs by which reviews and results are held.
+JOB_BUCKETS = 1024
+
 
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
@@ -168,11 +174,15 @@ def split_sides(
 
 
 class StaticJoin(StatefulProcessor):
-    """Holds the results of a job by grain and its review until that closes.
+    """Holds the results of a bucket of jobs by grain and its reviews until they close.
 
     A review at t closes at the end of the grain that t + bound lies in (or begins), and takes the last result of
     the grains from that of t - bound up to there. When the watermark reaches the close, it is emitted, with or
     without a result, and a repeated one is ignored for another bound.
+
+    Every call of a state is a round trip, so there are a few of them per bucket and batch and none per job. A batch's rows
+    are appended unread, as columns; the one timer of a bucket stands at the first time at which something closes or
+    leaves, and all that is due is then found at once.
     """
 
     def __init__(self, bound: str, grain: str):
@@ -180,66 +190,112 @@ class StaticJoin(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.review = handle.getValueState("review", "at long, emitted boolean")
-        self.results = handle.getMapState("results", "grain long", "result_offset long, static_metrics string")
+        self.review = handle.getListState("review", "job_id array<string>, at array<bigint>, emitted array<boolean>")
+        self.results = handle.getListState(
+            "results", "job_id array<string>, grain array<bigint>, result_offset array<bigint>, static_metrics array<string>"
+        )
+        self.due = handle.getValueState("due", "at bigint")
 
-    def _close(self, at: int) -> int:
+    def _close(self, at: pd.Series) -> pd.Series:
         return -(-(at // 1000 + self.bound) // self.grain) * self.grain
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for row in rows:
-            if row.job_id is None:
-                continue
-            if row.kind == "review":
-                held = self.review.get()
-                if held is None or not held[1] and row.at < held[0]:
-                    self.review.update((row.at, False))
-                    self.handle.registerTimer(self._close(row.at))
-            elif row.grain_ms is not None:
-                held = self.results.getValue((row.grain_ms,))
-                if held is None or row.result_offset > held[0]:
-                    self.results.updateValue((row.grain_ms,), (row.result_offset, row.static_metrics))
-                    self.handle.registerTimer(row.grain_ms + 2 * (self.bound + self.grain))
+    def _leaves(self, grain: pd.Series) -> pd.Series:
+        return grain + 2 * (self.bound + self.grain)
+
+    def _ends(self, reviews: pd.DataFrame) -> pd.Series:
+        """When a review closes or, once emitted, is forgotten."""
+        return self._close(reviews["at"]) + reviews["emitted"] * self.bound
+
+    def _wake(self, reviews: pd.DataFrame, results: pd.DataFrame, held: int | None) -> None:
+        """The timer of a bucket that now stands at ``held`` to when the first of these rows is due, if that is earlier."""
+        times = [times.min() for times in (self._ends(reviews), self._leaves(results["grain"])) if len(times)]
+        first = min(map(int, times), default=None)
+        if first is not None and (held is None or first < held):
+            if held is not None:
+                self.handle.deleteTimer(held)
+            self.handle.registerTimer(first)
+            self.due.update((first,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame[frame["known"]]
+            is_review = frame["is_review"].to_numpy(bool)
+            reviews = frame.loc[is_review, ["job_id", "time"]].set_axis(_REVIEW[:2], axis=1).assign(emitted=False)
+            results = frame.loc[~is_review, ["job_id", "time", "result_offset", "static_metrics"]].set_axis(_RESULT, axis=1)
+            for state, new in ((self.review, reviews), (self.results, results)):
+                if len(new):
+                    state.appendValue(_columns(new))
+            if len(frame):
+                held = self.due.get()
+                self._wake(reviews, results, held[0] if held else None)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        out, review = [], self.review.get()
-        if review and not review[1] and self._close(review[0]) <= now:
-            at, close = review[0], self._close(review[0])
-            first = (at // 1000 - self.bound) // self.grain * self.grain
-            near = [result for (grain,), result in self.results.iterator() if first <= grain < close]
-            offset, found = max(near, key=lambda r: r[0], default=(None, None))
-            out.append(Row(job_id=key[0], at=at, static_metrics=found, result_offset=offset))
-            if close + self.bound > now:
-                self.review.update((at, True))
-                self.handle.registerTimer(close + self.bound)
+        reviews, results = _frame(self.review, _REVIEW), _frame(self.results, _RESULT)
+        # An emitted review, else the earliest one of a job; the last result of a job and grain, of equal ones the first.
+        reviews = reviews.sort_values(["emitted", "at"], ascending=[False, True], kind="stable").drop_duplicates("job_id")
+        results = results.sort_values("result_offset", ascending=False, kind="stable").drop_duplicates(["job_id", "grain"])
+        closed = ~reviews["emitted"] & (self._close(reviews["at"]) <= now)
+        joined = self._joined(reviews[closed], results)
+        reviews = reviews.assign(emitted=reviews["emitted"] | closed)
+        reviews = reviews[self._ends(reviews) > now]
+        results = results[self._leaves(results["grain"]) > now]
+        for state, left in ((self.review, reviews), (self.results, results)):
+            if len(left):
+                state.put([_columns(left)])
             else:
-                self.review.clear()
-        elif review and review[1] and self._close(review[0]) + self.bound <= now:
-            self.review.clear()
-        gone = [grain for (grain,) in self.results.keys() if grain + 2 * (self.bound + self.grain) <= now]
-        for grain in gone:
-            self.results.removeKey((grain,))
-        return iter(out)
+                state.clear()
+        self.due.clear()
+        self._wake(reviews, results, None)
+        return iter([joined] if len(joined) else ())
+
+    def _joined(self, reviews: pd.DataFrame, results: pd.DataFrame) -> pd.DataFrame:
+        """Reviews with their last result of the grains in reach, ``results`` falling by offset."""
+        first = (reviews["at"] // 1000 - self.bound) // self.grain * self.grain
+        spans = reviews.assign(first=first, close=self._close(reviews["at"]))[["job_id", "first", "close"]]
+        near = results.merge(spans, on="job_id")
+        near = near[(near["first"] <= near["grain"]) & (near["grain"] < near["close"])].drop_duplicates("job_id")
+        # A type with NULL before the left join, which would make floats of the numbers.
+        near = near[["job_id", "static_metrics", "result_offset"]].astype({"result_offset": "Int64"})
+        return reviews[["job_id", "at"]].merge(near, on="job_id", how="left")
 
     def close(self) -> None:
         pass
 
 
-def stream_static_outer(sides: DataFrame, delay: str, bound: str, grain: str) -> DataFrame:
+_REVIEW, _RESULT = ["job_id", "at", "emitted"], ["job_id", "grain", "result_offset", "static_metrics"]
+_KINDS = {"job_id": object, "static_metrics": object, "emitted": bool}
+
+
+def _columns(frame: pd.DataFrame) -> tuple[list, ...]:
+    return tuple(frame[c].tolist() for c in frame.columns)
+
+
+def _frame(state: ListState, names: list[str]) -> pd.DataFrame:
+    """All rows of a state of columns, in the order in which they came."""
+    parts = list(state.get())
+    columns = {name: list(chain.from_iterable(part[i] for part in parts)) for i, name in enumerate(names)}
+    return pd.DataFrame({name: pd.Series(values, dtype=_KINDS.get(name, "int64")) for name, values in columns.items()})
+
+
+def stream_static_outer(sides: DataFrame, delay: str, bound: str, grain: str, buckets: int = JOB_BUCKETS) -> DataFrame:
     """Every review once, with its last static result or NULL (ST3), from a stream of folded sides.
 
-    Rows come when the watermark passes the review's close. State holds a job for three bounds or so.
+    Rows come when the watermark passes the review's close. State holds a job for three bounds or so, and is kept by
+    ``buckets`` of jobs. A task holds one bucket at a time, so choose more for a larger state; a checkpoint keeps its number.
     """
-    numbers = {"at": F.unix_micros("ts"), "grain_ms": F.unix_millis("grain")}
-    joined = (
-        sides.withWatermark("ts", delay)
-        .withColumns(numbers)
-        .groupBy("job_id")
-        .transformWithState(
-            StaticJoin(bound, grain), "job_id string, at long, static_metrics string, result_offset long", "Append", "EventTime"
-        )
+    is_review = F.coalesce(F.col("kind") == "review", F.lit(False))
+    time = F.when(is_review, F.unix_micros("ts")).otherwise(F.unix_millis("grain"))
+    # Whole numbers without NULL, which pandas would read as floats.
+    sides = sides.withWatermark("ts", delay).select(
+        "ts", "job_id", "static_metrics", is_review.alias("is_review"), F.coalesce(time, F.lit(0)).alias("time"),
+        F.coalesce("result_offset", F.lit(-(2**63))).alias("result_offset"),
+        (F.col("job_id").isNotNull() & time.isNotNull()).alias("known"),
+        F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("bucket"),
+    )
+    joined = sides.groupBy("bucket").transformWithStateInPandas(
+        StaticJoin(bound, grain), "job_id string, at long, static_metrics string, result_offset long", "Append", "EventTime"
     )
     return joined.select("job_id", F.timestamp_micros("at").alias("ts"), "static_metrics", "result_offset")
 

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,79 @@ def test_repeated_reviews_are_emitted_once(spark, folder):
     joined = states.stream_static_outer(split.stream(spark), "1 day", "2 hours", "1 hour")
     states.write_states(joined, f"{folder}/out", f"{folder}/cp2", "append").awaitTermination()
     assert [(r.job_id, r.ts, r.static_metrics) for r in spark.read.parquet(f"{folder}/out").collect()] == [("a", at(0), "m")]
+
+
+class Cells:
+    """A state or a handle that keeps its cells in memory and counts the calls."""
+
+    def __init__(self):
+        self.cells, self.timers, self.calls = [], set(), 0
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.cells))
+
+    def appendValue(self, value):
+        self.put([*self.cells, value])
+
+    def put(self, values):
+        self.calls += 1
+        self.cells = list(values)
+
+    def clear(self):
+        self.put([])
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Value(Cells):
+    def get(self):
+        return next(super().get(), None)
+
+    def update(self, value):
+        self.put([value])
+
+
+def test_calls_of_the_static_join_do_not_grow_with_its_jobs():
+    """Each call is a round trip between Python and the JVM, which made the join slow."""
+    counted = []
+    for jobs_held in (10, 2000):
+        made = []
+        handle = Cells()
+        handle.getListState = lambda *_: made.append(Cells()) or made[-1]  # noqa: B023
+        handle.getValueState = lambda *_: made.append(Value()) or made[-1]  # noqa: B023
+        join = states.StaticJoin("2 hours", "1 hour")
+        join.init(handle)
+        hour, out = 3_600_000, []
+
+        def batch(rows, watermark):
+            columns = ["job_id", "is_review", "time", "result_offset", "static_metrics"]
+            clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+            join.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns).assign(known=True)]), clock)  # noqa: B023
+            for due in [t for t in handle.timers if t <= watermark]:  # noqa: B023
+                handle.timers.discard(due)  # noqa: B023
+                for frame in join.handleExpiredTimer((0,), clock, None):  # noqa: B023
+                    out.extend(frame.itertuples(index=False, name=None))  # noqa: B023
+
+        names = [f"j{i}" for i in range(jobs_held)]
+        batch([(n, True, 5 * hour * 1000, -1, None) for n in names], 0)
+        batch([(n, False, 6 * hour, 2**60 + i, f"m{i}") for i, n in enumerate(names[1:])], 0)
+        batch([(n, True, 4 * hour * 1000, -1, None) for n in names[:2]], hour)
+        batch([("other", False, 20 * hour, 1, "x")], 7 * hour)
+        batch([(n, True, 8 * hour * 1000, -1, None) for n in names[:2]], 8 * hour)
+        batch([("other", False, 20 * hour, 2, "y")], 40 * hour)
+        want = {n: (5 * hour * 1000, f"m{i}", 2**60 + i) for i, n in enumerate(names[1:])}
+        want[names[0]] = (4 * hour * 1000, None, None)
+        # The earlier time of j1 closes at the grain of its result, which is then too late.
+        want[names[1]] = (4 * hour * 1000, None, None)
+        got = {r[0]: tuple(None if pd.isna(x) else x for x in r[1:]) for r in out}
+        assert len(out) == jobs_held and got == want
+        assert all(not state.cells for state in made) and not handle.timers
+        counted.append(handle.calls + sum(state.calls for state in made))
+    assert counted[0] == counted[1] < 50
