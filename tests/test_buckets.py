@@ -104,3 +104,18 @@ def test_attach_stores_no_more_than_the_keys_of_reviews(spark):
     for t in made:
         spark.sql(f"DROP TABLE {t}")
     assert sorted(t.rsplit("_", 1)[0] for t in made) == ["incoming", "review_keys"]
+
+
+def test_detail_of_more_buckets_has_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "BUCKET_ROWS", 100)
+    run, columns = all_queries()["stored_review_detail"], ["id", "page", "n_findings", "findings"]
+    before = {t.name for t in spark.catalog.listTables()}
+    got = run(spark, SF)
+    made = [t.name for t in spark.catalog.listTables() if t.name not in before and t.name.startswith("findings_")]
+    told = spark.sql(f"DESCRIBE TABLE EXTENDED {made[0]}").where("col_name = 'Num Buckets'").first()[1]
+    assert told == "64"  # 16 before, however many rows there are
+    many = rows(got, *columns)
+    monkeypatch.undo()
+    assert many == rows(run(spark, SF), *columns)
+    for t in {t.name for t in spark.catalog.listTables()} - before:
+        spark.sql(f"DROP TABLE {t}")
