@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,9 @@ MASK, RATE = 8, 0.1
 ROUNDS = MASK
 _PAD = VOCABULARY
 #: Positions of one training step, and scored at once; positions put in the order of their classes at once.
-_BATCH, _CHUNK, _BLOCK = 8192, 4096, 1 << 20
+_BATCH, _BLOCK = 8192, 1 << 20
+#: Positions whose scores are held at once, few enough to stay in a core's cache.
+_CHUNK = 1024
 #: Parts averaged at once, parameters in one row, words a task counts before it sends them on.
 FAN_IN, ROW, COUNTED = 32, 8192, 500_000
 #: Rare words whose shares every task gets, and the count of an unseen word in every shared number.
@@ -60,16 +63,6 @@ LEVELS, PARTS = 32, 1024
 _UNIT = 1 << 20
 
 
-class Numbers(dict):
-    """Numbers of words; rare words share the last ones."""
-
-    def __or__(self, more: dict[bytes, int]) -> Numbers:
-        return Numbers({**self, **more})
-
-    def __missing__(self, word: bytes) -> int:
-        return shared_number(word)
-
-
 def shared_number(word: bytes) -> int:
     return VOCABULARY - SHARED + xxhash.xxh32_intdigest(word) % SHARED
 
@@ -109,21 +102,25 @@ class Network:
 
     def class_scores(self, h: np.ndarray) -> np.ndarray:
         """One row per class, as are the scores in a class: sums over rows are quicker than over short lines."""
-        return self.classes.T @ h.T + self.class_bias[:, None]
+        x = self.classes.T @ h.T
+        x += self.class_bias[:, None]
+        return x
 
     def word_scores(self, h: np.ndarray, c: int) -> np.ndarray:
-        return self.words[c].T @ h.T + self.word_bias[c][:, None]
+        x = self.words[c].T @ h.T
+        x += self.word_bias[c][:, None]
+        return x
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target, given the tokens around it."""
         out = np.empty(len(target), self.vector.dtype)
         order, cuts = _by_class(target)
+        context, place = context[:, order], target[order] % PER_CLASS
         for c in range(CLASSES):
             for i in range(cuts[c], cuts[c + 1], _CHUNK):
-                rows = order[i : min(i + _CHUNK, cuts[c + 1])]
-                h = self.hidden(context[:, rows])
-                logs = _softmax(self.class_scores(h), np.full(len(rows), c))[1]
-                out[rows] = logs + _softmax(self.word_scores(h, c), target[rows] % PER_CLASS)[1]
+                here = slice(i, min(i + _CHUNK, cuts[c + 1]))
+                h = self.hidden(context[:, here])
+                out[order[here]] = _logs(self.class_scores(h), c)[0] + _logs(self.word_scores(h, c), place[here])[0]
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[float, list]:
@@ -133,40 +130,53 @@ class Network:
         context, target = context[:, order], target[order]
         of, place = np.divmod(target, PER_CLASS)
         h = self.hidden(context)
-        d, log_p = _softmax(self.class_scores(h), of)
-        loss = -log_p.sum()
-        d[of, np.arange(n)] -= 1
-        d /= n
-        grads = [("classes", None, (d @ h).T), ("class_bias", None, d.sum(1))]
-        dh = d.T @ self.classes.T
-        for c in range(CLASSES):
+        dh, loss = np.empty_like(h), 0.0
+        of_classes, of_words = (np.zeros_like(x) for x in (self.classes, self.words))
+        of_class_bias, of_word_bias = (np.zeros_like(x) for x in (self.class_bias, self.word_bias))
+        for i in range(0, n, _CHUNK):
+            here = slice(i, i + _CHUNK)
+            near = h[here]
+            d, log_p = _errors(self.class_scores(near), of[here], n)
+            loss -= log_p.sum()
+            of_classes += near.T @ d.T
+            of_class_bias += d.sum(1)
+            np.matmul(d.T, self.classes.T, out=dh[here])
+        for c in np.flatnonzero(np.diff(cuts)):
             here = slice(cuts[c], cuts[c + 1])
-            near, at = h[here], place[here]
-            if len(at):
-                d, log_p = _softmax(self.word_scores(near, c), at)
-                loss -= log_p.sum()
-                d[at, np.arange(len(at))] -= 1
-                d /= n
-                grads += [("words", c, (d @ near).T), ("word_bias", c, d.sum(1))]
-                dh[here] += d.T @ self.words[c].T
+            near = h[here]
+            d, log_p = _errors(self.word_scores(near, c), place[here], n)
+            loss -= log_p.sum()
+            np.matmul(near.T, d.T, out=of_words[c])
+            d.sum(1, out=of_word_bias[c])
+            dh[here] += d.T @ self.words[c].T
+        grads = [("classes", None, of_classes), ("class_bias", None, of_class_bias)]
+        grads += [("words", None, of_words), ("word_bias", None, of_word_bias)]
         dh *= 1 - h * h
         grads.append(("bias", None, dh.sum(0)))
+        pairs = dh.view(np.result_type(dh, np.complex64))  # sums over pairs of numbers, which takes half as many steps
         for k in range(len(SIDES)):
             order = np.argsort(context[k], kind="stable")
             ids = context[k][order]
             starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            grads.append(("sides", (k, ids[starts]), np.add.reduceat(dh.take(order, axis=0), starts, axis=0)))
+            grads.append(("sides", (k, ids[starts]), np.add.reduceat(pairs.take(order, axis=0), starts, axis=0).view(dh.dtype)))
         return loss / n, grads
 
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The probabilities of each column, in the place of ``x``, and the log-probability of its target."""
+def _logs(x: np.ndarray, target: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The log-probability of each column's target, and the sum of the exponentials that ``x`` is turned into."""
     x -= x.max(0)
-    log_p = x[target, np.arange(len(target))]
+    log_p = x[target, np.arange(x.shape[1])]
     np.exp(x, out=x)
     total = x.sum(0)
-    x /= total
-    return x, log_p - np.log(total)
+    return log_p - np.log(total), total
+
+
+def _errors(x: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of the mean log-loss over ``n`` in the place of ``x``, and the log-probability of each column's target."""
+    log_p, total = _logs(x, target)
+    x *= 1 / (total * n)
+    x[target, np.arange(len(target))] -= 1 / n
+    return x, log_p
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +190,15 @@ def train(net: Network, context: np.ndarray, target: np.ndarray, squares: Networ
     loss, grads = net.gradient(context, target)
     for name, at, g in grads:
         part, seen = getattr(net, name), getattr(squares, name)
-        at = slice(None) if at is None else at
-        seen[at] += g * g
-        part[at] -= RATE * g / np.sqrt(seen[at] + 1e-8)
+        if at is not None:
+            part, seen, rows = part[at[0]], seen[at[0]], at[1]
+        total = g * g
+        total += seen if at is None else seen.take(rows, axis=0)
+        seen[... if at is None else rows] = total
+        total += 1e-8
+        g *= RATE
+        g /= np.sqrt(total, out=total)
+        part[... if at is None else rows] -= g
     return loss
 
 
@@ -198,7 +214,8 @@ def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gaps = 2 * np.arange(1, len(texts) + 1)
     starts = bounds[:-1] - bounds[0] + gaps
     tokens = np.full(len(flat) + 2 * len(texts) + 2, _PAD, np.uint16)
-    tokens[np.arange(len(flat)) + np.repeat(gaps, lengths)] = flat
+    for start, gap, n in zip(starts.tolist(), gaps.tolist(), lengths.tolist()):
+        tokens[start : start + n] = flat[start - gap : start - gap + n]
     return tokens, starts, lengths
 
 
@@ -263,23 +280,34 @@ def shares(counted: DataFrame, numbers: dict[bytes, int]) -> tuple[DataFrame, np
     return rare.select("word", F.rint(share * _UNIT).cast("bigint").alias("share")), totals
 
 
+def _places(numbers: dict[bytes, int], shares: dict[bytes, int]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """A place for every known word, and by place its number and log share; the last place is that of unknown words."""
+    places = {w: i for i, w in enumerate([*numbers, *shares])}
+    number_of = np.array([*numbers.values(), *map(shared_number, shares), 0], np.uint16)
+    return places, number_of, np.array([0] * len(numbers) + [*shares.values(), 0], np.int64)
+
+
 def numbered(docs: DataFrame, keep: list[str], text_col: str, numbers: dict[bytes, int], near: dict[bytes, int]) -> DataFrame:
     """The ``keep`` columns as ``row``, the tokens of each text as 16-bit numbers, the sum of the log shares of the
     tokens that ``near`` holds, and the other rare words, each with its count, stored with an ``at`` of the row."""
     near = docs.sparkSession.sparkContext.broadcast(near)
 
     def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        shares = near.value
-        known = Numbers(numbers) | {w: shared_number(w) for w in shares}
+        places, number_of, share_of = _places(numbers, near.value)
         for texts in batches:
             tokens, sums, far, times = [], [], [], []
             for text in as_bytes(texts):
                 words = plain_words(text)
-                tokens.append(np.fromiter(map(known.__getitem__, words), np.uint16, len(words)).tobytes())
-                rare = Counter(w for w in words if w not in numbers)
-                sums.append(sum(n * shares[w] for w, n in rare.items() if w in shares))
-                far.append([w for w in rare if w not in shares])
-                times.append([rare[w] for w in far[-1]])
+                at = np.fromiter(map(places.get, words, repeat(-1)), np.int32, len(words))
+                ids, unknown = number_of.take(at), at < 0
+                rare = list(compress(words, unknown.tolist())) if unknown.any() else []
+                if rare:
+                    ids[unknown] = [shared_number(w) for w in rare]
+                found = Counter(rare)
+                tokens.append(ids.tobytes())
+                sums.append(int(share_of.take(at).sum()))
+                far.append(list(found))
+                times.append(list(found.values()))
             yield pa.StructArray.from_arrays(
                 [pa.array(tokens, pa.binary()), pa.array(sums, pa.int64()), pa.array(far, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
                 ["tokens", "near", "far", "times"],

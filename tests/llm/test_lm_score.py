@@ -178,3 +178,38 @@ def test_most_frequent_words_by_histograms(spark, monkeypatch, most):
     if most == 40:
         assert len(got) >= 30
     assert L.most_frequent(counted.limit(0), most) == []
+
+
+def test_a_step_takes_each_part_once():
+    """A gradient for each class, as before, cost a dozen small steps per class and batch in the update."""
+    rng = np.random.default_rng(4)
+    net = L.Network.start(np.ones(L.VOCABULARY))
+    grads = net.gradient(rng.integers(0, L.VOCABULARY, (4, 500)), rng.integers(0, L.VOCABULARY, 500))[1]
+    assert sorted(g[0] for g in grads) == sorted(["classes", "class_bias", "words", "word_bias", "bias", *["sides"] * len(L.SIDES)])
+
+
+def test_blocks_of_scores_change_no_result(monkeypatch):
+    rng = np.random.default_rng(6)
+    net = L.Network(rng.standard_normal(L.Network.size) * 0.1)
+    context, target = rng.integers(0, L.VOCABULARY + 1, (4, 300)), rng.integers(0, 2 * L.PER_CLASS, 300)
+    loss, grads = net.gradient(context, target)
+    logs = net.log_probs(context, target)
+    monkeypatch.setattr(L, "_CHUNK", 7)
+    other, parts = net.gradient(context, target)
+    assert abs(loss - other) < 1e-12 and np.abs(net.log_probs(context, target) - logs).max() < 1e-12
+    assert all(np.abs(a[2] - b[2]).max() < 1e-12 for a, b in zip(grads, parts))
+
+
+def test_numbers_and_shares_of_words(spark):
+    own = L.VOCABULARY - L.SHARED
+    numbers, near = {b"the": 0, b"a": 1}, {b"near": -7, b"close": -20}
+    texts = ["The near a far close near far x", "", None, "a the", "far"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.row.doc_id: r for r in L.numbered(docs, ["doc_id"], "text", numbers, near).collect()}
+    for i, t in enumerate(texts):
+        words = [w.encode() for w in plain_words(t)]
+        assert np.frombuffer(got[i].tokens, np.uint16).tolist() == [numbers.get(w, L.shared_number(w)) for w in words]
+        assert all(w in numbers or own <= L.shared_number(w) < L.VOCABULARY for w in words)
+        assert got[i].near == sum(near.get(w, 0) for w in words)
+        far = Counter(w for w in words if w not in numbers and w not in near)
+        assert dict(zip(map(bytes, got[i].far), got[i].times)) == far
