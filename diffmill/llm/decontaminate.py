@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from diffmill.llm.common import as_bytes, plain_words
+from diffmill.llm.common import as_bytes, pieces, plain_words
 
 WINDOW = 13
 #: Most bytes of item text in one broadcast block.
@@ -132,12 +133,11 @@ def _judge(rows: DataFrame, sent, keep: list[str], fields: list[T.StructField],
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        for batch in batches:
-            texts = as_bytes(batch.column("_text"))
-            hits = [[]] * len(texts) if first else batch.column("hits").to_pylist()
-            items = [[]] * len(texts) if first else batch.column("items").to_pylist()
+        for batch in chain.from_iterable(map(pieces, batches)):
+            hits = [[]] * len(batch) if first else batch.column("hits").to_pylist()
+            items = [[]] * len(batch) if first else batch.column("items").to_pylist()
             n, spans, names = [], [], []
-            for text, had, known in zip(texts, hits, items):
+            for text, had, known in zip(as_bytes(batch.column("_text")), hits, items):
                 words = plain_words(text)
                 places, found = index(words)
                 places = merged(places + [(h["start"], h["end"]) for h in had])
