@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, GroupedData, Row
 from pyspark.sql import functions as F
 
-from diffmill.llm.common import as_bytes, plain_words
+from diffmill.llm.common import as_bytes, pieces, plain_words
 from diffmill.session import stored
 
 #: Classes, words in each, of which the last numbers are shared by rare words.
@@ -271,7 +271,8 @@ def shares(counted: DataFrame, numbers: dict[bytes, int]) -> tuple[DataFrame, np
         for words in batches:
             yield pa.array([-1 if w in numbers else shared_number(w) - VOCABULARY + SHARED for w in words.to_pylist()], pa.int32())
 
-    rare = counted.select("word", "n", F.arrow_udf(number, "int")("word").alias("number"))
+    # else the filter numbers all words once more, in workers of its own
+    rare = counted.select("word", "n", F.arrow_udf(number, "int").asNondeterministic()("word").alias("number"))
     rare = stored(rare.where("number >= 0"), "lm-rare")
     totals = np.full(SHARED, UNSEEN)
     for r in rare.groupBy("number").agg(F.sum("n").alias("n")).collect():
@@ -294,7 +295,7 @@ def numbered(docs: DataFrame, keep: list[str], text_col: str, numbers: dict[byte
 
     def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places, number_of, share_of = _places(numbers, near.value)
-        for texts in batches:
+        for texts in chain.from_iterable(map(pieces, batches)):
             tokens, sums, far, times = [], [], [], []
             for text in as_bytes(texts):
                 words = plain_words(text)
@@ -409,8 +410,8 @@ def score_documents(docs: DataFrame, keep: list[str] | None = None, text_col: st
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own_net = Network(net.value)
-        for batch in batches:
-            yield pa.array(score_texts(own_net, batch), pa.float64())
+        for texts in chain.from_iterable(map(pieces, batches)):
+            yield pa.array(score_texts(own_net, texts), pa.float64())
 
     n_tokens = (F.octet_length("tokens") / 2).cast("bigint").alias("n_tokens")
     scored = tokens.select("row", "at", n_tokens, "near", F.arrow_udf(score, "double")("tokens").alias("net"))
